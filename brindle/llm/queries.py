@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, decontaminate, language_id, packing, token_counts, token_files, url_filter
+from brindle.llm import chat, decontaminate, language_id, minhash, packing, token_counts, token_files, url_filter
 from brindle.plans.tables import table
 
 
@@ -29,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
+    "op6_minhash": op6_minhash,
     "op7_chat_rotation": op7_chat_rotation,
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
