@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, decontaminate, language_id, minhash, packing, token_counts, token_files, url_filter
+from brindle.llm import chat, decontaminate, language_id, minhash, packing, suffix_dedup, token_counts, token_files, url_filter
 from brindle.plans.tables import table
 
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -51,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
