@@ -31,35 +31,52 @@ BLOCK = 512
 PAYLOAD = 600_000
 
 
+#: Width by bit length.
+_WIDTH_OF = np.array([0, *(next((w for w in WIDTHS if n <= w), 64) for n in range(1, 65))], np.uint8)
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
-    """Bits each id needs: 0 for zero, 64 for ids beyond 60 bits."""
-    bits = np.zeros(len(ids), np.uint8)
+    """The narrowest width that holds each id: 0 for zero, 64 for ids beyond 60 bits."""
+    if len(ids) and ids.max() < 1 << 52:
+        return _WIDTH_OF[np.frexp(ids.astype(np.float64))[1]]
+    bits = np.full(len(ids), 64, np.uint8)
     for width in WIDTHS[::-1]:
         bits[ids < (np.uint64(1) << np.uint64(width))] = width
     bits[ids == 0] = 0
-    bits[ids >= np.uint64(1 << 60)] = 64
     return bits
 
 
+def _longest(fits: np.ndarray) -> int:
+    """Length of the longest run of true values."""
+    at = np.flatnonzero(fits)
+    breaks = np.flatnonzero(np.diff(at) != 1)
+    return int(np.diff(np.concatenate([[-1], breaks, [len(at) - 1]])).max()) if len(at) else 0
+
+
 def _plan(bits: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every position the selector of a word that begins there and the ids it takes; ``ends``: its block's end."""
+    """For every position the selector of a word that begins there and the ids it takes; ``ends``: its block's end.
+
+    Widths go from wide to narrow, and a narrower one replaces a wider one where it takes more ids. One whose
+    runs are all too short for a whole word is skipped: what is left of a block fits in one wider word as well.
+    """
     n = len(bits)
     here = np.arange(n, dtype=np.int32)
     selector, take = np.zeros(n, np.uint8), np.ones(n, np.int32)
     left = ends - here
     top = int(bits.max(initial=0))
     for code, count, width in [*zip(range(15, 1, -1), COUNTS[::-1], WIDTHS[::-1], strict=True), (1, ZEROS, 0)]:
-        fits = bits <= width
+        takes = np.minimum(np.int32(count), left)
         if width >= top:
-            run = left
-        elif not fits.any():
-            break
-        else:
-            wrong = np.where(fits, np.int32(n), here)
-            run = np.minimum(np.minimum.accumulate(wrong[::-1])[::-1] - here, left)
-        good = run >= np.minimum(count, left)
+            selector[:], take = code, takes
+            continue
+        fits = bits <= width
+        if width < 60 and _longest(fits) < count:
+            continue
+        wrong = np.where(fits, np.int32(n), here)
+        run = np.minimum(np.minimum.accumulate(wrong[::-1])[::-1] - here, left)
+        good = run >= takes
         np.putmask(selector, good, np.uint8(code))
-        np.putmask(take, good, np.minimum(count, left))
+        np.putmask(take, good, takes)
     return selector, take
 
 
