@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, decontaminate, language_id, minhash, packing, suffix_dedup, token_counts, token_files, url_filter
+from brindle.llm import chat, decontaminate, embedding_dedup, language_id, minhash, packing, suffix_dedup, token_counts, token_files, url_filter
 from brindle.plans.tables import table
 
 
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_files": op3_token_files,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_language_id": op5_language_id,
     "op6_minhash": op6_minhash,
     "op7_chat_rotation": op7_chat_rotation,
