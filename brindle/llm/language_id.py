@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import bpe
 
@@ -140,20 +141,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1), n_grams.
 
     The model learns from text and language of documents not held out, and predicts from whole texts alone. ``und`` with score
     0 goes to texts that are null or without letters, and to all if nothing is labelled. A score near 0 means that no learned
-    language holds the text's n-grams. Documents with null ids are judged but not learned from. Repeated rows are judged each; other columns are not read.
+    language holds the text's n-grams. Documents with null ids are judged but not learned from. Repeated rows are judged each; other
+    columns are not read, but for those named in ``keep``: then the result is these columns and _lang_pred, _score, _n_grams.
     """
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(source.filter(F.col("id").isNotNull() & ~held_out(F.col("id")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, grams = model.value.judge(bpe.filled(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores), pa.array(grams)], names=["doc_id", "held_out", "lang_pred", "score", "n_grams"])
-
-    given = source.select(F.col("id").cast("long").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "text")
-    return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_grams long")
+            langs, scores, grams = model.value.judge(bpe.filled(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores), pa.array(grams)], names=names)
+
+    text = docs[text_col].cast("string").alias("_text")
+    if keep is None:
+        given = docs.select(text, docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"))
+        made = ["lang_pred", "score", "n_grams"]
+    else:
+        given = docs.select(text, *[docs[c] for c in keep])
+        made = ["_lang_pred", "_score", "_n_grams"]
+    fields = [*given.schema.fields[1:], *(T.StructField(n, t) for n, t in zip(made, [T.StringType(), T.DoubleType(), T.LongType()], strict=True))]
+    names = [f.name for f in fields]
+    return given.mapInArrow(run, T.StructType(fields))
