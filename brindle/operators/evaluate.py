@@ -1,0 +1,202 @@
+"""Evaluation of retrieval and of judged answers, as aggregations over results."""
+
+from __future__ import annotations
+
+import json
+import time
+from collections.abc import Callable, Iterable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.functions.citations import returned
+from brindle.model import NO_RELEVANT_CONTEXT
+
+# Metrics of a judged run and the scores that pass.
+RETRIEVAL_METRICS = ["contextual_precision", "contextual_recall", "contextual_relevancy"]
+ANSWER_METRICS = ["correctness", "faithfulness", "answer_relevancy"]
+METRIC_SETS = {"retrieval": RETRIEVAL_METRICS, "answer": ANSWER_METRICS, "all": RETRIEVAL_METRICS + ANSWER_METRICS}
+THRESHOLDS = {"contextual_precision": 0.7, "contextual_recall": 0.7, "contextual_relevancy": 0.5, "correctness": 0.7, "faithfulness": 0.8, "answer_relevancy": 0.7}
+FAILED = ["pipeline_error", "search_error"]
+BACKOFF = (5.0, 15.0, 30.0)
+
+
+def matches(expected: Column, filename: Column, page: Column, text: Column) -> Column:
+    """Whether a result is the expected item: every given one of filename, page and contains (any case) holds."""
+    return (
+        F.coalesce(filename == expected["filename"], expected["filename"].isNull())
+        & F.coalesce(page.eqNullSafe(expected["page"]) | expected["page"].isNull(), F.lit(False))
+        & (expected["contains"].isNull() | F.contains(F.lower(text), F.lower(expected["contains"])))
+    )
+
+
+def score_cases(cases: DataFrame, results: DataFrame, statuses: DataFrame) -> DataFrame:
+    """One row per case: id, question, answerable, status, reranked, took_ms, first_hit_rank, found, expected.
+
+    cases: id, question, expected (array of filename, page, contains); results: id, rank, filename, page, text;
+    statuses: id, status, reranked, took_ms. Items meet the results of their own case only.
+    """
+    items = cases.select("id", F.posexplode("expected").alias("item", "wanted"))
+    ranks = items.join(results, "id").filter(matches(F.col("wanted"), F.col("filename"), F.col("page"), F.col("text"))).groupBy("id", "item").agg(F.min("rank").alias("first"))
+    hits = ranks.groupBy("id").agg(F.min("first").alias("first_hit_rank"), F.count("*").alias("hits"))
+    joined = cases.join(statuses, "id").join(hits, "id", "left")
+    n = F.size("expected")
+    return joined.select("id", "question", (n > 0).alias("answerable"), "status", "reranked", "took_ms", "first_hit_rank", F.coalesce("hits", F.lit(0)).alias("found"), n.cast("long").alias("expected"))
+
+
+def summarize(scored: DataFrame, rerank: bool = False) -> DataFrame:
+    """One row of metrics, three decimals; a metric without rows is NULL."""
+    yes, no = F.col("answerable"), ~F.col("answerable")
+    refused = (F.col("status") == NO_RELEVANT_CONTEXT).cast("double")
+    mean = lambda value, on=None: F.round(F.avg(value if on is None else F.when(on, value)), 3)
+    return scored.agg(
+        (F.count_if(~F.col("reranked")) if rerank else F.lit(0).cast("long")).alias("rerank_fallbacks"),
+        F.count("*").alias("questions"),
+        F.count_if(yes).alias("answerable"),
+        F.count_if(no).alias("unanswerable"),
+        mean(F.coalesce(F.col("first_hit_rank") == 1, F.lit(False)).cast("double"), yes).alias("hit_at_1"),
+        mean(F.col("first_hit_rank").isNotNull().cast("double"), yes).alias("hit_at_k"),
+        mean(F.coalesce(1.0 / F.col("first_hit_rank"), F.lit(0.0)), yes).alias("mrr"),
+        mean(F.try_divide("found", "expected"), yes).alias("recall"),
+        mean(refused, yes).alias("false_refusal"),
+        mean(refused, no).alias("correct_refusal"),
+        mean(F.col("took_ms")).alias("avg_ms"),
+    )
+
+
+def failures(scored: DataFrame) -> DataFrame:
+    """(id, kind): MISS, PARTIAL or NO-REFUSE; cases that went well have no row."""
+    kind = (
+        F.when(F.col("answerable") & F.col("first_hit_rank").isNull(), "MISS")
+        .when(F.col("answerable") & (F.col("found") < F.col("expected")), "PARTIAL")
+        .when(~F.col("answerable") & (F.col("status") != NO_RELEVANT_CONTEXT), "NO-REFUSE")
+    )
+    return scored.select("id", "question", kind.alias("kind"), "found", "expected").filter("kind IS NOT NULL")
+
+
+def returned_labels(results: DataFrame) -> DataFrame:
+    """(id, returned): the labels of each case's results in order of rank."""
+    one = F.struct("rank", returned(F.col("rank"), F.col("filename"), F.col("page")).alias("label"))
+    return results.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["label"]).alias("returned"))
+
+
+def judge(scores: DataFrame) -> DataFrame:
+    """Adds passed, by the score before rounding, and rounds. ``scores``: id, metric, score, error, n_contexts.
+
+    With nothing retrieved the retrieval metrics are 0 and failed, faithfulness is 1 and passed; a failed judge leaves no score.
+    """
+    limit = F.create_map(*[F.lit(x) for k, v in THRESHOLDS.items() for x in (k, v)])[F.col("metric")]
+    none = F.col("n_contexts") == 0
+    raw = F.when(none & F.col("metric").isin(RETRIEVAL_METRICS), 0.0).when(none & (F.col("metric") == "faithfulness"), 1.0).when(F.col("error").isNull(), F.col("score"))
+    judged = scores.withColumn("_raw", raw)
+    return judged.withColumn("passed", F.coalesce(F.col("_raw") >= limit, F.lit(False))).withColumn("score", F.round("_raw", 3)).drop("_raw")
+
+
+def judged_metrics(scores: DataFrame) -> DataFrame:
+    """(metric, mean, pass_rate, errors) over judged scores (id, metric, score, passed)."""
+    some = F.col("score").isNotNull()
+    return scores.groupBy("metric").agg(F.round(F.avg("score"), 3).alias("mean"), F.round(F.avg(F.when(some, F.col("passed").cast("double"))), 3).alias("pass_rate"), F.count_if(~some).alias("errors"))
+
+
+def judged_totals(cases: DataFrame, skipped: int, rerank: bool) -> DataFrame:
+    """One row of counts over judged cases (id, status, reranked); failed ones count neither as refused nor as fallbacks."""
+    ran = ~F.col("status").isin(FAILED)
+    return cases.agg(
+        F.count("*").alias("questions_judged"),
+        F.lit(skipped).cast("long").alias("skipped_no_reference"),
+        F.count_if(~ran).alias("pipeline_errors"),
+        (F.count_if(ran & ~F.col("reranked")) if rerank else F.lit(0).cast("long")).alias("rerank_fallbacks"),
+        F.count_if(ran & (F.col("status") == NO_RELEVANT_CONTEXT)).alias("refused"),
+    )
+
+
+def lowest(scores: DataFrame, metric: str, n: int = 10) -> DataFrame:
+    """The ``n`` lowest scores of a metric, ties by seq."""
+    return scores.filter((F.col("metric") == metric) & F.col("score").isNotNull()).orderBy("score", "seq").limit(n)
+
+
+def reusable(done: DataFrame, metrics: list[str]) -> DataFrame:
+    """Ids of an earlier run that need no new judgement: not failed, and all ``metrics`` there. done: id, status, metric."""
+    held = F.size(F.array_intersect(F.collect_set("metric"), F.array(*[F.lit(m) for m in metrics])))
+    return done.filter(~F.col("status").isin(FAILED)).groupBy("id").agg(held.alias("held")).filter(F.col("held") == len(metrics)).select("id")
+
+
+def select_cases(cases: DataFrame, only: list[str] | None = None, limit: int | None = None) -> tuple[DataFrame, int]:
+    """(cases with a reference, number skipped for want of one), after ``only`` and then ``limit`` by seq."""
+    chosen = cases.filter(F.col("id").isin(only)) if only else cases
+    if limit is not None:
+        chosen = chosen.withColumn("_n", F.row_number().over(Window.orderBy(F.col("reference").isNull(), "seq"))).filter((F.col("_n") <= limit) & F.col("reference").isNotNull()).drop("_n")
+    return chosen.filter(F.col("reference").isNotNull()), chosen.filter(F.col("reference").isNull()).count()
+
+
+def with_retry(call: Callable[[], Any], backoff: Iterable[float] = BACKOFF) -> Any:
+    """Calls again after each wait of ``backoff``; the last failure is raised."""
+    waits = list(backoff)
+    while True:
+        try:
+            return call()
+        except Exception:
+            if not waits:
+                raise
+            time.sleep(waits.pop(0))
+
+
+#: A judge: (metric, question, answer, reference, contexts) -> score.
+Judge = Callable[[str, str, str | None, str | None, list[str]], float]
+
+
+def run_judged(search: Callable, cases: list[dict], judge_with: Judge, metrics: list[str], answer: Callable | None = None, done: dict[str, dict] | None = None, delay: float = 0.0, backoff: Iterable[float] = BACKOFF, on_result: Callable[[list[dict]], None] | None = None) -> list[dict]:
+    """Searches, answers and judges case by case, as remote judges need it; ``on_result`` sees all so far after each.
+
+    Cases of ``done`` that hold all metrics are reused. A case that fails after all retries has null scores and status pipeline_error.
+    """
+    if answer is None and any(m in ANSWER_METRICS for m in metrics):
+        raise ValueError("answer metrics need answer")
+    out: list[dict] = []
+    searched = 0
+    for case in cases:
+        if not case.get("reference"):
+            continue
+        old = (done or {}).get(case["id"])
+        if old and old["status"] not in FAILED and set(metrics) <= set(old["scores"]):
+            out.append(old)
+            continue
+        if delay and searched:
+            time.sleep(delay)
+        searched += 1
+        scores: dict[str, dict] = {}
+        try:
+            response = with_retry(lambda c=case: search(c), backoff)
+            said = with_retry(lambda r=response: answer(r), backoff) if any(m in ANSWER_METRICS for m in metrics) else None
+        except Exception as e:
+            out.append({"id": case["id"], "status": FAILED[0], "reranked": False, "answer": None, "scores": {m: {"score": None, "passed": False, "error": f"{type(e).__name__}: {e}"} for m in metrics}})
+        else:
+            contexts = [r["text"] for r in response.results]
+            for m in metrics:
+                try:
+                    raw = 0.0 if not contexts and m in RETRIEVAL_METRICS else 1.0 if not contexts and m == "faithfulness" else judge_with(m, case["question"], said, case["reference"], contexts)
+                    scores[m] = {"score": round(raw, 3), "passed": raw >= THRESHOLDS[m], "error": None}
+                except Exception as e:
+                    scores[m] = {"score": None, "passed": False, "error": f"{type(e).__name__}: {e}"}
+            out.append({"id": case["id"], "status": response.status, "reranked": response.reranked, "answer": said, "scores": scores})
+        if on_result:
+            on_result(out)
+    return out
+
+
+def write_report(path: str, cases: list[dict], complete: bool) -> None:
+    """The judged report; rewritten after every case, ``complete`` only at the end."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"summary": {"complete": complete}, "cases": cases}, f, indent=2, ensure_ascii=False)
+
+
+def read_report(path: str) -> dict[str, dict]:
+    with open(path, encoding="utf-8") as f:
+        return {c["id"]: c for c in json.load(f).get("cases", [])}
+
+
+def scores_frame(spark: SparkSession, cases: list[dict]) -> DataFrame:
+    """Scores of a judged run as rows: id, status, reranked, metric, score, passed."""
+    rows = [(c["id"], c["status"], c["reranked"], m, s["score"], s["passed"]) for c in cases for m, s in c["scores"].items()]
+    return spark.createDataFrame(rows, "id string, status string, reranked boolean, metric string, score double, passed boolean")
