@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,6 +26,11 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@functools.lru_cache(1 << 18)
+def _bucket(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+
+
 class HashingEmbedder:
     """Words counted in hashed buckets, at norm 1; a text without words is the zero vector."""
 
@@ -36,7 +42,7 @@ class HashingEmbedder:
         for text in texts:
             v = np.zeros(self.dim)
             for word in _WORD.findall(text.lower()):
-                v[int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % self.dim] += 1
+                v[_bucket(word) % self.dim] += 1
             norm = np.linalg.norm(v)
             out.append((v / norm if norm else v).astype(np.float32).tolist())
         return out
