@@ -1,11 +1,12 @@
 """Removal of long repeats with run-length indexes.
 
-Every string of ``LENGTH`` bytes has a minimizer, so equal strings meet where their minimizers meet. Documents that share
-a minimizer send the bytes around it (a snippet, which holds all strings that contain the minimizer) to the part of its
-hash. A part builds, for some megabytes of distinct snippets at a time, the run-compressed Burrows-Wheeler
-transform with the suffixes at run heads sampled. Matching statistics exist at the sampled suffixes alone
-and are streamed in text order to all others; strings with statistics of ``LENGTH`` or more are
-intervals of equal strings, and the least document of each interval decides what is marked.
+Of documents with equal texts all but the one of smallest id are repeats as a whole. The others are compared by strings of
+``LENGTH`` bytes. Every string has a minimizer, so equal strings meet where their minimizers meet; those whose minimizer
+several documents hold are candidates. Runs of candidates (snippets) go to the part of their route, a minimizer of
+fewer bytes that equal strings share as well. A part builds, for some distinct snippets at a time, the run-compressed
+Burrows-Wheeler transform with the suffixes at run heads sampled. Matching statistics are computed at the samples
+alone and streamed in text order to all other suffixes; suffixes with statistics of ``LENGTH`` or more are intervals
+of equal strings, and the least document of each interval decides what is marked.
 """
 
 from __future__ import annotations
@@ -24,41 +25,67 @@ from brindle.llm.shingles import mixed
 from brindle.plans.recovery import checkpoint
 
 LENGTH = 50
-#: Bytes of a minimizer.
-GRAM = 24
-#: Text bytes whose minimizers are sent on together, and snippet bytes of one index (more only where one minimizer has more).
-GATHER, INDEX = 24_000_000, 2_000_000
+#: Bytes of a minimizer, and of a route; strings in a snippet at most.
+GRAM, ROUTE, RUN = 24, 12, 60
+#: Text bytes whose minimizers are sent on together, and snippet bytes of one index (more only where one route has more).
+GATHER, INDEX = 12_000_000, 500_000
 #: Slots of the broadcast filters of documents (a proven bound on their rows, whatever the data).
 SLOTS = 1 << 21
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimizers of all strings of ``length`` bytes within texts."""
-    width = length - GRAM + 1
-    n = len(data) - GRAM + 1
-    if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def minimizers(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...], length: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First bytes of all strings of ``length`` bytes within texts, and for each size of ``grams`` every string's least hash of that many bytes."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in grams]
     x = data.astype(np.uint64)
     for step in (1, 2, 4):
         x = x[:-step] | (x[step:] << np.uint64(8 * step))
-    h = mixed(x[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mixed(x[8 : n + 8] + np.uint64(1)) ^ (x[16 : n + 16] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(7))
-    h = mixed(h ^ x[16 : n + 16]) | np.uint64(1)
-
-    def slide(a: np.ndarray, best) -> np.ndarray:
+    last = np.repeat(offsets[1:], np.diff(offsets))[:n] - length
+    at = np.flatnonzero(np.arange(n) <= last)
+    out = []
+    for gram in grams:
+        width, m = length - gram + 1, len(data) - gram + 1
+        h = mixed(x[:m] * np.uint64(0x9E3779B97F4A7C15 + gram))
+        for k in [*range(8, gram - 8, 8), gram - 8]:
+            h = mixed(h ^ x[k : k + m])
         step = 1
         while 2 * step <= width:
-            a = best(a[:-step], a[step:])
+            h = np.minimum(h[:-step], h[step:])
             step *= 2
         rest = width - step
-        return best(a[: len(a) - rest], a[rest:]) if rest else a
+        out.append((np.minimum(h[: len(h) - rest], h[rest:]) if rest else h)[at])
+    return at, out
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal ``keys`` begin, and the end."""
+    new = np.ones(len(keys[0]) + 1, bool)
+    if len(keys[0]):
+        new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return np.flatnonzero(new)
+    return np.zeros(1, np.int64)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each."""
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
-    least = slide(h, np.minimum)
-    last = np.repeat(offsets[1:], np.diff(offsets))[: len(least)] - length
-    least[np.arange(len(least)) > last] = 0
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(slide(np.concatenate([pad, least, pad]), np.maximum) == h)
-    return at, h[at]
+
+def _small(values: np.ndarray) -> bytes:
+    """Unsigned values in 2 bytes each where they fit, else in 4."""
+    return values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +135,11 @@ def _send(n_parts: int, length: int):
                     low = first_h[mine] & _LOW
                     steps = np.diff(low, prepend=np.uint64(0))
                     small = int(steps.max()) < 1 << 32
-                    rows.append((p, 2 if small else 0, key[docs].tobytes(), (steps.astype("<u4") if small else low).tobytes(), (index * 2 + several[mine]).astype("<u4").tobytes()))
+                    rows.append((p, 2 if small else 0, key[docs].tobytes(), (steps.astype("<u4") if small else low).tobytes(), _small(index * 2 + several[mine])))
             told = np.flatnonzero(shared)
             told = told[np.argsort(own[told], kind="stable")]
             for piece in np.split(told, np.flatnonzero(np.diff(own[told])) + 1) if len(told) else []:
-                rows.append((int(own[piece[0]]) % n_parts, 1, key[own[piece[0]]].tobytes(), h[piece].tobytes(), b""))
+                rows.append((int(own[piece[0]]) % n_parts, 1, key[own[piece[0]]].tobytes(), _packed(h[piece]), b""))
             return _rows(rows, _KEYED)
 
         for batch in batches:
@@ -120,9 +147,11 @@ def _send(n_parts: int, length: int):
             ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
             for begin, end in bpe.steps(texts):
                 data, offsets = text_bytes(texts.slice(begin, end - begin))
-                at, h = anchors(data, offsets, length)
-                owners.append(np.searchsorted(offsets, at, "right") - 1 + len(keys))
-                hashes.append(h)
+                at, (h,) = minimizers(data, offsets, (GRAM,), length)
+                own = np.searchsorted(offsets, at, "right") - 1
+                first = _runs(h, own)[:-1]
+                owners.append(own[first] + len(keys))
+                hashes.append(h[first])
                 keys += ids[begin:end].tolist()
                 size += len(data)
                 if size >= GATHER:
@@ -148,7 +177,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = []
         for row in batch.to_pylist():
             if row["kind"] == 1:
-                told.append((*np.frombuffer(row["docs"], np.int64).tolist(), (np.frombuffer(row["hashes"], np.uint64) & _LOW).tobytes()))
+                told.append((*np.frombuffer(row["docs"], np.int64).tolist(), row["hashes"]))
             else:
                 held.setdefault(row["part"], []).append(row)
         if told:
@@ -159,8 +188,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in held.pop(part):
             docs.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2))
             low.append(np.cumsum(np.frombuffer(row["hashes"], "<u4"), dtype=np.uint64) if row["kind"] == 2 else np.frombuffer(row["hashes"], np.uint64))
-            owners = np.frombuffer(row["owners"], "<u4")
-            own.append((owners >> 1).astype(np.int64) + base)
+            owners = _wide(row["owners"], len(low[-1]))
+            own.append((owners >> 1) + base)
             known.append((owners & 1).astype(bool))
             base += len(docs[-1])
         docs, low, own, known = (np.concatenate(x) for x in (docs, low, own, known))
@@ -170,17 +199,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.diff(np.append(starts, len(low)))
         news = np.flatnonzero(np.repeat(count > 1, count) & ~known)
         news = news[np.argsort(own[news], kind="stable")]
-        told = [(*docs[own[piece[0]]].tolist(), low[piece].tobytes()) for piece in (np.split(news, np.flatnonzero(np.diff(own[news])) + 1) if len(news) else [])]
+        told = [(*docs[own[piece[0]]].tolist(), _packed(low[piece])) for piece in (np.split(news, np.flatnonzero(np.diff(own[news])) + 1) if len(news) else [])]
         if told:
             yield _rows(told, schema)
 
 
-_SNIPPETS = "part long, docs binary, sizes binary, data binary, hashes binary, which binary, owners binary, starts binary"
+_SNIPPETS = "part long, holders long, docs binary, sizes binary, data binary, hashes binary, which binary, owners binary, starts binary"
 
 
 def _snip(n_parts: int, length: int):
-    """Snippets around shared minimizers, by part; equal ones of a gathering once, with all that hold them."""
-    around = length - GRAM
+    """Snippets of candidates by part; equal ones of a gathering once, with all that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, size = [], [], 0
@@ -205,7 +233,7 @@ def _snip(n_parts: int, length: int):
                 docs, index = np.unique(own[mine], return_inverse=True)
                 n = length_of[one]
                 place = np.repeat(ends[one] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                rows.append((p, key[docs].tobytes(), n.astype("u1" if n.max() < 256 else "<u4").tobytes(), data[place].tobytes(), h[one].tobytes(), (np.cumsum(fresh) - 1).astype("<u4").tobytes(), index.astype("<u4").tobytes(), start[mine].astype("<i8").tobytes()))
+                rows.append((p, len(mine), key[docs].tobytes(), _small(n), data[place].tobytes(), h[one].tobytes(), _small(np.cumsum(fresh) - 1), _small(index), start[mine].astype("<i8" if start[mine].max() >> 32 else "<u4").tobytes()))
             return _rows(rows, _SNIPPETS)
 
         for batch in batches:
@@ -214,23 +242,30 @@ def _snip(n_parts: int, length: int):
             shared = batch.column(3)
             for begin, end in bpe.steps(texts):
                 data, offsets = text_bytes(texts.slice(begin, end - begin))
-                at, h = anchors(data, offsets, length)
+                at, (h, route) = minimizers(data, offsets, (GRAM, ROUTE), length)
                 own = np.searchsorted(offsets, at, "right") - 1
-                cuts = np.searchsorted(own, np.arange(end - begin + 1))
-                good = np.zeros(len(at), bool)
+                edges = _runs(h, own)
+                firsts, of = h[edges[:-1]] & _LOW, own[edges[:-1]]
+                cuts = np.searchsorted(of, np.arange(end - begin + 1))
+                good = np.zeros(len(firsts), bool)
                 for i in range(end - begin):
-                    told = np.concatenate([np.frombuffer(x, np.uint64) for x in shared[begin + i].as_py()])
-                    good[cuts[i] : cuts[i + 1]] = np.isin(h[cuts[i] : cuts[i + 1]] & _LOW, told)
-                at, h, own = at[good], h[good], own[good]
-                first, last = np.maximum(at - around, offsets[own]), np.minimum(at + GRAM + around, offsets[own + 1])
+                    told = np.concatenate([_unpacked(x) for x in shared[begin + i].as_py()])
+                    good[cuts[i] : cuts[i + 1]] = np.isin(firsts[cuts[i] : cuts[i + 1]], told)
+                candidate = np.flatnonzero(np.repeat(good, np.diff(edges)))
+                at, route, own = at[candidate], route[candidate], own[candidate]
+                edges = _runs(route, own, at - np.arange(len(at)))
+                nth = np.arange(len(at)) - np.repeat(edges[:-1], np.diff(edges))
+                first = np.flatnonzero(nth % RUN == 0)
+                last = np.append(first[1:], len(at))[: len(first)] - 1
+                route, own, first, last = route[first], own[first], at[first], at[last] + length
                 n = last - first
                 place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                held.append((h, own + len(keys), first - offsets[own], bpe.span_hashes(data, first, last), n, data[place]))
+                held.append((route, own + len(keys), first - offsets[own], bpe.span_hashes(data, first, last), n, data[place]))
                 keys += ids[begin:end].tolist()
                 size += len(place)
                 if size >= GATHER // 2:
                     yield out()
-        if size:
+        if held:
             yield out()
 
     return run
@@ -265,12 +300,12 @@ class RunIndex:
             key = (key << 9) | np.where(left > k, padded[k : n + k].astype(np.int64) + 1, 0)
         step = 7
         while True:
-            order = np.argsort(key)
+            order = np.argsort(key, kind="stable" if step >= longest else None)
+            if step >= longest:
+                return order
             ranked = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-            if step >= longest:
-                return np.argsort(rank * n + np.arange(n))
             far = np.minimum(np.arange(n) + step, n - 1)
             key = rank * (n + 1) + np.where(left > step, rank[far] + 1, 0)
             step *= 2
@@ -323,11 +358,12 @@ def _match(length: int):
             for row in held.pop(part):
                 docs.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2))
                 hashes.append(np.frombuffer(row["hashes"], np.uint64))
-                sizes.append(np.frombuffer(row["sizes"], "u1" if len(row["sizes"]) == len(hashes[-1]) else "<u4").astype(np.int64))
+                sizes.append(_wide(row["sizes"], len(hashes[-1])))
                 data.append(np.frombuffer(row["data"], np.uint8))
-                which.append(np.frombuffer(row["which"], "<u4").astype(np.int64) + n_snippets)
-                own.append(np.frombuffer(row["owners"], "<u4").astype(np.int64) + n_docs)
-                start.append(np.frombuffer(row["starts"], "<i8"))
+                n = row["holders"]
+                which.append(_wide(row["which"], n) + n_snippets)
+                own.append(_wide(row["owners"], n) + n_docs)
+                start.append(np.frombuffer(row["starts"], "<u4" if len(row["starts"]) == 4 * n else "<i8").astype(np.int64))
                 n_docs, n_snippets = n_docs + len(docs[-1]), n_snippets + len(hashes[-1])
             docs, sizes, data, hashes, which, own, start = (np.concatenate(x) for x in (docs, sizes, data, hashes, which, own, start))
             ends = np.cumsum(sizes)
@@ -408,8 +444,9 @@ def _among(given: DataFrame, told: DataFrame, kind: str) -> DataFrame:
     return given.join(F.broadcast(slots), _slot() == F.col("slot"), kind)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): ``docs`` as (doc, tkey, text), and of those with repeats (doc, tkey, starts, ends), lists of binary int64 arrays.
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, twins, spans). rows: ``docs`` as (doc, tkey, text) without twins; twins (doc, tkey, n_bytes): documents whose whole text, of
+    ``length`` bytes or more, is that of a document of smaller id; spans (doc, tkey, starts, ends): lists of binary int64 arrays.
 
     A byte is in a span where a string of ``length`` bytes covers it that also starts in a document of smaller id.
     ``tkey`` tells rows of one id with different texts apart. Spans of different parts may overlap.
@@ -420,13 +457,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     given = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    source = given.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
+    long = F.col("doc").isNotNull() & (F.octet_length("text") >= length)
+    digests = checkpoint(given.filter(long).select("doc", "tkey", F.xxhash64(F.lit(1), "text").alias("more"), F.octet_length("text").cast("long").alias("n_bytes")))
+    classes = checkpoint(digests.groupBy("tkey", "more", "n_bytes").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high"))
+    twins = checkpoint(digests.join(classes, ["tkey", "more", "n_bytes"]).filter("doc > low").select("doc", "tkey", "n_bytes"))
+    alone = _among(given, twins, "left_anti").union(_among(given, twins, "left_semi").join(twins, ["doc", "tkey"], "left_anti").select("doc", "tkey", "text"))
+    source = alone.filter(long)
     met = source.mapInArrow(_send(n_parts, length), _KEYED).repartition(n_parts, "part").mapInArrow(_meet, "doc long, tkey long, hashes binary")
     shared = checkpoint(met.groupBy("doc", "tkey").agg(F.collect_list("hashes").alias("hashes")))
     concerned = _among(source, shared, "left_semi").join(shared, ["doc", "tkey"]).select("doc", "tkey", "text", "hashes")
     snippets = concerned.mapInArrow(_snip(n_parts, length), _SNIPPETS).repartition(n_parts, "part")
     spans = snippets.mapInArrow(_match(length), "doc long, tkey long, starts binary, ends binary")
-    return given, checkpoint(spans.groupBy("doc", "tkey").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
+    return alone, twins, checkpoint(spans.groupBy("doc", "tkey").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
 
 
 def _all_spans(starts: list[bytes], ends: list[bytes]) -> tuple[list[int], list[int]]:
@@ -440,7 +482,7 @@ def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, after removal of all repeats (see ``repeats``).
 
     Null texts are empty; texts shorter than ``length`` and rows with null ids lose nothing and cost nothing; rows of one id
-    are no repeats of each other; other columns are not read. Texts without repeats are never shuffled.
+    are no repeats of each other; other columns are not read.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,13 +498,14 @@ def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    given, spans = repeats(docs, length, id_col, text_col)
+    given, twins, spans = repeats(docs, length, id_col, text_col)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"], "left").select("doc", "text", "starts", "ends").mapInArrow(cut, schema)
     whole = _among(given, spans, "left_anti")
     zero = F.lit(0).cast("long")
     untouched = whole.select(F.col("doc").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    return untouched.union(touched)
+    gone = twins.select(F.col("doc").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
+    return untouched.union(touched).union(gone)
 
 
 def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -489,9 +532,10 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
                 texts.append(b"".join([*pieces, data[at:]]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_doc", "_tkey", "_left"])
 
-    given, spans = repeats(docs, length, id_col, text_col)
+    given, twins, spans = repeats(docs, length, id_col, text_col)
     touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"]).select("doc", "tkey", "text", "starts", "ends").dropDuplicates(["doc", "tkey"])
     left = touched.mapInArrow(cut, "_doc long, _tkey long, _left string")
+    left = left.union(twins.select("doc", "tkey", F.lit("")).distinct())
     on = (docs[id_col].cast("long") == left["_doc"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == left["_tkey"])
     joined = docs.join(left, on, "left").filter("_left IS NULL OR _left <> ''")
     return joined.select(*[F.coalesce("_left", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
