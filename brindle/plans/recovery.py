@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,7 +22,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, on which Spark drops the shuffle and checkpoint files that nothing refers to.
+
+    Without it a query of many stages keeps all of them on disk until the driver's heap happens to fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_path(spark: SparkSession, prefix: str) -> str:
