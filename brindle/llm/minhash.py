@@ -18,8 +18,10 @@ from brindle.plans.recovery import checkpoint
 PERMUTATIONS = 64
 #: Signature values of a band. With 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8.
 ROWS = 4
-#: Rounds that compare each bucket with one of its members, before all pairs left are compared.
-ROUNDS = 2
+#: Rounds that compare each bucket with one of its members, before the pairs left between components are compared.
+ROUNDS = 1
+#: Members from which a bucket left over is compared in blocks, and members of a block.
+LARGE, BLOCK = 64, 256
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +109,49 @@ def _linked(percent: int):
     return run
 
 
+def _between(percent: int):
+    """Links between two blocks of a cell: pairs of different components that share a band and whose full sets are alike enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, n, component, side = (table[c].to_numpy() for c in ("doc", "n", "component", "side"))
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        items = [np.frombuffer(x.as_buffer(), "<u8") for x in table["items"]]
+        alone = table["first"][0].as_py() == table["second"][0].as_py()
+        left = np.flatnonzero(side == 0)
+        right = left if alone else np.flatnonzero(side == 1)
+        shared = np.zeros((len(left), len(right)), bool)
+        for b in range(keys.shape[1]):
+            shared |= keys[left, b][:, None] == keys[right, b]
+        low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        shared &= (component[left][:, None] != component[right]) & (100 * low >= percent * high)
+        if alone:
+            shared = np.triu(shared, 1)
+        a, b = [], []
+        for i in np.flatnonzero(shared.any(1)).tolist():
+            x = items[left[i]]
+            those = right[shared[i]]
+            sizes = n[those]
+            joint = np.concatenate([items[j] for j in those])
+            at = np.minimum(np.searchsorted(x, joint), len(x) - 1)
+            both = np.bincount(np.repeat(np.arange(len(those)), sizes), weights=x[at] == joint, minlength=len(those)).astype(np.int64)
+            good = those[100 * both >= percent * (len(x) + sizes - both)]
+            a += [doc[left[i]]] * len(good)
+            b += doc[good].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Two documents are linked where their full sets of ``shingle``-word shingles have a Jaccard similarity of at least
     ``percent`` / 100. Documents of equal sets form a class, and one of each class, its smallest id, takes part.
-    Classes meet in the buckets of their bands. A bucket is never taken apart into all pairs: each round compares its
-    members with one of them, drawn anew, and only buckets that still hold several components go on, at last with
-    the pairs between components. Candidates have no cap. Every link is confirmed on the full sets.
+    Classes meet in the buckets of their bands. A round compares the members of each bucket with one of them. Buckets that
+    then hold several components go on: of small ones, members outside the main component meet those of other components; large ones
+    are compared in pairs of blocks, inside tasks, by components, bands and sizes first. No pair of one component is compared
+    again, and candidates have no cap. Every link is confirmed on the full sets.
 
     Texts without words (and null) are linked with nothing. Rows of one id are one document; null ids are linked with nothing
     and kept, with a null component. Other columns are not read.
@@ -137,21 +174,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         whole = left.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
         return checkpoint(whole.mapInArrow(_linked(percent), "a long, b long"))
 
-    links, known = None, members.withColumn("component", F.col("doc"))
-    for turn in range(ROUNDS + 1):
+    def unsettled(known: DataFrame, turn: int) -> DataFrame:
+        """Buckets that hold several components, each with one of its members, drawn anew, and that member's component."""
         drawn = F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n", "component")
-        mixed_up = known.groupBy("bucket").agg(F.min(drawn).alias("one"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        ones = checkpoint(mixed_up.select("bucket", F.col("one.doc").alias("b"), F.col("one.n").alias("nb"), F.col("one.component").alias("main")))
-        minor = known.join(ones, "bucket").filter(F.col("component") != F.col("main")).select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), "component", "main", "b", "nb")
-        if turn == ROUNDS:
-            other = known.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("theirs"))
-            minor = minor.drop("b", "nb").join(other, "bucket").filter((F.col("theirs") != F.col("component")) & ((F.col("theirs") == F.col("main")) | (F.col("a") < F.col("b"))))
-        found = confirmed(minor.select("a", "na", "b", "nb"))
-        if turn and found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
+        held = known.groupBy("bucket").agg(F.min(drawn).alias("one"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        return checkpoint(held.filter("low < high").select("bucket", F.col("one.doc").alias("b"), F.col("one.n").alias("nb"), F.col("one.component").alias("main"), "size"))
+
+    def grouped(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         labels = components(links)
-        known = checkpoint(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component")))
+        placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        return labels, checkpoint(placed)
+
+    links, known = None, members.withColumn("component", F.col("doc"))
+    for turn in range(ROUNDS):
+        minor = known.join(unsettled(known, turn), "bucket").filter(F.col("component") != F.col("main"))
+        found = confirmed(minor.select(F.col("doc").alias("a"), F.col("n").alias("na"), "b", "nb"))
+        links = found if links is None else links.union(found)
+        labels, known = grouped(links)
+    left = unsettled(known, ROUNDS)
+    few = known.join(left.filter(F.col("size") < LARGE), "bucket")
+    one = few.filter(F.col("component") != F.col("main")).select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), "component", "main")
+    other = few.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("theirs"))
+    pairs = one.join(other, "bucket").filter((F.col("theirs") != F.col("component")) & ((F.col("theirs") == F.col("main")) | (F.col("a") < F.col("b"))))
+    found = confirmed(pairs.select("a", "na", "b", "nb"))
+    # large buckets of one group hold much the same members: their unions are compared, in blocks, within tasks
+    many = checkpoint(known.join(left.filter(F.col("size") >= LARGE), "bucket").select("doc", "n", "component", "b"))
+    if not many.isEmpty():
+        cells = components(many.select(F.col("doc").alias("a"), "b")).withColumnRenamed("component", "cell")
+        sizes = checkpoint(cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+        facts = many.select("doc", "n", "component").distinct().join(cells.withColumnRenamed("node", "doc"), "doc").join(sizes, "cell")
+        own = rows.filter(F.col("bands").isNotNull()).select("doc", "bands").dropDuplicates(["doc"])
+        dealt = facts.join(own, "doc").join(sets.dropDuplicates(["doc"]), "doc")
+        block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+        dealt = dealt.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("cell", F.least("block", "o").alias("first"), F.greatest("block", "o").alias("second"), (F.col("block") > F.col("o")).cast("int").alias("side"), "doc", "n", "component", "bands", "items")
+        found = found.union(checkpoint(dealt.groupBy("cell", "first", "second").applyInArrow(_between(percent), "a long, b long")))
+    if not found.isEmpty():
+        labels, _ = grouped(links.union(found))
     out = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))

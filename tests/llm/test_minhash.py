@@ -70,3 +70,19 @@ def test_chain_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = random.Random(9)
+    base = [f"w{r.randrange(300)}" for _ in range(120)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8, 10])):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(x) for x in minhash.near_duplicates(df, shingle=4).collect()}
+    assert got == brute(docs, 4) and len({c for _, _, c, _ in got}) > 5
