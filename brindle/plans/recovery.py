@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Has the driver collect garbage, on which Spark drops the shuffle and checkpoint files that nothing refers to.
 
-    Without it a query of many stages keeps all of them on disk until the driver's heap happens to fill up.
+    Without it a query of many stages keeps all of them on disk until the driver's heap happens to fill up. A session
+    within one process, with small data and a heap of its executors' size, is left alone.
     """
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
