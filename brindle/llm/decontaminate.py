@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
+from brindle.llm.memory import tidy
 
 #: Tokens of a window (of a shorter item: the whole item), least tokens of an item, least words in a window that are no placeholders.
 WINDOW, LEAST, LITERALS = 8, 5, 3
@@ -184,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
         for batch in batches:
             yield from _window_rows(batch.column(0), bpe.filled(batch.column(1)), sizes, keep)
 
-    held = given.mapInArrow(of_docs, _SCHEMA)
+    held = given.mapInArrow(tidy(of_docs), _SCHEMA)
     known = index.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
     totals = index.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("hash").alias("n_windows"))
     met = held.join(known, "hash").filter(F.size("slots") == F.size("item_slots"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import bpe
+from brindle.llm.memory import tidy
 
 #: Characters of an n-gram, hash functions, and slots of the filter (of 8 bytes each: 4 MB, whatever the data).
 N, PROBES, SLOTS = 4, 2, 1 << 19
@@ -117,7 +118,7 @@ def fit(labelled: DataFrame) -> Model:
                     grams, uses = np.unique(hashes[(langs[begin:end] == lang)[row]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(uses)], names=["lang", "gram", "uses"])
 
-    counted = known.filter(drawn < share).select("text", "lang").mapInArrow(count, "lang string, gram long, uses long")
+    counted = known.filter(drawn < share).select("text", "lang").mapInArrow(tidy(count), "lang string, gram long, uses long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("uses").alias("uses")).persist()
     table, grams, rates = np.zeros(SLOTS, np.uint64), [], {}
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("uses").alias("n")).collect()}
@@ -166,4 +167,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         made = ["_lang_pred", "_score", "_n_grams"]
     fields = [*given.schema.fields[1:], *(T.StructField(n, t) for n, t in zip(made, [T.StringType(), T.DoubleType(), T.LongType()], strict=True))]
     names = [f.name for f in fields]
-    return given.mapInArrow(run, T.StructType(fields))
+    return given.mapInArrow(tidy(run), T.StructType(fields))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bpe
 from brindle.llm.components import components
+from brindle.llm.memory import tidy
 from brindle.llm.shingles import mixed, shingle_sets
 from brindle.plans.recovery import checkpoint
 
@@ -157,14 +158,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     and kept, with a null component. Other columns are not read.
     """
     given = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
-    digests = checkpoint(given.mapInArrow(_digests(shingle), "doc long, n long, k1 long, k2 long, bands array<long>"))
+    digests = checkpoint(given.mapInArrow(tidy(_digests(shingle)), "doc long, n long, k1 long, k2 long, bands array<long>"))
     classes = checkpoint(digests.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep")))
     rows = checkpoint(digests.join(classes, ["n", "k1", "k2"]).select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
     placed = rows.filter(F.col("bands").isNotNull()).select(F.col("doc"), F.col("n"), F.explode("bands").alias("bucket"))
     shared = checkpoint(placed.groupBy("bucket").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("bucket"))
     members = checkpoint(placed.join(shared, "bucket").select("bucket", "doc", "n"))
     wanted = members.select("doc").distinct()
-    sets = checkpoint(given.join(wanted, "doc", "left_semi").mapInArrow(_sets(shingle), "doc long, items binary"))
+    sets = checkpoint(given.join(wanted, "doc", "left_semi").mapInArrow(tidy(_sets(shingle)), "doc long, items binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """``pairs``: a, b and their sizes."""
@@ -172,7 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left = close.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
         whole = left.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
-        return checkpoint(whole.mapInArrow(_linked(percent), "a long, b long"))
+        return checkpoint(whole.mapInArrow(tidy(_linked(percent)), "a long, b long"))
 
     def unsettled(known: DataFrame, turn: int) -> DataFrame:
         """Buckets that hold several components, each with one of its members, drawn anew, and that member's component."""

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
+from brindle.llm.memory import tidy
 from brindle.llm.shingles import mixed
 from brindle.plans.recovery import checkpoint
 
@@ -463,11 +464,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     twins = checkpoint(digests.join(classes, ["tkey", "more", "n_bytes"]).filter("doc > low").select("doc", "tkey", "n_bytes"))
     alone = _among(given, twins, "left_anti").union(_among(given, twins, "left_semi").join(twins, ["doc", "tkey"], "left_anti").select("doc", "tkey", "text"))
     source = alone.filter(long)
-    met = source.mapInArrow(_send(n_parts, length), _KEYED).repartition(n_parts, "part").mapInArrow(_meet, "doc long, tkey long, hashes binary")
+    met = source.mapInArrow(tidy(_send(n_parts, length)), _KEYED).repartition(n_parts, "part").mapInArrow(tidy(_meet), "doc long, tkey long, hashes binary")
     shared = checkpoint(met.groupBy("doc", "tkey").agg(F.collect_list("hashes").alias("hashes")))
     concerned = _among(source, shared, "left_semi").join(shared, ["doc", "tkey"]).select("doc", "tkey", "text", "hashes")
-    snippets = concerned.mapInArrow(_snip(n_parts, length), _SNIPPETS).repartition(n_parts, "part")
-    spans = snippets.mapInArrow(_match(length), "doc long, tkey long, starts binary, ends binary")
+    snippets = concerned.mapInArrow(tidy(_snip(n_parts, length)), _SNIPPETS).repartition(n_parts, "part")
+    spans = snippets.mapInArrow(tidy(_match(length)), "doc long, tkey long, starts binary, ends binary")
     return alone, twins, checkpoint(spans.groupBy("doc", "tkey").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
 
 
@@ -500,7 +501,7 @@ def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
     given, twins, spans = repeats(docs, length, id_col, text_col)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"], "left").select("doc", "text", "starts", "ends").mapInArrow(cut, schema)
+    touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"], "left").select("doc", "text", "starts", "ends").mapInArrow(tidy(cut), schema)
     whole = _among(given, spans, "left_anti")
     zero = F.lit(0).cast("long")
     untouched = whole.select(F.col("doc").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -534,7 +535,7 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
     given, twins, spans = repeats(docs, length, id_col, text_col)
     touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"]).select("doc", "tkey", "text", "starts", "ends").dropDuplicates(["doc", "tkey"])
-    left = touched.mapInArrow(cut, "_doc long, _tkey long, _left string")
+    left = touched.mapInArrow(tidy(cut), "_doc long, _tkey long, _left string")
     left = left.union(twins.select("doc", "tkey", F.lit("")).distinct())
     on = (docs[id_col].cast("long") == left["_doc"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == left["_tkey"])
     joined = docs.join(left, on, "left").filter("_left IS NULL OR _left <> ''")
