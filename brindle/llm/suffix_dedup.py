@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from brindle.llm import bpe
 from brindle.llm.memory import tidy
 from brindle.llm.shingles import mixed
-from brindle.plans.recovery import checkpoint
+from brindle.plans.recovery import checkpoint, release
 
 LENGTH = 50
 #: Bytes of a minimizer, and of a route; strings in a snippet at most.
@@ -469,7 +469,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     concerned = _among(source, shared, "left_semi").join(shared, ["doc", "tkey"]).select("doc", "tkey", "text", "hashes")
     snippets = concerned.mapInArrow(tidy(_snip(n_parts, length)), _SNIPPETS).repartition(n_parts, "part")
     spans = snippets.mapInArrow(tidy(_match(length)), "doc long, tkey long, starts binary, ends binary")
-    return alone, twins, checkpoint(spans.groupBy("doc", "tkey").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
+    spans = checkpoint(spans.groupBy("doc", "tkey").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
+    release(spark)
+    return alone, twins, spans
 
 
 def _all_spans(starts: list[bytes], ends: list[bytes]) -> tuple[list[int], list[int]]:
