@@ -23,9 +23,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    release(df.sparkSession)  # of what came before: while the caller waits, this plan's own files are in use
+    return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
