@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its
 template. Windows of templates are hash-joined between benchmark and documents, and the values that the
-placeholders stood for must correspond one to one.
+placeholders stood for must correspond one to one. Items without a window of templates are found by all of their tokens.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,11 @@ COVERED = 0.5
 #: Slots of the prefilter sent to all executors: 2 MB whatever the benchmark's size; the join after it decides.
 SLOTS = 1 << 24
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "mile", "miles", "foot", "feet", "inch", "inches", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "usd", "eur"]
-_TOKEN, _WORD, _NUMBER, _UPPER, _STOP = 1, 2, 4, 8, 16
+#: Scripts written without spaces: every letter is a token.
+SPACELESS = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)]
+_TOKEN, _WORD, _NUMBER, _UPPER, _STOP, _ALONE = 1, 2, 4, 8, 16, 32
+#: Sequences of a text: templates; tokens in lower case; all characters but white space.
+_TEMPLATE, _RAW, _GLYPHS = range(3)
 _NAME, _NUM, _UNIT = (np.uint64(0x1000000001 + k) for k in range(3))
 
 
@@ -45,6 +50,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             flags[i] = _TOKEN | _NUMBER
     for c in ".!?:;\n\r\"“”«»":
         flags[ord(c)] |= _STOP
+    for low, high in SPACELESS:
+        flags[low : high + 1] |= np.where(flags[low : high + 1] & _WORD, np.uint8(_ALONE), np.uint8(0))
     return flags, lower
 
 
@@ -58,92 +65,155 @@ def _units() -> np.ndarray:
     return np.array(sorted(_hash(u) for u in UNITS), np.uint64)
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of all texts, the values of those that are placeholders (else 0), and each text's first token, plus the end.
+class _Tokens(NamedTuple):
+    points: np.ndarray
+    offsets: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    own: np.ndarray  # hash in lower case
+    opens: np.ndarray  # first token of each text, plus the end
+    number: np.ndarray
+    upper: np.ndarray
+    ended: np.ndarray  # first of a sentence
+    gap: np.ndarray
 
-    A token is a run of letters or of digits. A capitalised word that follows another word within a sentence is a name, and
-    so are those right after it; digits parted by ``.`` or ``,`` are one number; a unit stands right after a number.
-    """
+
+class _Sequence(NamedTuple):
+    tokens: np.ndarray
+    values: np.ndarray  # of placeholders, else 0
+    words: np.ndarray
+    opens: np.ndarray
+
+
+def _tokens(texts: pa.Array) -> _Tokens:
+    """A token is a run of letters or of digits, or one letter of a script without spaces."""
     points, offsets = bpe.code_points(texts)
     flags, lower = _tables()
     flag = flags[points]
     first = np.zeros(len(points) + 1, bool)
     first[offsets] = True
-    kind = flag & (_WORD | _NUMBER)
+    kind = flag & (_WORD | _NUMBER | _ALONE)
     change = first[:-1].copy()
     if len(points):
-        change[1:] |= kind[1:] != kind[:-1]
+        change[1:] |= (kind[1:] != kind[:-1]) | ((kind[1:] & _ALONE) > 0)
     start = np.flatnonzero(change & (kind > 0))
     edges = np.append(np.flatnonzero(change), len(points))
     stop = edges[np.searchsorted(edges, start, "right")]
     own = bpe.span_hashes(lower[points], start, stop)
-    opens = np.searchsorted(start, offsets)  # first token of each text
+    opens = np.searchsorted(start, offsets)
     n = len(start)
-    new = np.zeros(n + 1, bool)
-    new[opens] = True
-    new = new[:n]
     stops = np.concatenate([[0], np.cumsum((flag & _STOP) > 0)])
     gap = np.zeros(n, np.int64)
     ended = np.ones(n, bool)
     if n > 1:
         gap[1:] = start[1:] - stop[:-1]
         ended[1:] = stops[start[1:]] > stops[stop[:-1]]
-    ended |= new
-    number = (flag[start] & _NUMBER) > 0
-    name = ~number & ((flag[start] & _UPPER) > 0) & ~ended
+    ended |= _firsts(opens, n)
+    return _Tokens(points, offsets, start, stop, own, opens, (flag[start] & _NUMBER) > 0, (flag[start] & _UPPER) > 0, ended, gap)
+
+
+def _firsts(opens: np.ndarray, n: int) -> np.ndarray:
+    new = np.zeros(n + 1, bool)
+    new[opens] = True
+    return new[:n]
+
+
+def _templates(t: _Tokens) -> _Sequence:
+    n, new = len(t.start), _firsts(t.opens, len(t.start))
+    name = ~t.number & t.upper & ~t.ended
     after_number = np.zeros(n, bool)
-    after_number[1:] = number[:-1] & ~new[1:]
-    unit = ~number & after_number & np.isin(own, _units()) & (gap <= 1)
+    after_number[1:] = t.number[:-1] & ~new[1:]
+    unit = ~t.number & after_number & np.isin(t.own, _units()) & (t.gap <= 1)
     joined = np.zeros(n, bool)  # tokens that continue a number or a name
     if n > 1:
-        points_before = points[np.maximum(start - 1, 0)]
-        joined[1:] = (number[1:] & number[:-1] & (gap[1:] == 1) & np.isin(points_before[1:], [ord("."), ord(",")])) | (name[1:] & name[:-1] & (gap[1:] == 1))
+        points_before = t.points[np.maximum(t.start - 1, 0)]
+        joined[1:] = (t.number[1:] & t.number[:-1] & (t.gap[1:] == 1) & np.isin(points_before[1:], [ord("."), ord(",")])) | (name[1:] & name[:-1] & (t.gap[1:] == 1))
         joined &= ~new
-    token = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, own)))
-    slot = number | name | unit
+    token = np.where(t.number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, t.own)))
+    slot = t.number | name | unit
     head = np.flatnonzero(~joined)
-    value = np.where(slot, own, np.uint64(0))
+    value = np.where(slot, t.own, np.uint64(0))
     if n:
         ranks = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
         value = np.add.reduceat(value * (np.uint64(2) * ranks.astype(np.uint64) + np.uint64(1)), head)
-    return token[head], value, np.searchsorted(head, opens)
+    return _Sequence(token[head], value, value == 0, np.searchsorted(head, t.opens))
+
+
+def _raw(t: _Tokens) -> _Sequence:
+    return _Sequence(t.own, np.zeros(len(t.own), np.uint64), ~t.number, t.opens)
 
 
-def windows(tokens: np.ndarray, values: np.ndarray, opens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First tokens and hashes of the windows of ``size`` within texts; mostly placeholders: left out."""
-    n = len(tokens) - size + 1
+def _glyphs(t: _Tokens) -> _Sequence:
+    at = np.flatnonzero(~np.isin(t.points, bpe.WHITE_SPACE))
+    return _Sequence(t.points[at].astype(np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool), np.searchsorted(at, t.offsets))
+
+
+_SEQUENCES = {_TEMPLATE: _templates, _RAW: _raw, _GLYPHS: _glyphs}
+
+
+def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of all texts, the values of those that are placeholders (else 0), and each text's first token, plus the end.
+
+    A capitalised word that follows another word within a sentence is a name, and so are those right after it; digits parted
+    by ``.`` or ``,`` are one number; a unit stands right after a number.
+    """
+    found = _templates(_tokens(texts))
+    return found.tokens, found.values, found.opens
+
+
+def windows(of: _Sequence, size: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First tokens and hashes of the windows of ``size`` within texts, and whether each has words enough; templates that have not: left out."""
+    n = len(of.tokens) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(size))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    h = np.full(n, np.uint64(size + (kind << 8)))
     for k in range(size):
-        h = (h ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ of.tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    row = np.searchsorted(opens, np.arange(len(tokens)), "right")
-    literal = np.concatenate([[0], np.cumsum(values == 0)])
-    at = np.flatnonzero((row[:n] == row[size - 1 :]) & (literal[size:] - literal[:-size] >= min(LITERALS, size)))
-    return at, h[at]
+    row = np.searchsorted(of.opens, np.arange(len(of.tokens)), "right")
+    words = np.concatenate([[0], np.cumsum(of.words)])
+    worded = words[size:] - words[:-size] >= min(LITERALS, size)
+    within = row[:n] == row[size - 1 :]
+    at = np.flatnonzero(within & worded if kind == _TEMPLATE else within)
+    return at, h[at], worded[at]
 
 
 _SCHEMA = "id long, at long, hash long, slots array<long>"
 
 
-def _window_rows(ids: pa.Array, texts: pa.Array, sizes: list[int], keep) -> Iterator[pa.RecordBatch]:
+def _window_rows(ids: pa.Array, texts: pa.Array, wanted: list[tuple[int, int]], keep) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_SCHEMA`` of the windows of all ``wanted`` kinds and sizes whose hashes are to ``keep``."""
     for begin, end in bpe.steps(texts):
-        tokens, values, opens = templates(texts.slice(begin, end - begin))
-        for size in sizes:
-            at, h = windows(tokens, values, opens, size)
-            if keep is not None:
+        read = _tokens(texts.slice(begin, end - begin))
+        for kind in sorted({k for k, _ in wanted}):
+            of = _SEQUENCES[kind](read)
+            for size in sorted(size for k, size in wanted if k == kind):
+                at, h, _ = windows(of, size, kind)
                 good = keep(h)
                 at, h = at[good], h[good]
-            if not len(at):
-                continue
-            row = np.searchsorted(opens, at, "right") - 1
-            inside = values[at[:, None] + np.arange(size)]
-            some = inside != 0
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(begin, end - begin).take(pa.array(row)), pa.array(at - opens[row]), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32)), pa.array(inside[some].view(np.int64)))],
-                names=["id", "at", "hash", "slots"],
-            )
+                if len(at):
+                    row = np.searchsorted(of.opens, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin).take(pa.array(row)), *_columns(of, size, at, at - of.opens[row], h)], names=["id", "at", "hash", "slots"])
+
+
+def _columns(of: _Sequence, size: int, at: np.ndarray, place: np.ndarray, h: np.ndarray) -> list[pa.Array]:
+    inside = of.values[at[:, None] + np.arange(size)]
+    some = inside != 0
+    return [pa.array(place), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32)), pa.array(inside[some].view(np.int64)))]
+
+
+def _item_windows(text: pa.Array) -> Iterator[tuple[int, int, _Sequence, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, size, sequence, windows) by which one item is sought."""
+    read = _tokens(text)
+    template, raw = _templates(read), _raw(read)
+    size = min(len(template.tokens), WINDOW)
+    if size >= LEAST and len((found := windows(template, size, _TEMPLATE))[0]):
+        yield _TEMPLATE, size, template, *found
+        return
+    kind, of = (_RAW, raw) if len(raw.tokens) else (_GLYPHS, _glyphs(read))
+    if size := min(len(of.tokens), WINDOW):
+        at, h, worded = windows(of, size, kind)
+        yield kind, size, of, at, h, np.zeros(len(at), bool)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -151,30 +221,34 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
 
     A document holds an item if at least ``covered`` of the item's distinct template windows occur in it with
     values that correspond one to one along their diagonal. Windows are of ``WINDOW`` tokens; an item of ``LEAST`` to
-    ``WINDOW - 1`` tokens is one window; a shorter one has no wording to find. Documents emit only windows that pass a
-    fixed-size prefilter; a hash join with the benchmark's windows settles the rest, at whatever size the benchmark has.
+    ``WINDOW - 1`` tokens is one window. An item without such a window (a shorter one, or one of hardly a word that is no
+    placeholder) is held where all of its tokens stand in a row, whatever their case; one without letters and digits, where
+    all of its characters but white space do. Documents emit only windows that pass a fixed-size prefilter; a hash join
+    with the benchmark's windows settles the rest, at whatever size the benchmark has.
 
-    Null and empty texts, and rows with null ids, hold nothing and are never held; rows repeated under an id count once;
-    only the named columns are read.
+    Null and blank texts, and rows with null ids, hold nothing and are never held; rows repeated under an id count once,
+    and different texts of one item id are sought one by one; only the named columns are read.
     """
     items = benchmark.select(benchmark[item_col].cast("long").alias("id"), benchmark[item_text_col].cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    items = items.distinct().select("id", F.xxhash64("text").alias("variant"), "text")
     given = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                text = bpe.filled(batch.column(1).slice(i, 1))
-                size = min(len(templates(text)[0]), WINDOW)
-                if size >= LEAST:
-                    for out in _window_rows(batch.column(0).slice(i, 1), text, [size], None):
-                        yield out.append_column("size", pa.array(np.full(out.num_rows, size)))
-
-    index = items.mapInArrow(of_items, _SCHEMA + ", size long")
-    filled = index.select("size", F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct().toArrow()
+                for kind, size, of, at, h, worded in _item_windows(bpe.filled(batch.column(2).slice(i, 1))):
+                    same = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [same[0], *_columns(of, size, at, at, h), same[1], *(pa.array(np.full(len(at), x)) for x in (kind, size)), pa.array(worded)],
+                        names=["id", "at", "hash", "slots", "variant", "kind", "size", "worded"],
+                    )
+
+    index = items.mapInArrow(of_items, _SCHEMA + ", variant long, kind long, size long, worded boolean")
+    filled = index.select("kind", "size", F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct().toArrow()
     bits = np.zeros(SLOTS // 8, np.uint8)
     slots = filled["slot"].to_numpy()
     np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    sizes = sorted(set(filled["size"].to_pylist()))
+    wanted = sorted(set(zip(filled["kind"].to_pylist(), filled["size"].to_pylist(), strict=True)))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,20 +257,27 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
             return (sent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
         for batch in batches:
-            yield from _window_rows(batch.column(0), bpe.filled(batch.column(1)), sizes, keep)
+            yield from _window_rows(batch.column(0), bpe.filled(batch.column(1)), wanted, keep)
 
     held = given.mapInArrow(tidy(of_docs), _SCHEMA)
-    known = index.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    totals = index.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("hash").alias("n_windows"))
+    item = ["item_id", "variant", "kind"]
+    known = index.select(F.col("id").alias("item_id"), "variant", "kind", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "worded")
+    of_words = F.when(F.col("worded"), F.col("hash"))
+    totals = index.withColumnRenamed("id", "item_id").groupBy(*item).agg(F.countDistinct(of_words).alias("n_worded"), F.countDistinct("at").alias("n_all"))
     met = held.join(known, "hash").filter(F.size("slots") == F.size("item_slots"))
-    lines = met.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs")
+    lines = met.groupBy(F.col("id").alias("doc_id"), *item, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
+        F.collect_set(of_words).alias("hashes"), F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs")
     )
     n_pairs = F.size("pairs")
     one_to_one = (F.size(F.array_distinct(F.col("pairs.item_slots"))) == n_pairs) & (F.size(F.array_distinct(F.col("pairs.slots"))) == n_pairs)
-    matched = lines.filter(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_matched"))
-    share = F.col("n_matched") / F.col("n_windows")
-    return matched.join(totals, "item_id").filter(share >= covered).select("doc_id", "item_id", "n_windows", "n_matched", share.alias("share"))
+    matched = lines.filter(one_to_one).groupBy("doc_id", *item).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_hashes"), F.max(F.size("places")).cast("long").alias("n_places")
+    )
+    some = F.col("n_worded") > 0  # else the whole item has to stand on one diagonal
+    judged = matched.join(totals, item).select("doc_id", "item_id", some.alias("some"), F.when(some, F.col("n_worded")).otherwise(F.col("n_all")).alias("n_windows"), F.when(some, F.col("n_hashes")).otherwise(F.col("n_places")).alias("n_matched"))
+    held_by = judged.withColumn("share", F.col("n_matched") / F.col("n_windows")).filter(F.col("share") >= F.when(F.col("some"), F.lit(covered)).otherwise(F.lit(1.0)))
+    best = F.max(F.struct("share", "n_matched", "n_windows")).alias("best")
+    return held_by.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.share")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id") -> DataFrame:

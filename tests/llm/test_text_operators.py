@@ -106,3 +106,16 @@ def test_templates():
     tokens, values, opens = decontaminate.templates(pa.array(["It cost 1,000.50 dollars, said Ann Lee. Then", "", "5 kg"]))
     assert opens.tolist() == [0, 7, 7, 9]
     assert (values != 0).tolist() == [False, False, True, True, False, True, False, True, True]
+
+
+def found(spark, docs, bench):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.find(d, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+
+
+def test_decontamination_finds_items_without_windows(spark):
+    items = {1: "What Is The Capital Of France?", 2: "12 + 30 * 4 - 7 = ?", 3: "Why so?", 4: "今日の天気はどうですか", 5: "水", 6: "= ?! ⇒ ∅", 7: "NAME ALL OF THE PLANETS THAT HAVE RINGS", 8: "42", 9: " \n", 10: "Sum 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9"}
+    docs = [(i, f"Words before it, {x} and words after it") for i, x in items.items()]
+    docs += [(21, "what is the capital of france"), (22, "彼は今日の天気はどうですかと聞いた"), (23, "why, so"), (31, "the capital of France is what"), (32, "12 + 30 * 4 - 8 = ?"), (33, "420 whys so"), (34, "= ?! ⇒"), (35, "Sum 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8")]
+    got = found(spark, docs, [*items.items(), (3, "Or another text?")])
+    assert got == {(i, i) for i in items if i != 9} | {(21, 1), (22, 4), (23, 3)}
