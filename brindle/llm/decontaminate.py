@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its
 template. Windows of templates are hash-joined between benchmark and documents, and the values that the
-placeholders stood for must correspond one to one. Items without a window of templates are found by all of their tokens.
+placeholders stood for must correspond one to one. Beside the templates stand windows of tokens in lower case, which find
+copies whose capitals tell names apart in another way, and items without a window of templates.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min
 #: Scripts written without spaces: every letter is a token.
 SPACELESS = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)]
 _TOKEN, _WORD, _NUMBER, _UPPER, _STOP, _ALONE = 1, 2, 4, 8, 16, 32
-#: Sequences of a text: templates; tokens in lower case; all characters but white space.
-_TEMPLATE, _RAW, _GLYPHS = range(3)
+#: Sequences of a text: templates; templates in which every capitalised word is a name; tokens in lower case; all characters but white space.
+_TEMPLATE, _CAPITALS, _RAW, _GLYPHS = range(4)
 _NAME, _NUM, _UNIT = (np.uint64(0x1000000001 + k) for k in range(3))
 
 
@@ -48,7 +49,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
                 lower[i] = ord(low)
         elif kind[0] == "N":
             flags[i] = _TOKEN | _NUMBER
-    for c in ".!?:;\n\r\"“”«»":
+    for c in ".!?:;\"“”«»":
         flags[ord(c)] |= _STOP
     for low, high in SPACELESS:
         flags[low : high + 1] |= np.where(flags[low : high + 1] & _WORD, np.uint8(_ALONE), np.uint8(0))
@@ -103,11 +104,16 @@ def _tokens(texts: pa.Array) -> _Tokens:
     opens = np.searchsorted(start, offsets)
     n = len(start)
     stops = np.concatenate([[0], np.cumsum((flag & _STOP) > 0)])
+    ends_line = points == ord("\n")
+    ends_line |= (points == ord("\r")) & ~np.append(ends_line[1:], False)
+    lines = np.concatenate([[0], np.cumsum(ends_line)])
+    blanks = np.concatenate([[0], np.cumsum(np.isin(points, bpe.WHITE_SPACE))])
     gap = np.zeros(n, np.int64)
     ended = np.ones(n, bool)
     if n > 1:
         gap[1:] = start[1:] - stop[:-1]
-        ended[1:] = stops[start[1:]] > stops[stop[:-1]]
+        ended[1:] = (stops[start[1:]] > stops[stop[:-1]]) | (lines[start[1:]] > lines[stop[:-1]] + 1)  # a stop or an empty line
+        gap[1:][(gap[1:] > 1) & (blanks[start[1:]] - blanks[stop[:-1]] == gap[1:])] = 1  # white space is one space
     ended |= _firsts(opens, n)
     return _Tokens(points, offsets, start, stop, own, opens, (flag[start] & _NUMBER) > 0, (flag[start] & _UPPER) > 0, ended, gap)
 
@@ -118,16 +124,16 @@ def _firsts(opens: np.ndarray, n: int) -> np.ndarray:
     return new[:n]
 
 
-def _templates(t: _Tokens) -> _Sequence:
+def _templates(t: _Tokens, capitals: bool = False) -> _Sequence:
     n, new = len(t.start), _firsts(t.opens, len(t.start))
-    name = ~t.number & t.upper & ~t.ended
+    name = ~t.number & t.upper & (~t.ended | capitals)
     after_number = np.zeros(n, bool)
     after_number[1:] = t.number[:-1] & ~new[1:]
     unit = ~t.number & after_number & np.isin(t.own, _units()) & (t.gap <= 1)
     joined = np.zeros(n, bool)  # tokens that continue a number or a name
     if n > 1:
         points_before = t.points[np.maximum(t.start - 1, 0)]
-        joined[1:] = (t.number[1:] & t.number[:-1] & (t.gap[1:] == 1) & np.isin(points_before[1:], [ord("."), ord(",")])) | (name[1:] & name[:-1] & (t.gap[1:] == 1))
+        joined[1:] = (t.number[1:] & t.number[:-1] & (t.gap[1:] == 1) & np.isin(points_before[1:], [ord("."), ord(",")])) | (name[1:] & name[:-1] & (t.gap[1:] == 1) & ~t.ended[1:])
         joined &= ~new
     token = np.where(t.number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, t.own)))
     slot = t.number | name | unit
@@ -148,14 +154,14 @@ def _glyphs(t: _Tokens) -> _Sequence:
     return _Sequence(t.points[at].astype(np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool), np.searchsorted(at, t.offsets))
 
 
-_SEQUENCES = {_TEMPLATE: _templates, _RAW: _raw, _GLYPHS: _glyphs}
+_SEQUENCES = {_TEMPLATE: _templates, _CAPITALS: lambda t: _templates(t, True), _RAW: _raw, _GLYPHS: _glyphs}
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens of all texts, the values of those that are placeholders (else 0), and each text's first token, plus the end.
 
-    A capitalised word that follows another word within a sentence is a name, and so are those right after it; digits parted
-    by ``.`` or ``,`` are one number; a unit stands right after a number.
+    A capitalised word that follows another word within a sentence is a name, and so are those right after it; a sentence
+    does not end with a line, but with an empty one; digits parted by ``.`` or ``,`` are one number; a unit stands right after a number.
     """
     found = _templates(_tokens(texts))
     return found.tokens, found.values, found.opens
@@ -174,7 +180,7 @@ def windows(of: _Sequence, size: int, kind: int) -> tuple[np.ndarray, np.ndarray
     words = np.concatenate([[0], np.cumsum(of.words)])
     worded = words[size:] - words[:-size] >= min(LITERALS, size)
     within = row[:n] == row[size - 1 :]
-    at = np.flatnonzero(within & worded if kind == _TEMPLATE else within)
+    at = np.flatnonzero(within & worded if kind in (_TEMPLATE, _CAPITALS) else within)
     return at, h[at], worded[at]
 
 
@@ -205,26 +211,27 @@ def _columns(of: _Sequence, size: int, at: np.ndarray, place: np.ndarray, h: np.
 def _item_windows(text: pa.Array) -> Iterator[tuple[int, int, _Sequence, np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, size, sequence, windows) by which one item is sought."""
     read = _tokens(text)
-    template, raw = _templates(read), _raw(read)
-    size = min(len(template.tokens), WINDOW)
-    if size >= LEAST and len((found := windows(template, size, _TEMPLATE))[0]):
-        yield _TEMPLATE, size, template, *found
-        return
-    kind, of = (_RAW, raw) if len(raw.tokens) else (_GLYPHS, _glyphs(read))
+    for kind in (_TEMPLATE, _CAPITALS):
+        of = _SEQUENCES[kind](read)
+        size = min(len(of.tokens), WINDOW)
+        if size >= LEAST:
+            yield kind, size, of, *windows(of, size, kind)
+    kind, of = (_RAW, raw) if len((raw := _raw(read)).tokens) else (_GLYPHS, _glyphs(read))
     if size := min(len(of.tokens), WINDOW):
-        at, h, worded = windows(of, size, kind)
-        yield kind, size, of, at, h, np.zeros(len(at), bool)
+        yield kind, size, of, *windows(of, size, kind)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document that holds a benchmark item: doc_id, item_id, n_windows, n_matched, share.
 
-    A document holds an item if at least ``covered`` of the item's distinct template windows occur in it with
-    values that correspond one to one along their diagonal. Windows are of ``WINDOW`` tokens; an item of ``LEAST`` to
-    ``WINDOW - 1`` tokens is one window. An item without such a window (a shorter one, or one of hardly a word that is no
-    placeholder) is held where all of its tokens stand in a row, whatever their case; one without letters and digits, where
-    all of its characters but white space do. Documents emit only windows that pass a fixed-size prefilter; a hash join
-    with the benchmark's windows settles the rest, at whatever size the benchmark has.
+    A document holds an item if at least ``covered`` of the item's distinct windows of one kind occur in it. Kinds are
+    templates, templates in which the first words of sentences are names too if they are capitalised, and tokens in lower
+    case. Values of templates correspond one to one along their diagonal; where a share of ``covered`` contradicts itself,
+    tokens count only if the whole item is there. Windows are of ``WINDOW`` tokens; templates of ``LEAST`` to ``WINDOW - 1``
+    tokens are one window, and so are all the tokens of any shorter item. Tokens without a window of enough words are held
+    where they all stand in a row, and of an item without letters and digits, all characters but white space. Documents emit
+    only windows that pass a fixed-size prefilter; a hash join with the benchmark's windows settles the rest, at whatever
+    size the benchmark has.
 
     Null and blank texts, and rows with null ids, hold nothing and are never held; rows repeated under an id count once,
     and different texts of one item id are sought one by one; only the named columns are read.
@@ -270,14 +277,27 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
     )
     n_pairs = F.size("pairs")
     one_to_one = (F.size(F.array_distinct(F.col("pairs.item_slots"))) == n_pairs) & (F.size(F.array_distinct(F.col("pairs.slots"))) == n_pairs)
-    matched = lines.filter(one_to_one).groupBy("doc_id", *item).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_hashes"), F.max(F.size("places")).cast("long").alias("n_places")
+    matched = lines.withColumn("fit", one_to_one).groupBy("doc_id", *item).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fit"), F.col("hashes")))))).cast("long").alias("n_hashes"),
+        F.coalesce(F.max(F.when(F.col("fit"), F.size("places"))), F.lit(0)).cast("long").alias("n_places"),
+        F.coalesce(F.max(F.when(~F.col("fit"), F.size("hashes"))), F.lit(0)).alias("n_unfit"),
     )
     some = F.col("n_worded") > 0  # else the whole item has to stand on one diagonal
-    judged = matched.join(totals, item).select("doc_id", "item_id", some.alias("some"), F.when(some, F.col("n_worded")).otherwise(F.col("n_all")).alias("n_windows"), F.when(some, F.col("n_hashes")).otherwise(F.col("n_places")).alias("n_matched"))
-    held_by = judged.withColumn("share", F.col("n_matched") / F.col("n_windows")).filter(F.col("share") >= F.when(F.col("some"), F.lit(covered)).otherwise(F.lit(1.0)))
-    best = F.max(F.struct("share", "n_matched", "n_windows")).alias("best")
-    return held_by.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.share")
+    judged = matched.join(totals, item).select(
+        "doc_id", *item, some.alias("some"), "n_unfit", F.when(some, F.col("n_worded")).otherwise(F.col("n_all")).alias("n_windows"), F.when(some, F.col("n_hashes")).otherwise(F.col("n_places")).alias("n_matched")
+    ).withColumn("share", F.col("n_matched") / F.col("n_windows"))
+    enough = F.col("share") >= F.when(F.col("some"), F.lit(covered)).otherwise(F.lit(1.0))
+    best = F.struct("share", "n_matched", "n_windows")
+    template = F.col("kind").isin(_TEMPLATE, _CAPITALS)
+    chosen = judged.groupBy("doc_id", "item_id", "variant").agg(
+        F.max(F.when(enough & template, best)).alias("by_template"),
+        F.max(F.when(enough & ~template, best)).alias("by_tokens"),
+        (F.max(F.col("n_unfit") / F.col("n_windows")) >= covered).alias("unfit"),
+    )
+    # The tokens of a copy whose values do not correspond prove it only if they are all the same.
+    by_tokens = F.when((F.col("by_tokens.share") >= 1) | ~F.col("unfit"), F.col("by_tokens"))
+    found = chosen.select("doc_id", "item_id", F.greatest("by_template", by_tokens).alias("best")).filter("best IS NOT NULL").groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return found.select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.share")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id") -> DataFrame:

@@ -119,3 +119,14 @@ def test_decontamination_finds_items_without_windows(spark):
     docs += [(21, "what is the capital of france"), (22, "彼は今日の天気はどうですかと聞いた"), (23, "why, so"), (31, "the capital of France is what"), (32, "12 + 30 * 4 - 8 = ?"), (33, "420 whys so"), (34, "= ?! ⇒"), (35, "Sum 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8")]
     got = found(spark, docs, [*items.items(), (3, "Or another text?")])
     assert got == {(i, i) for i in items if i != 9} | {(21, 1), (22, 4), (23, 3)}
+
+
+def test_decontamination_whatever_the_capitals(spark):
+    story = "Anna buys 3 apples and eats 2. Anna gives 4 pears to her brother.\nHow many apples does Anna have left?"
+    wrapped = "On Monday the old teacher Maria Silva told Peter Brown and young Julia Weber that all of the trains to Hamburg are late"
+    items = [(10, ITEM), (11, story), (12, wrapped), (13, "Berlin is the capital of Germany")]
+    docs = [(8, ITEM.upper().lower()), (9, ITEM.upper()), (3, ITEM.replace("Berlin", "Lyon").replace("Munich", "Lyon"))]
+    docs += [(21, story.replace("Anna", "Bob").replace("3", "7")), (22, "So it says. " + story.replace("Anna", "Bob").replace("\n", " "))]
+    docs += [(31, wrapped.replace(" Maria", "\nMaria").replace(" Peter", "\r\n  Peter").replace("Weber", "Meyer").replace("Hamburg", "Bern"))]
+    docs += [(41, "I know that Berlin is the capital of Germany, as we all do")]
+    assert found(spark, docs, items) == {(8, 10), (9, 10), (21, 11), (22, 11), (31, 12), (41, 13)}
