@@ -25,6 +25,8 @@ from brindle.llm.memory import tidy
 WINDOW, LEAST, LITERALS = 8, 5, 3
 #: Share of an item's windows that a document must hold.
 COVERED = 0.5
+#: Tokens in a row that prove a quotation, whatever its share of the item.
+RUN = 13
 #: Slots of the prefilter sent to all executors: 2 MB whatever the benchmark's size; the join after it decides.
 SLOTS = 1 << 24
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "mile", "miles", "foot", "feet", "inch", "inches", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "usd", "eur"]
@@ -224,7 +226,8 @@ def _item_windows(text: pa.Array) -> Iterator[tuple[int, int, _Sequence, np.ndar
 def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document that holds a benchmark item: doc_id, item_id, n_windows, n_matched, share.
 
-    A document holds an item if at least ``covered`` of the item's distinct windows of one kind occur in it. Kinds are
+    A document holds an item if at least ``covered`` of the item's distinct windows of one kind occur in it, or those of
+    ``RUN`` tokens in a row, some with words enough, on one diagonal; ``share`` may be less than ``covered`` then. Kinds are
     templates, templates in which the first words of sentences are names too if they are capitalised, and tokens in lower
     case. Values of templates correspond one to one along their diagonal; where a share of ``covered`` contradicts itself,
     tokens count only if the whole item is there. Windows are of ``WINDOW`` tokens; templates of ``LEAST`` to ``WINDOW - 1``
@@ -277,16 +280,25 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
     )
     n_pairs = F.size("pairs")
     one_to_one = (F.size(F.array_distinct(F.col("pairs.item_slots"))) == n_pairs) & (F.size(F.array_distinct(F.col("pairs.slots"))) == n_pairs)
-    matched = lines.withColumn("fit", one_to_one).groupBy("doc_id", *item).agg(
+    blank = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def further(row, x):
+        run = F.when(x == row["last"] + 1, row["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(row["most"], run).alias("most"))
+
+    run = F.when(F.size("hashes") > 0, F.aggregate(F.array_sort("places"), blank, further, lambda row: row["most"])).otherwise(F.lit(0))
+    matched = lines.withColumn("fit", one_to_one).withColumn("run", run).groupBy("doc_id", *item).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fit"), F.col("hashes")))))).cast("long").alias("n_hashes"),
         F.coalesce(F.max(F.when(F.col("fit"), F.size("places"))), F.lit(0)).cast("long").alias("n_places"),
         F.coalesce(F.max(F.when(~F.col("fit"), F.size("hashes"))), F.lit(0)).alias("n_unfit"),
+        (F.coalesce(F.max(F.when(F.col("fit"), F.col("run"))), F.lit(0)) > RUN - WINDOW).alias("quoted"),
     )
     some = F.col("n_worded") > 0  # else the whole item has to stand on one diagonal
     judged = matched.join(totals, item).select(
-        "doc_id", *item, some.alias("some"), "n_unfit", F.when(some, F.col("n_worded")).otherwise(F.col("n_all")).alias("n_windows"), F.when(some, F.col("n_hashes")).otherwise(F.col("n_places")).alias("n_matched")
+        "doc_id", *item, some.alias("some"), "n_unfit", "quoted", F.when(some, F.col("n_worded")).otherwise(F.col("n_all")).alias("n_windows"), F.when(some, F.col("n_hashes")).otherwise(F.col("n_places")).alias("n_matched")
     ).withColumn("share", F.col("n_matched") / F.col("n_windows"))
     enough = F.col("share") >= F.when(F.col("some"), F.lit(covered)).otherwise(F.lit(1.0))
+    enough = enough | F.col("quoted")
     best = F.struct("share", "n_matched", "n_windows")
     template = F.col("kind").isin(_TEMPLATE, _CAPITALS)
     chosen = judged.groupBy("doc_id", "item_id", "variant").agg(

@@ -130,3 +130,13 @@ def test_decontamination_whatever_the_capitals(spark):
     docs += [(31, wrapped.replace(" Maria", "\nMaria").replace(" Peter", "\r\n  Peter").replace("Weber", "Meyer").replace("Hamburg", "Bern"))]
     docs += [(41, "I know that Berlin is the capital of Germany, as we all do")]
     assert found(spark, docs, items) == {(8, 10), (9, 10), (21, 11), (22, 11), (31, 12), (41, 13)}
+
+
+def test_decontamination_finds_long_quotations(spark):
+    context = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} runs" for i in range(60))
+    quoted = "which of the two old bridges over the river was closed first after the flood"
+    items = [(10, f"{context}. {quoted}?"), (11, "Count 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 and tell me which number of these comes after all of the others that you have seen so far")]
+    words = quoted.split()
+    docs = [(1, f"They asked {quoted} and left"), (2, f"They asked {quoted.upper()}"), (3, "They asked " + " ".join(words[:13])), (4, "They asked " + " ".join(words[:12])), (5, " ".join(words[:7] + ["and"] + words[7:]))]
+    docs.append((6, "From 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 on"))
+    assert found(spark, docs, items) == {(1, 10), (2, 10), (3, 10)}
