@@ -86,18 +86,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     cell and each cell whose plane is that near: no link is missed whatever the centres, and tight clusters meet few cells. Cells are
     cut into blocks; a task multiplies two blocks and returns, for each vector that it linked, a count and a root.
 
-    Null and zero vectors, those with null or non-finite components, those of a length other than the commonest, and null ids link with
-    nothing; the component of a null id is null and it is kept. Rows of one id with different vectors are judged each by
+    Vectors of each length are joined among themselves. Null and zero vectors, those with null or non-finite components, and null ids
+    link with nothing; the component of a null id is null and it is kept. Rows of one id with different vectors are judged each by
     its own. Other columns are not read.
     """
-    spark = vectors.sparkSession
     given = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     plain = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     given = given.withColumn("usable", F.col("id").isNotNull() & F.coalesce(plain, F.lit(False)))
-    sizes = given.filter("usable").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    width = sizes[0]["size"] if sizes else 1
-    given = given.withColumn("usable", F.col("usable") & (F.size("v") == width))
-    keyed = given.filter("usable").select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))  # -0.0 is 0.0
+    out = given.filter("NOT usable").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for r in given.filter("usable").select(F.size("v").alias("size")).distinct().orderBy("size").collect():
+        out = _of_width(given.filter(F.col("usable") & (F.size("v") == r["size"])), r["size"], cosine).union(out)
+    return out
+
+
+def _of_width(given: DataFrame, width: int, cosine: float) -> DataFrame:
+    """The rows of ``near_duplicates`` for usable vectors of one length."""
+    spark = given.sparkSession
+    keyed = given.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))  # -0.0 is 0.0
     keyed = keyed.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.reverse("v"), F.lit(1)))
     classes = checkpoint(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("weight"), F.first("v").alias("v")))
     placed = keyed.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep", "weight"), ["k1", "k2"]).select("id", "rep", "weight")
@@ -174,11 +179,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = checkpoint(labels.withColumnRenamed("node", "rep").join(counts, "rep"))
-    out = placed.join(known, "rep", "left").select(
+    return placed.join(known, "rep", "left").select(
         F.col("id").alias("vec_id"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"),
         (F.col("id") == F.coalesce("component", "rep")).alias("kept"),
     )
-    rest = given.filter("NOT usable").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    return out.union(rest)

@@ -49,3 +49,8 @@ def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in QUERIES["op4_embedding_dedup"](spark, sf).collect()) == brute(rows)
+
+
+def test_every_length_takes_part(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0]), (4, [3.0]), (5, [-1.0]), (6, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True)]
