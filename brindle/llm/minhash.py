@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from brindle.llm import bpe
 from brindle.llm.components import components
 from brindle.llm.memory import tidy
-from brindle.llm.shingles import mixed, shingle_sets
+from brindle.llm.bpe import mixed
+from brindle.llm.shingles import shingle_sets
 from brindle.plans.recovery import checkpoint
 
 #: Permutations; each gives two signature values, its least and its greatest hash.

@@ -8,12 +8,6 @@ import pyarrow as pa
 from brindle.llm import bpe
 
 _A = np.uint64(0x9E3779B97F4A7C15)
-_B = np.uint64(0xD6E8FEB86659FD93)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _B
-    return x ^ (x >> np.uint64(29))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

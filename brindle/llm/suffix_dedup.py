@@ -1,544 +1,648 @@
 """Removal of long repeats with run-length indexes.
 
-Of documents with equal texts all but the one of smallest id are repeats as a whole. The others are compared by strings of
-``LENGTH`` bytes. Every string has a minimizer, so equal strings meet where their minimizers meet; those whose minimizer
-several documents hold are candidates. Runs of candidates (snippets) go to the part of their route, a minimizer of
-fewer bytes that equal strings share as well. A part builds, for some distinct snippets at a time, the run-compressed
-Burrows-Wheeler transform with the suffixes at run heads sampled. Matching statistics are computed at the samples
-alone and streamed in text order to all other suffixes; suffixes with statistics of ``LENGTH`` or more are intervals
-of equal strings, and the least document of each interval decides what is marked.
+Texts travel once, in compressed blocks. Every string of ``LENGTH`` bytes has a minimizer, so equal strings meet where their
+minimizers meet; strings whose minimizer several documents hold are candidates. Runs of candidates (snippets) go to the part
+of their route, a minimizer of fewer bytes that equal strings share as well. A part builds, for some distinct snippets
+at a time, a run-compressed Burrows-Wheeler transform with suffixes sampled at both ends of its runs, and the least
+document of every interval of suffixes with ``LENGTH`` bytes in common. The snippets are then streamed against it from right to
+left; where the matching statistic reaches ``LENGTH``, the interval tells whether a smaller document holds the string.
+
+Between blocks and parts go packed messages, one for each block and part: hashes, a bit for each of them, snippets, spans.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
+from brindle.llm.bpe import mixed
 from brindle.llm.memory import tidy
-from brindle.llm.shingles import mixed
-from brindle.plans.recovery import checkpoint, release
+from brindle.plans.recovery import checkpoint, drop
 
 LENGTH = 50
 #: Bytes of a minimizer, and of a route; strings in a snippet at most.
 GRAM, ROUTE, RUN = 24, 12, 60
-#: Text bytes whose minimizers are sent on together, and snippet bytes of one index (more only where one route has more).
-GATHER, INDEX = 12_000_000, 500_000
-#: Slots of the broadcast filters of documents (a proven bound on their rows, whatever the data).
-SLOTS = 1 << 21
-_LOW = np.uint64((1 << 40) - 1)
+#: Text bytes of a block, of a step, and snippet bytes of one index (more only where one text, or one route, has more).
+BLOCK, STEP, INDEX = 8_000_000, 1 << 18, 500_000
+_KINDS = ["uint8", "uint16", "uint32", "uint64", "int64"]
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...], length: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray]]:
-    """First bytes of all strings of ``length`` bytes within texts, and for each size of ``grams`` every string's least hash of that many bytes."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in grams]
-    x = data.astype(np.uint64)
-    for step in (1, 2, 4):
-        x = x[:-step] | (x[step:] << np.uint64(8 * step))
-    last = np.repeat(offsets[1:], np.diff(offsets))[:n] - length
-    at = np.flatnonzero(np.arange(n) <= last)
-    out = []
-    for gram in grams:
-        width, m = length - gram + 1, len(data) - gram + 1
-        h = mixed(x[:m] * np.uint64(0x9E3779B97F4A7C15 + gram))
-        for k in [*range(8, gram - 8, 8), gram - 8]:
-            h = mixed(h ^ x[k : k + m])
-        step = 1
-        while 2 * step <= width:
-            h = np.minimum(h[:-step], h[step:])
-            step *= 2
-        rest = width - step
-        out.append((np.minimum(h[: len(h) - rest], h[rest:]) if rest else h)[at])
-    return at, out
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one compressed string; bytes of equal weight lie side by side."""
+    head = np.array([(_KINDS.index(x.dtype.name), len(x)) for x in arrays], "<i8")
+    body = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return bytes([len(arrays)]) + head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal ``keys`` begin, and the end."""
-    new = np.ones(len(keys[0]) + 1, bool)
-    if len(keys[0]):
-        new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        return np.flatnonzero(new)
-    return np.zeros(1, np.int64)
+def unpacked(data: bytes) -> list[np.ndarray]:
+    head = np.frombuffer(data, "<i8", 2 * data[0], 1).reshape(-1, 2)
+    sizes = [np.dtype(_KINDS[k]).itemsize * n for k, n in head.tolist()]
+    body = np.frombuffer(pa.decompress(data[1 + head.nbytes :], sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for (kind, n), size in zip(head.tolist(), sizes, strict=True):
+        out.append(np.ascontiguousarray(body[at : at + size].reshape(-1, n).T).view(_KINDS[kind]).ravel() if n else np.zeros(0, _KINDS[kind]))
+        at += size
+    return out
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of each."""
-    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Values of 0 or more in the least unsigned type."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of ``texts`` (no nulls), and where each text begins, plus the end."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, ends, data = texts.buffers()
+    offsets = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Unsigned values in 2 bytes each where they fit, else in 4."""
-    return values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
+def minimizers(data: np.ndarray, gram: int, length: int = LENGTH) -> np.ndarray:
+    """For every string of ``length`` bytes of ``data`` the least hash of ``gram`` bytes in it."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    x = data.astype(np.uint64)
+    for step in (1, 2, 4):
+        x = x[:-step] | (x[step:] << np.uint64(8 * step))
+    m = len(data) - gram + 1
+    h = mixed(x[:m] * np.uint64(0x9E3779B97F4A7C15 + gram))
+    for k in [*range(8, gram - 8, 8), gram - 8]:
+        h = mixed(h ^ x[k : k + m])
+    width, step = length - gram + 1, 1
+    while 2 * step <= width:
+        h = np.minimum(h[:-step], h[step:])
+        step *= 2
+    rest = width - step
+    return np.minimum(h[:n], h[rest : rest + n])
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of ``texts`` (no nulls), and where each text begins, plus the end."""
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), out=offsets[1:])
-    return np.frombuffer("".join(texts.to_pylist()).encode("utf-8", "surrogatepass"), np.uint8), offsets
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in ascending order of begin, those that overlap or touch joined."""
+    if not len(begin):
+        return begin, end
+    reach = np.maximum.accumulate(end)
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > reach[:-1]
+    starts = np.flatnonzero(new)
+    return begin[starts], reach[np.append(starts[1:] - 1, len(begin) - 1)]
 
 
-def _parts(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [x.split(" ") for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in named]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, named, strict=True)], names=[n for n, _ in named])
 
 
-_KEYED = "part long, kind int, docs binary, hashes binary, owners binary"
+_BLOCKS = "block long, data binary, nth binary, digests binary"
 
 
-def _send(n_parts: int, length: int):
-    """Minimizers by part. Those that several documents of a gathering hold are known as shared at once: the least
-    document alone goes on for all, and each of the documents is told (kind 1)."""
+def _pack(length: int):
+    """Blocks of rows (the first two columns are id and text) as compressed Arrow, with SHA-256 digests of the texts that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, hashes, owners, size = [], [], [], 0
+        context = TaskContext.get()
+        block = (context.partitionId() if context else 0) << 32
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            nonlocal keys, hashes, owners, size
-            key, h, own = np.array(keys, np.int64).reshape(-1, 2), np.concatenate(hashes), np.concatenate(owners)
-            keys, hashes, owners, size = [], [], [], 0
-            order = np.lexsort((key[own, 0], h))
-            h, own = h[order], own[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            h, own = h[fresh], own[fresh]
-            head = np.ones(len(h), bool)
-            head[1:] = h[1:] != h[:-1]
-            starts = np.flatnonzero(head)
-            several = np.diff(np.append(starts, len(h))) > 1
-            shared = np.repeat(several, np.diff(np.append(starts, len(h))))
-            rows = []
-            first_h, first_own = h[starts], own[starts]
-            part = _parts(first_h, n_parts)
-            order = np.lexsort((first_h & _LOW, part))
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            for p in range(n_parts):
-                mine = order[cuts[p] : cuts[p + 1]]
-                if len(mine):
-                    docs, index = np.unique(first_own[mine], return_inverse=True)
-                    low = first_h[mine] & _LOW
-                    steps = np.diff(low, prepend=np.uint64(0))
-                    small = int(steps.max()) < 1 << 32
-                    rows.append((p, 2 if small else 0, key[docs].tobytes(), (steps.astype("<u4") if small else low).tobytes(), _small(index * 2 + several[mine])))
-            told = np.flatnonzero(shared)
-            told = told[np.argsort(own[told], kind="stable")]
-            for piece in np.split(told, np.flatnonzero(np.diff(own[told])) + 1) if len(told) else []:
-                rows.append((int(own[piece[0]]) % n_parts, 1, key[own[piece[0]]].tobytes(), _packed(h[piece]), b""))
-            return _rows(rows, _KEYED)
+            nonlocal held, size, block
+            table = pa.Table.from_batches(held)
+            held, size = [], 0
+            ids, texts = table.column(0).combine_chunks(), bpe.filled(table.column(1))
+            data, offsets = text_bytes(texts)
+            nth = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & (np.diff(offsets) >= length))
+            digests = b"".join(hashlib.sha256(data[offsets[i] : offsets[i + 1]]).digest() for i in nth.tolist())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.combine_chunks())
+            block += 1
+            own = pc.fill_null(ids, 0).to_numpy()[nth]
+            return _rows([(block - 1, sink.getvalue().to_pybytes(), packed(nth.astype(np.uint32), own), digests)], _BLOCKS)
 
         for batch in batches:
-            texts = bpe.filled(batch.column(2))
-            ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            for begin, end in bpe.steps(texts):
-                data, offsets = text_bytes(texts.slice(begin, end - begin))
-                at, (h,) = minimizers(data, offsets, (GRAM,), length)
-                own = np.searchsorted(offsets, at, "right") - 1
-                first = _runs(h, own)[:-1]
-                owners.append(own[first] + len(keys))
-                hashes.append(h[first])
-                keys += ids[begin:end].tolist()
-                size += len(data)
-                if size >= GATHER:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            at = 0
+            while at < batch.num_rows:
+                base = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, base + BLOCK - size, "right")))
+                held.append(batch.slice(at, to - at))
+                size += int(sizes[to - 1]) - base
+                at = to
+                if size >= BLOCK or at < batch.num_rows:
                     yield out()
-        if size:
+        if held:
             yield out()
 
     return run
 
 
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    named = [x.split(" ") for x in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [[] for _ in named]
-    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, named, strict=True)], names=[n for n, _ in named])
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text that takes part."""
+    for batch in batches:
+        for block, nth, digests in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            nth, ids = unpacked(nth)
+            texts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(nth), [None, pa.py_buffer(digests)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([texts, pa.array(ids), pa.array(np.full(len(nth), block)), pa.array(nth.astype(np.int32))], names=["digest", "doc", "block", "nth"])
+
+
+def _opened(data: bytes) -> pa.RecordBatch:
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return table.to_batches()[0]
+
+
+class _Block:
+    """The texts of a block that take part, end to end."""
+
+    def __init__(self, data: bytes, twins: list[int] | None, length: int):
+        batch = _opened(data)
+        texts = bpe.filled(batch.column(1))
+        part = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) >= length)
+        part[twins or []] = False
+        self.rows = np.flatnonzero(part)
+        self.ids = pc.fill_null(batch.column(0), 0).to_numpy()[self.rows]
+        self.data, self.offsets = text_bytes(texts.filter(pa.array(part)))
+        self.length = length
+
+    def census(self, n_parts: int) -> None:
+        """Runs of strings with one minimizer, and the distinct keys (part and 32 bits of the hash) in ascending order."""
+        length, data = self.length, self.data
+        fits = np.ones(len(data), bool)
+        fits[(self.offsets[1:, None] - np.arange(1, length)).ravel()] = False
+        keys, starts, counts = [], [], []
+        for a in range(0, len(data), STEP):
+            at = np.flatnonzero(fits[a : a + STEP])
+            h = minimizers(data[a : a + STEP + length - 1], GRAM, length)[at]
+            if not len(at):
+                continue
+            edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1), [True]]))
+            keys.append(h[edges[:-1]])
+            starts.append(at[edges[:-1]] + a)
+            counts.append(np.diff(edges))
+        self.starts, self.counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, counts))
+        key = _routed(np.concatenate([np.zeros(0, np.uint64), *keys]), n_parts)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        heads = np.flatnonzero(new)
+        self.keys = key[heads]
+        self.kind = np.empty(len(key), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+        row = np.searchsorted(self.offsets, self.starts[order], "right")
+        self.several = np.minimum.reduceat(row, heads) < np.maximum.reduceat(row, heads) if len(heads) else np.zeros(0, bool)
+        self.cuts = np.searchsorted(self.keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part, the minimizers that more than one document holds, told to each document: (doc, tkey, hashes)."""
-    held: dict[int, list[dict]] = {}
-    schema = "doc long, tkey long, hashes binary"
+def _routed(hashes: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of each hash, and 32 bits of it below."""
+    return ((hashes >> np.uint64(40)) % np.uint64(n_parts)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+
+
+_MESSAGES = "part int, block long, message binary"
+
+
+def _send(n_parts: int, length: int):
+    """The distinct minimizers of a block by part, and whether several of its documents hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data, twins in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                block = _Block(data, twins, length)
+                block.census(n_parts)
+                low = (block.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows = []
+                for p in range(n_parts):
+                    a, b = block.cuts[p : p + 2]
+                    if a < b:
+                        rows.append((p, number, packed(np.diff(low[a:b], prepend=np.uint32(0)), np.packbits(block.several[a:b]))))
+                yield _rows(rows, _MESSAGES)
+
+    return run
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
+    """The messages of each part of a task."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
-        told = []
-        for row in batch.to_pylist():
-            if row["kind"] == 1:
-                told.append((*np.frombuffer(row["docs"], np.int64).tolist(), row["hashes"]))
-            else:
-                held.setdefault(row["part"], []).append(row)
-        if told:
-            yield _rows(told, schema)
+        for part, block, message in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(part, []).append((block, message))
     for part in sorted(held):
-        docs, low, own, known = [], [], [], []
-        base = 0
-        for row in held.pop(part):
-            docs.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2))
-            low.append(np.cumsum(np.frombuffer(row["hashes"], "<u4"), dtype=np.uint64) if row["kind"] == 2 else np.frombuffer(row["hashes"], np.uint64))
-            owners = _wide(row["owners"], len(low[-1]))
-            own.append((owners >> 1) + base)
-            known.append((owners & 1).astype(bool))
-            base += len(docs[-1])
-        docs, low, own, known = (np.concatenate(x) for x in (docs, low, own, known))
-        order = np.argsort(low, kind="stable")
-        low, own, known = low[order], own[order], known[order]
-        starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        count = np.diff(np.append(starts, len(low)))
-        news = np.flatnonzero(np.repeat(count > 1, count) & ~known)
-        news = news[np.argsort(own[news], kind="stable")]
-        told = [(*docs[own[piece[0]]].tolist(), _packed(low[piece])) for piece in (np.split(news, np.flatnonzero(np.diff(own[news])) + 1) if len(news) else [])]
-        if told:
-            yield _rows(told, schema)
-
-
-_SNIPPETS = "part long, holders long, docs binary, sizes binary, data binary, hashes binary, which binary, owners binary, starts binary"
+        yield part, [(block, unpacked(message)) for block, message in sorted(held.pop(part))]
 
 
-def _snip(n_parts: int, length: int):
-    """Snippets of candidates by part; equal ones of a gathering once, with all that hold them."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each block a bit for each of its minimizers in a part: whether several documents hold it."""
+    for part, messages in _by_part(batches):
+        low = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for _, x in messages])
+        shared = np.concatenate([np.unpackbits(x[1], count=len(x[0])) for _, x in messages]).astype(bool)
+        order = np.argsort(low)
+        low = low[order]
+        same = low[1:] == low[:-1]
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        ends = np.cumsum([len(x[0]) for _, x in messages]).tolist()
+        rows = [(part, block, np.packbits(own).tobytes()) for (block, _), own in zip(messages, np.split(shared, ends[:-1]), strict=True) if own.any()]
+        yield _rows(rows, _MESSAGES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size = [], [], 0
 
-        def out() -> pa.RecordBatch:
-            nonlocal keys, held, size
-            key = np.array(keys, np.int64).reshape(-1, 2)
-            h, own, start, digest, length_of = (np.concatenate([x[i] for x in held]) for i in range(5))
-            data = np.concatenate([x[5] for x in held])
-            ends = np.cumsum(length_of)
-            keys, held, size = [], [], 0
-            part, rows = _parts(h, n_parts), []
-            order = np.lexsort((digest, h, part))
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            for p in range(n_parts):
-                mine = order[cuts[p] : cuts[p + 1]]
-                if not len(mine):
-                    continue
-                fresh = np.ones(len(mine), bool)
-                fresh[1:] = (digest[mine[1:]] != digest[mine[:-1]]) | (h[mine[1:]] != h[mine[:-1]])
-                one = mine[fresh]
-                docs, index = np.unique(own[mine], return_inverse=True)
-                n = length_of[one]
-                place = np.repeat(ends[one] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                rows.append((p, len(mine), key[docs].tobytes(), _small(n), data[place].tobytes(), h[one].tobytes(), _small(np.cumsum(fresh) - 1), _small(index), start[mine].astype("<i8" if start[mine].max() >> 32 else "<u4").tobytes()))
-            return _rows(rows, _SNIPPETS)
+def _snip(n_parts: int, length: int):
+    """Snippets of candidates by part; equal ones of a block once, with all rows that hold them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bpe.filled(batch.column(2))
-            ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            shared = batch.column(3)
-            for begin, end in bpe.steps(texts):
-                data, offsets = text_bytes(texts.slice(begin, end - begin))
-                at, (h, route) = minimizers(data, offsets, (GRAM, ROUTE), length)
-                own = np.searchsorted(offsets, at, "right") - 1
-                edges = _runs(h, own)
-                firsts, of = h[edges[:-1]] & _LOW, own[edges[:-1]]
-                cuts = np.searchsorted(of, np.arange(end - begin + 1))
-                good = np.zeros(len(firsts), bool)
-                for i in range(end - begin):
-                    told = np.concatenate([_unpacked(x) for x in shared[begin + i].as_py()])
-                    good[cuts[i] : cuts[i + 1]] = np.isin(firsts[cuts[i] : cuts[i + 1]], told)
-                candidate = np.flatnonzero(np.repeat(good, np.diff(edges)))
-                at, route, own = at[candidate], route[candidate], own[candidate]
-                edges = _runs(route, own, at - np.arange(len(at)))
-                nth = np.arange(len(at)) - np.repeat(edges[:-1], np.diff(edges))
-                first = np.flatnonzero(nth % RUN == 0)
-                last = np.append(first[1:], len(at))[: len(first)] - 1
-                route, own, first, last = route[first], own[first], at[first], at[last] + length
-                n = last - first
-                place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                held.append((route, own + len(keys), first - offsets[own], bpe.span_hashes(data, first, last), n, data[place]))
-                keys += ids[begin:end].tolist()
-                size += len(place)
-                if size >= GATHER // 2:
-                    yield out()
-        if held:
-            yield out()
+            for number, data, twins, replies in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                block = _Block(data, twins, length)
+                block.census(n_parts)
+                good = np.zeros(len(block.keys), bool)
+                for reply in replies:
+                    a, b = block.cuts[reply["part"] : reply["part"] + 2]
+                    good[a:b] = np.unpackbits(np.frombuffer(reply["message"], np.uint8), count=int(b - a))
+                runs = np.flatnonzero(good[block.kind])
+                yield _rows(_snippets(number, block, spread(block.starts[runs], block.counts[runs]), n_parts), _MESSAGES)
 
     return run
 
 
+def _snippets(number: int, block: _Block, at: np.ndarray, n_parts: int) -> list[tuple]:
+    """Messages with the snippets of the strings that begin ``at``."""
+    if not len(at):
+        return []
+    data, length = block.data, block.length
+    route = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, len(data) + STEP, STEP))
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if i < j:
+            route[i:j] = minimizers(data[k * STEP : (k + 1) * STEP + length - 1], ROUTE, length)[at[i:j] - k * STEP]
+    edges = np.flatnonzero(np.concatenate([[True], (route[1:] != route[:-1]) | (at[1:] != at[:-1] + 1), [True]]))
+    nth = np.arange(len(at)) - np.repeat(edges[:-1], np.diff(edges))
+    first = np.flatnonzero(nth % RUN == 0)
+    last = np.append(first[1:], len(at)) - 1
+    route, begin, end = _routed(route[first], n_parts), at[first], at[last] + length
+    row = np.searchsorted(block.offsets, begin, "right") - 1
+    digest = bpe.span_hashes(data, begin, end)
+    part = route >> np.uint64(32)
+    order = np.argsort(part << np.uint64(40) | mixed(digest ^ route) >> np.uint64(24))
+    digest, route = digest[order], route[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (digest[1:] != digest[:-1]) | (route[1:] != route[:-1])
+    cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
+    rows = []
+    for p in range(n_parts):
+        a, b = cuts[p : p + 2]
+        if a == b:
+            continue
+        mine, one = order[a:b], order[a:b][fresh[a:b]]
+        held, owner = np.unique(row[mine], return_inverse=True)
+        n = end[one] - begin[one]
+        message = packed(block.ids[held], narrow(block.rows[held]), narrow(owner), narrow(begin[mine] - block.offsets[row[mine]]), narrow(np.cumsum(fresh[a:b]) - 1), narrow(n), (route[a:b][fresh[a:b]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), data[spread(begin[one], n)])
+        rows.append((p, number, message))
+    return rows
+
+
 class RunIndex:
-    """The run-compressed Burrows-Wheeler transform of distinct strings, each ended by an end mark of its own.
+    """A run-length index of distinct strings, each ended by an end mark of its own.
 
-    ``heads`` are the rows where a run begins and ``samples`` the suffixes there; end marks differ from one
-    another, so the first suffix of every string is sampled.
+    Kept of the Burrows-Wheeler transform: where its runs begin, their symbols (0: an end mark) and images under the LF mapping,
+    and the suffixes at both ends of each run; beside the texts, and the least ``owner`` of every group of suffixes that
+    have ``length`` bytes in common. Rows 0, 1, .. are the end marks of the strings.
     """
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray):
-        self.data, n = data, len(data)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        self.left = ends - np.arange(n)
-        self.order = self._suffixes(int(sizes.max(initial=0)))
-        before = np.concatenate([[0], data[:-1].astype(np.int16) + 1])
-        before[np.cumsum(sizes) - sizes] = 0
-        runs = before[self.order]
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int):
+        self.length = length
+        ends = np.cumsum(sizes + 1)
+        n = int(ends[-1]) if len(ends) else 0
+        marks = ends - 1
+        text = np.zeros(n, np.int16)
+        inside = np.ones(n, bool)
+        inside[marks] = False
+        text[inside] = data.astype(np.int16) + 1
+        left = np.repeat(ends, sizes + 1) - np.arange(n) - 1
+        order = _suffixes(text, left, int(sizes.max(initial=0)))
+        before = np.concatenate([text[-1:], text[:-1]])[order]  # an end mark before the first of each string
         head = np.ones(n, bool)
-        head[1:] = (runs[1:] != runs[:-1]) | (runs[1:] == 0)
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
         self.heads = np.flatnonzero(head)
-        self.symbols, self.samples = runs[self.heads], self.order[self.heads]
-
-    def _suffixes(self, longest: int) -> np.ndarray:
-        """All suffixes in order by prefix doubling; an end mark is below all bytes; equal suffixes in text order."""
-        n, left = len(self.data), self.left
-        key = np.zeros(n, np.int64)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        for k in range(7):
-            key = (key << 9) | np.where(left > k, padded[k : n + k].astype(np.int64) + 1, 0)
-        step = 7
-        while True:
-            order = np.argsort(key, kind="stable" if step >= longest else None)
-            if step >= longest:
-                return order
-            ranked = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-            far = np.minimum(np.arange(n) + step, n - 1)
-            key = rank * (n + 1) + np.where(left > step, rank[far] + 1, 0)
-            step *= 2
-
-    def matching_statistics(self) -> np.ndarray:
-        """For every suffix the bytes it shares with the one before it in order.
-
-        They are compared at the samples only. Inside a run the symbol before both suffixes is the same, so
-        the pair one byte to the left is also adjacent, and the statistic falls by one from there in text order.
+        self.lengths = np.diff(np.append(self.heads, n))
+        self.symbols = before[self.heads]
+        self.first, self.last = order[self.heads], order[self.heads + self.lengths - 1]
+        self.by_symbol = np.argsort(self.symbols, kind="stable")
+        sizes_by = self.lengths[self.by_symbol]
+        self.images = np.empty(len(self.heads), np.int64)
+        self.images[self.by_symbol] = np.cumsum(sizes_by) - sizes_by
+        self.keys = self.symbols[self.by_symbol].astype(np.int64) * len(self.heads) + self.by_symbol
+        self.text, self.left = text, left
+        shared = self._shared(order)
+        self.groups = np.flatnonzero(shared < length)  # a suffix shorter than that is a group, too
+        self.least = np.minimum.reduceat(np.repeat(owner, sizes + 1)[order], self.groups) if n else owner[:0]
+
+    def _shared(self, order: np.ndarray) -> np.ndarray:
+        """Bytes that the suffix of each row has in common with the one before it.
+
+        They are compared at run heads only. Inside a run the symbol before both suffixes is the same, so the pair one
+        byte to the left is adjacent, too, and the number falls by one from there in text order.
         """
-        n = len(self.data)
-        common = np.zeros(len(self.heads), np.int64)
-        going = np.flatnonzero(self.heads > 0)
-        x, y = self.samples[going], self.order[self.heads[going] - 1]
-        limit = np.minimum(self.left[x], self.left[y])
-        depth = 0
+        n = len(order)
+        common = np.zeros(n, np.int64)
+        heads = self.heads[1:]
+        at = np.full(n, -1, np.int64)
+        if n:
+            at[order[0]] = 0
+        at[order[heads]] = self.extension(order[heads], order[heads - 1], np.minimum(self.left[order[heads]], self.left[order[heads - 1]]))
+        here = np.arange(n)
+        nearest = np.maximum.accumulate(np.where(at >= 0, here, 0))
+        common = np.maximum(at[nearest] - (here - nearest), 0)
+        return common[order]
+
+    def extension(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Symbols that the texts from ``x`` and from ``y`` have in common, up to ``limit``."""
+        out = limit.copy()
+        going = np.flatnonzero(limit > 0)
+        x, y, limit, depth = x[going], y[going], limit[going], 0
         while len(going):
-            same = limit > depth
-            same[same] = self.data[x[same] + depth] == self.data[y[same] + depth]
-            common[going[~same]] = depth
-            going, x, y, limit = going[same], x[same], y[same], limit[same]
+            same = self.text[x + depth] == self.text[y + depth]
+            out[going[~same]] = depth
             depth += 1
-        at_sample = np.full(n, -1, np.int64)
-        at_sample[self.samples] = common
-        here = np.arange(n)
-        nearest = np.maximum.accumulate(np.where(at_sample >= 0, here, 0))
-        return np.maximum(at_sample[nearest] - (here - nearest), 0)
-
-    def least(self, owner: np.ndarray, length: int) -> np.ndarray:
-        """For every suffix of ``length`` bytes or more the least ``owner`` among those with the same first ``length`` bytes; else its own."""
-        new = self.matching_statistics()[self.order] < length
-        new[:1] = True
-        starts = np.flatnonzero(new)
-        out = np.empty(len(owner), np.int64)
-        out[self.order] = np.repeat(np.minimum.reduceat(owner[self.order], starts), np.diff(np.append(starts, len(owner)))) if len(starts) else owner
+            on = same & (limit > depth)
+            going, x, y, limit = going[on], x[on], y[on], limit[on]
         return out
 
+    def stream(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of texts, all from right to left at once: for every byte the length of the longest match that begins there
+        (``length`` at most), and a row with that match.
+
+        A step takes the LF mapping where the run's symbol is the text's next. Else it goes on from the nearest run of that symbol above or
+        below, whichever sample has the longer match in common with the suffix left behind.
+        """
+        n, runs = len(data), len(self.heads)
+        length, row = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        turn = np.argsort(-sizes, kind="stable")
+        ends, sizes = np.cumsum(sizes)[turn], sizes[turn]
+        at_row, at_text, matched = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        if runs:
+            at_text[:] = self.first[0]
+        for k in range(int(sizes.max(initial=0)) if runs else 0):
+            m = int(np.searchsorted(-sizes, -k, "left"))  # streams that are longer than k
+            symbol = data[ends[:m] - 1 - k].astype(np.int64) + 1
+            r, q, l = at_row[:m], at_text[:m], matched[:m]
+            run = np.searchsorted(self.heads, r, "right") - 1
+            off = r - self.heads[run]
+            other = np.flatnonzero(self.symbols[run] != symbol)
+            if len(other):
+                c = symbol[other]
+                place = np.searchsorted(self.keys, c * runs + run[other])
+                down, up = np.minimum(place, runs - 1), np.maximum(place - 1, 0)
+                below, above = self.by_symbol[down], self.by_symbol[up]
+                has_below, has_above = (place < runs) & (self.symbols[below] == c), (place > 0) & (self.symbols[above] == c)
+                was, limit = q[other], l[other]
+                to_below = self.extension(was, self.first[below], np.where(has_below, np.minimum(limit, self.left[self.first[below]]), 0))
+                to_above = self.extension(was, self.last[above], np.where(has_above, np.minimum(limit, self.left[self.last[above]]), 0))
+                take_above = has_above & (~has_below | (to_above > to_below))
+                run[other] = np.where(take_above, above, below)
+                off[other] = np.where(take_above, self.lengths[above] - 1, 0)
+                q[other] = np.where(take_above, self.last[above], self.first[below])
+                l[other] = np.where(take_above, to_above, to_below)
+                absent = other[~has_above & ~has_below]
+            else:
+                absent = other
+            r[:] = self.images[run] + off
+            q -= 1
+            l += 1
+            np.minimum(l, self.length, out=l)
+            r[absent], q[absent], l[absent] = 0, self.first[0], 0
+            length[ends[:m] - 1 - k], row[ends[:m] - 1 - k] = l, r
+        return length, row
+
+    def least_owner(self, row: np.ndarray) -> np.ndarray:
+        """The least owner of the groups of ``row``."""
+        return self.least[np.searchsorted(self.groups, row, "right") - 1]
+
+
+def _suffixes(text: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
+    """All suffixes in order, by prefix doubling; end marks are below all bytes, and equal suffixes in text order."""
+    n = len(text)
+    used = np.zeros(257, np.int64)
+    used[text] = 1
+    used[0] = 0
+    code = np.cumsum(used) * used  # 0 for end marks
+    bits = max(1, int(code.max(initial=0)).bit_length())
+    step = 63 // bits
+    padded = np.concatenate([code[text], np.zeros(step, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key |= np.where(left > k, padded[k : n + k], 0)
+    while True:
+        order = np.argsort(key, kind="stable" if step >= longest else None)
+        if step >= longest:
+            return order
+        ranked = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
+        far = np.minimum(np.arange(n) + step, n - 1)
+        key = rank * (n + 1) + np.where(left > step, rank[far] + 1, 0)
+        step *= 2
+
+
+_SPANS = "block long, message binary"
+
 
 def _match(length: int):
-    """Marked spans of documents: (doc, tkey, starts, ends), each part's own, merged."""
+    """Marked spans of the rows of each block, those of one part merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["part"], []).append(row)
-        for part in sorted(held):
-            docs, sizes, data, hashes, which, own, start = [], [], [], [], [], [], []
-            n_docs = n_snippets = 0
-            for row in held.pop(part):
-                docs.append(np.frombuffer(row["docs"], np.int64).reshape(-1, 2))
-                hashes.append(np.frombuffer(row["hashes"], np.uint64))
-                sizes.append(_wide(row["sizes"], len(hashes[-1])))
-                data.append(np.frombuffer(row["data"], np.uint8))
-                n = row["holders"]
-                which.append(_wide(row["which"], n) + n_snippets)
-                own.append(_wide(row["owners"], n) + n_docs)
-                start.append(np.frombuffer(row["starts"], "<u4" if len(row["starts"]) == 4 * n else "<i8").astype(np.int64))
-                n_docs, n_snippets = n_docs + len(docs[-1]), n_snippets + len(hashes[-1])
-            docs, sizes, data, hashes, which, own, start = (np.concatenate(x) for x in (docs, sizes, data, hashes, which, own, start))
+        for _, messages in _by_part(batches):
+            columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+            n_held = n_snippets = 0
+            for i, (_, (ids, rows, owner, begin, which, sizes, routes, data)) in enumerate(messages):
+                for column, x in zip(columns, (ids, np.int64(i) << 40 | rows.astype(np.int64), owner.astype(np.int64) + n_held, begin.astype(np.int64), which.astype(np.int64) + n_snippets, sizes.astype(np.int64), routes, data), strict=True):
+                    column.append(x)
+                n_held, n_snippets = n_held + len(ids), n_snippets + len(sizes)
+            ids, rows, owner, begin, which, sizes, routes, data = (np.concatenate(x) for x in columns)
+            del columns
             ends = np.cumsum(sizes)
             digest = bpe.span_hashes(data, ends - sizes, ends)
-            order = np.lexsort((digest, hashes))
+            order = np.lexsort((digest, routes))
             fresh = np.ones(len(order), bool)
-            fresh[1:] = (digest[order[1:]] != digest[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
-            unique = np.empty(len(order), np.int64)  # snippets of equal bytes are one
-            unique[order] = np.cumsum(fresh) - 1
-            one = order[fresh]
-            which = unique[which]
-            doc_of = docs[own, 0]
+            fresh[1:] = (digest[order[1:]] != digest[order[:-1]]) | (routes[order[1:]] != routes[order[:-1]])
+            same = np.empty(len(order), np.int64)  # snippets of equal bytes are one
+            same[order] = np.cumsum(fresh) - 1
+            one, which = order[fresh], same[which]
             first_doc = np.full(len(one), np.iinfo(np.int64).max)
-            np.minimum.at(first_doc, which, doc_of)
-            by = np.argsort(which, kind="stable")
-            which, own, start, doc_of = which[by], own[by], start[by], doc_of[by]
-            bounds = np.flatnonzero(np.concatenate([[True], hashes[one[1:]] != hashes[one[:-1]], [True]]))
+            np.minimum.at(first_doc, which, ids[owner])
+            bounds = np.flatnonzero(np.concatenate([[True], routes[one[1:]] != routes[one[:-1]], [True]]))
             total = np.concatenate([[0], np.cumsum(sizes[one])])
             found, at = [], 0
             while at < len(bounds) - 1:
                 to = max(at + 1, int(np.searchsorted(total[bounds], total[bounds[at]] + INDEX, "right")) - 1)
                 a, b = int(bounds[at]), int(bounds[to])
                 at = to
-                found.append(_spans(data, sizes, ends, one[a:b], first_doc[a:b], a, which, own, start, doc_of, length))
-            owner, begin, end = (np.concatenate([x[i] for x in found]) for i in range(3))
-            if not len(owner):
+                n = sizes[one[a:b]]
+                found.append(_marked(data[spread(ends[one[a:b]] - n, n)], n, first_doc[a:b], a, length))
+            snippet, low, high = (np.concatenate([x[i] for x in found]) for i in range(3))
+            # The least document of a snippet has the spans found; of any other all is repeated.
+            later = np.flatnonzero(ids[owner] > first_doc[which])
+            least = np.flatnonzero(ids[owner] == first_doc[which])
+            cuts = np.searchsorted(snippet, np.arange(len(one) + 1))
+            times = np.diff(cuts)[which[least]]
+            held, span = np.repeat(least, times), spread(cuts[which[least]], times)
+            row = np.concatenate([rows[owner[later]], rows[owner[held]]])
+            low = np.concatenate([begin[later], begin[held] + low[span]])
+            high = np.concatenate([begin[later] + sizes[one[which[later]]], begin[held] + high[span]])
+            if not len(row):
                 continue
-            order = np.lexsort((end, begin, owner))
-            owner, begin, end = owner[order], begin[order], end[order]
-            rows = []
-            for piece in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-                s, e = merged(begin[piece], end[piece])
-                rows.append((*docs[owner[piece[0]]].tolist(), s.tobytes(), e.tobytes()))
-            yield _rows(rows, "doc long, tkey long, starts binary, ends binary")
+            block, row, low, high = _joined(row, low, high)
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            yield _rows([(messages[block[a]][0], packed(narrow(row[a:b]), narrow(low[a:b]), narrow(high[a:b]))) for a, b in zip(edges, edges[1:], strict=False)], _SPANS)
 
     return run
 
 
-def _spans(data, sizes, ends, snippets, first_doc, base, which, own, start, doc_of, length):
-    """(owner, begin, end) of the marked bytes of all that hold ``snippets``."""
-    n = sizes[snippets]
-    place = np.repeat(ends[snippets] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    index = RunIndex(data[place], n)
-    least = index.least(np.repeat(first_doc, n), length)
-    first = np.cumsum(n) - n
-    lo, hi = np.searchsorted(which, [base, base + len(snippets)])
-    snippet = which[lo:hi] - base
-    strings = np.maximum(n - length + 1, 0)[snippet]
-    held = np.repeat(np.arange(lo, hi), strings)  # a row for every string of every holder
-    nth = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
-    marked = least[first[which[held] - base] + nth] < doc_of[held]
-    held, nth = held[marked], nth[marked]
-    if not len(held):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.ones(len(held), bool)
-    begin[1:] = (held[1:] != held[:-1]) | (nth[1:] != nth[:-1] + 1)
-    last = np.append(np.flatnonzero(begin)[1:] - 1, len(held) - 1)
-    begin = np.flatnonzero(begin)
-    return own[held[begin]], start[held[begin]] + nth[begin], start[held[last]] + nth[last] + length
-
-
-def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans in ascending order of begin, those that overlap or touch joined."""
-    reach = np.maximum.accumulate(end)
-    new = np.ones(len(begin), bool)
-    new[1:] = begin[1:] > reach[:-1]
-    starts = np.flatnonzero(new)
-    return begin[starts], reach[np.append(starts[1:] - 1, len(begin) - 1)]
-
-
-def _slot():
-    return F.pmod(F.xxhash64("doc", "tkey"), F.lit(SLOTS))
-
-
-def _among(given: DataFrame, told: DataFrame, kind: str) -> DataFrame:
-    """``given`` with (left_semi) or without (left_anti) the rows whose slot is that of a row of ``told``: ``SLOTS`` slots at most."""
-    slots = told.select(_slot().alias("slot")).distinct()
-    return given.join(F.broadcast(slots), _slot() == F.col("slot"), kind)
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, twins, spans). rows: ``docs`` as (doc, tkey, text) without twins; twins (doc, tkey, n_bytes): documents whose whole text, of
-    ``length`` bytes or more, is that of a document of smaller id; spans (doc, tkey, starts, ends): lists of binary int64 arrays.
-
-    A byte is in a span where a string of ``length`` bytes covers it that also starts in a document of smaller id.
-    ``tkey`` tells rows of one id with different texts apart. Spans of different parts may overlap.
+def _joined(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, row in it, begin, end) of spans whose ``row`` has the block above bit 40, those of a row merged."""
+    names, own = np.unique(row, return_inverse=True)
+    base = own * (int(high.max()) + 1)
+    order = np.argsort(base + low)
+    a, b = merged((base + low)[order], (base + high)[order])
+    own = a // (int(high.max()) + 1)
+    base = own * (int(high.max()) + 1)
+    return names[own] >> 40, names[own] & ((1 << 40) - 1), a - base, b - base
+
+
+def _marked(data: np.ndarray, sizes: np.ndarray, owner: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(snippet, begin, end) of the bytes of snippets that are covered by strings of a smaller owner; ``base`` is the first snippet's number."""
+    index = RunIndex(data, sizes, owner, length)
+    statistics, row = index.stream(data, sizes)
+    ends = np.cumsum(sizes)
+    at = np.flatnonzero(statistics >= length)
+    snippet = np.searchsorted(ends, at, "right")
+    good = index.least_owner(row[at]) < owner[snippet]
+    at, snippet = at[good], snippet[good]
+    edges = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (snippet[1:] != snippet[:-1]), [True]])) if len(at) else np.zeros(1, np.int64)
+    first, last = edges[:-1], edges[1:] - 1
+    start = (ends - sizes)[snippet[first]]
+    return snippet[first] + base, at[first] - start, at[last] + length - start
+
+
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Blocks of ``docs`` (whose first columns are an id of type long and a text) with what repeats in them: (block, data, twins, spans).
+
+    A byte repeats where a string of ``length`` bytes covers it that also starts in a document of smaller id. ``twins`` are rows whose
+    whole text, by its SHA-256, is that of a document of smaller id; ``spans`` are messages of spans of other rows.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
-    spark = docs.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    given = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    long = F.col("doc").isNotNull() & (F.octet_length("text") >= length)
-    digests = checkpoint(given.filter(long).select("doc", "tkey", F.xxhash64(F.lit(1), "text").alias("more"), F.octet_length("text").cast("long").alias("n_bytes")))
-    classes = checkpoint(digests.groupBy("tkey", "more", "n_bytes").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high"))
-    twins = checkpoint(digests.join(classes, ["tkey", "more", "n_bytes"]).filter("doc > low").select("doc", "tkey", "n_bytes"))
-    alone = _among(given, twins, "left_anti").union(_among(given, twins, "left_semi").join(twins, ["doc", "tkey"], "left_anti").select("doc", "tkey", "text"))
-    source = alone.filter(long)
-    met = source.mapInArrow(tidy(_send(n_parts, length)), _KEYED).repartition(n_parts, "part").mapInArrow(tidy(_meet), "doc long, tkey long, hashes binary")
-    shared = checkpoint(met.groupBy("doc", "tkey").agg(F.collect_list("hashes").alias("hashes")))
-    concerned = _among(source, shared, "left_semi").join(shared, ["doc", "tkey"]).select("doc", "tkey", "text", "hashes")
-    snippets = concerned.mapInArrow(tidy(_snip(n_parts, length)), _SNIPPETS).repartition(n_parts, "part")
-    spans = snippets.mapInArrow(tidy(_match(length)), "doc long, tkey long, starts binary, ends binary")
-    spans = checkpoint(spans.groupBy("doc", "tkey").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
-    release(spark)
-    return alone, twins, spans
-
-
-def _all_spans(starts: list[bytes], ends: list[bytes]) -> tuple[list[int], list[int]]:
-    begin, end = (np.concatenate([np.frombuffer(x, np.int64) for x in y]) for y in (starts, ends))
-    order = np.argsort(begin, kind="stable")
-    begin, end = merged(begin[order], end[order])
-    return begin.tolist(), end.tolist()
+    n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    source = checkpoint(numbered.mapInArrow(tidy(_pack(length)), _BLOCKS))
+    texts = source.select("block", "nth", "digests").mapInArrow(_digests, "digest binary, doc long, block long, nth int")
+    classes = texts.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    twins = texts.join(classes, "digest").filter("doc > low").groupBy("block").agg(F.collect_list("nth").alias("twins"))
+    blocks = checkpoint(source.select("block", "data").repartition(n_parts, "block").join(twins.hint("merge"), "block", "left"), layout=True)
+    drop(source)
+    met = blocks.select("block", "data", "twins").mapInArrow(tidy(_send(n_parts, length)), _MESSAGES).repartitionById(n_parts, "part").mapInArrow(tidy(_meet), _MESSAGES)
+    replies = checkpoint(met.groupBy("block").agg(F.collect_list(F.struct("part", "message")).alias("replies")))
+    asked = blocks.join(replies, "block").select("block", "data", "twins", "replies")
+    found = asked.mapInArrow(tidy(_snip(n_parts, length)), _MESSAGES).repartitionById(n_parts, "part").mapInArrow(tidy(_match(length)), _SPANS)
+    spans = checkpoint(found.groupBy("block").agg(F.collect_list("message").alias("spans")))
+    drop(replies)
+    return blocks.join(spans, "block", "left").select("block", "data", "twins", "spans")
+
+
+class _Result:
+    """The bytes of all texts of a block, and which of them go."""
+
+    def __init__(self, data: bytes, twins: list[int] | None, spans: list[bytes] | None):
+        self.batch = _opened(data)
+        self.data, self.offsets = text_bytes(bpe.filled(self.batch.column(1)))
+        n = len(self.offsets) - 1
+        row, low, high = (np.concatenate([np.zeros(0, np.int64), *(x[i].astype(np.int64) for x in map(unpacked, spans or []))]) for i in range(3))
+        alike = np.array(twins or [], np.int64)
+        row = np.concatenate([row, alike])
+        low, high = np.concatenate([low, np.zeros(len(alike), np.int64)]), np.concatenate([high, np.diff(self.offsets)[alike]])
+        self.n_spans = np.zeros(n, np.int64)
+        self.gone = np.zeros(len(self.data), bool)
+        if len(row):
+            _, row, low, high = _joined(row, low, high)
+            self.n_spans = np.bincount(row, minlength=n)
+            self.gone[spread(self.offsets[row] + low, high - low)] = True
+
+    def whole_characters(self) -> None:
+        """A character stays if any of its bytes does."""
+        if self.gone.any():
+            begins = (self.data & 0xC0) != 0x80
+            begins[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
+            first = np.flatnonzero(begins)
+            self.gone = np.repeat(np.logical_and.reduceat(self.gone, first), np.diff(np.append(first, len(self.data))))
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes left of all texts, and where each text begins in them, plus the end."""
+        stays = np.concatenate([[0], np.cumsum(~self.gone)])
+        return self.data[~self.gone], stays[self.offsets]
+
+
+def _results(batches: Iterator[pa.RecordBatch], made: Callable[[_Result], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data, twins, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            yield made(_Result(data, twins, spans))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, after removal of all repeats (see ``repeats``).
 
-    Null texts are empty; texts shorter than ``length`` and rows with null ids lose nothing and cost nothing; rows of one id
+    Null texts are empty; texts shorter than ``length`` and rows with null ids lose nothing; rows of one id
     are no repeats of each other; other columns are not read.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                begin, end = _all_spans(starts, ends) if starts else ([], [])
-                kept = hashlib.sha256()
-                for a, b in zip([0, *end], [*begin, len(data)], strict=True):
-                    kept.update(data[a:b])
-                rows.append((doc, len(data), sum(end) - sum(begin), len(begin), kept.hexdigest()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    given, twins, spans = repeats(docs, length, id_col, text_col)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"], "left").select("doc", "text", "starts", "ends").mapInArrow(tidy(cut), schema)
-    whole = _among(given, spans, "left_anti")
-    zero = F.lit(0).cast("long")
-    untouched = whole.select(F.col("doc").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    gone = twins.select(F.col("doc").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
-    return untouched.union(touched).union(gone)
+    def rows(result: _Result) -> pa.RecordBatch:
+        kept, ends = result.kept()
+        n_bytes = np.diff(result.offsets)
+        texts = memoryview(np.ascontiguousarray(kept))
+        hashes = [hashlib.sha256(texts[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        columns = [result.batch.column(0), *(pa.array(x.astype(np.int64)) for x in (n_bytes, n_bytes - np.diff(ends), result.n_spans)), pa.array(hashes, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    found = repeats(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), length)
+    return found.mapInArrow(tidy(lambda batches: _results(batches, rows)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeats removed from ``text_col``; documents of which nothing is left go, unless they were empty before.
+    """``docs`` with repeats removed from ``text_col`` (a string column); documents of which nothing is left go, unless they were empty before.
 
-    A character stays if any of its bytes does. All other columns are kept as they are.
+    A character stays if any of its bytes does. All other columns are kept as they are, whatever their names.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                begin, end = _all_spans(starts, ends) if starts else ([], [])
-                pieces, at = [], 0
-                for a, b in zip(begin, end, strict=True):
-                    while a < len(data) and data[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b < len(data) and b > 0 and data[b] & 0xC0 == 0x80:
-                        b -= 1
-                    if a < b:
-                        pieces.append(data[at:a])
-                        at = b
-                texts.append(b"".join([*pieces, data[at:]]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_doc", "_tkey", "_left"])
-
-    given, twins, spans = repeats(docs, length, id_col, text_col)
-    touched = _among(given, spans, "left_semi").join(spans, ["doc", "tkey"]).select("doc", "tkey", "text", "starts", "ends").dropDuplicates(["doc", "tkey"])
-    left = touched.mapInArrow(tidy(cut), "_doc long, _tkey long, _left string")
-    left = left.union(twins.select("doc", "tkey", F.lit("")).distinct())
-    on = (docs[id_col].cast("long") == left["_doc"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == left["_tkey"])
-    joined = docs.join(left, on, "left").filter("_left IS NULL OR _left <> ''")
-    return joined.select(*[F.coalesce("_left", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    names = docs.columns
+    text_at = names.index(text_col)
+
+    def rows(result: _Result) -> pa.RecordBatch:
+        result.whole_characters()
+        kept, ends = result.kept()
+        before = result.batch.column(1)
+        large = pa.types.is_large_string(before.type)
+        texts = pa.Array.from_buffers(before.type, len(before), [None, pa.py_buffer(ends.astype(np.int64 if large else np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
+        texts = pc.if_else(before.is_valid(), texts, pa.scalar(None, before.type))
+        columns = [texts if i == text_at else result.batch.column(2 + i - (i > text_at)) for i in range(len(names))]
+        stays = (np.diff(ends) > 0) | (np.diff(result.offsets) == 0)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
+
+    others = [docs[c] for i, c in enumerate(names) if i != text_at]
+    found = repeats(docs.select(docs[id_col].cast("long"), docs[text_col], *others), length)
+    return found.mapInArrow(tidy(lambda batches: _results(batches, rows)), docs.schema)

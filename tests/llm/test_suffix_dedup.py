@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from brindle.llm import suffix_dedup
@@ -50,44 +52,80 @@ def test_digest_equals_brute_force(spark, seed, length, monkeypatch):
     assert suffix_dedup.digest(df.limit(0)).count() == 0
 
 
-def test_small_indexes_and_gatherings(spark, monkeypatch):
+def test_small_blocks_and_indexes(monkeypatch):
     docs = corpus(4)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = df.selectExpr("doc_id doc", "0L tkey", "coalesce(text, '') text").toArrow().combine_chunks().to_batches()[0]
-    import pyarrow as pa
-
-    monkeypatch.setattr(suffix_dedup, "GATHER", 500)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    monkeypatch.setattr(suffix_dedup, "STEP", 64)
     monkeypatch.setattr(suffix_dedup, "INDEX", 300)
-    met = pa.Table.from_batches(suffix_dedup._meet(suffix_dedup._send(3, 50)([rows])))
-    told = {}
-    for r in met.to_pylist():
-        told.setdefault(r["doc"], []).append(r["hashes"])
-    keep = [i for i, d in enumerate(rows.column(0).to_pylist()) if d in told]
-    some = rows.take(pa.array(keep)).append_column("hashes", pa.array([told[rows.column(0)[i].as_py()] for i in keep]))
-    parts = list(suffix_dedup._snip(3, 50)([some]))
+    rows = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.string())], names=["c0", "c1"])
+    blocks = pa.Table.from_batches(suffix_dedup._pack(50)([rows])).to_pylist()
+    assert len(blocks) > 3
+    twins, first = {}, {}
+    for r in pa.Table.from_batches(suffix_dedup._digests([suffix_dedup._rows([(b["block"], b["nth"], b["digests"]) for b in blocks], "block long, nth binary, digests binary")])).to_pylist():
+        first[r["digest"]] = min(first.get(r["digest"], r["doc"]), r["doc"])
+        twins.setdefault(r["block"], []).append(r)
+    twins = {b: [r["nth"] for r in own if first[r["digest"]] < r["doc"]] for b, own in twins.items()}
+    n_parts = 3
+
+    def batch(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[str(i) for i in range(len(columns))])
+
+    def by_part(made):
+        table = pa.Table.from_batches(made)
+        return [table.filter(pc.equal(table["part"], p)).to_batches() for p in range(n_parts)]
+
+    number, data, alike = [b["block"] for b in blocks], [b["data"] for b in blocks], [twins.get(b["block"]) for b in blocks]
+    met = [r for own in by_part(suffix_dedup._send(n_parts, 50)([batch(number, data, alike)])) for r in pa.Table.from_batches(suffix_dedup._meet(own)).to_pylist()]
+    replies = [[r for r in met if r["block"] == n] for n in number]
     spans = {}
-    for p in range(3):
-        for out in suffix_dedup._match(50)(x.filter(pa.compute.equal(x.column(0), p)) for x in parts):
-            for r in out.to_pylist():
-                spans.setdefault(r["doc"], []).append(r)
-    for d, n, removed, n_spans, _ in brute(docs, 50):
-        own = spans.get(d, [])
-        begin, end = suffix_dedup._all_spans([r["starts"] for r in own], [r["ends"] for r in own]) if own else ([], [])
-        assert (sum(end) - sum(begin), len(begin)) == (removed, n_spans)
-
-
-def test_run_index_statistics():
-    r = random.Random(5)
-    strings = ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(60)]
-    sizes = np.array([len(s) for s in strings])
-    index = suffix_dedup.RunIndex(np.frombuffer("".join(strings).encode(), np.uint8), sizes)
-    suffixes = [s[i:] for s in strings for i in range(len(s))]
-    assert [suffixes[i] for i in index.order] == sorted(suffixes)
-    got = index.matching_statistics()[index.order]
-    for k in range(1, len(suffixes)):
-        a, b = suffixes[index.order[k - 1]], suffixes[index.order[k]]
-        assert got[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    assert len(index.heads) < len(suffixes)
+    for own in by_part(suffix_dedup._snip(n_parts, 50)([batch(number, data, alike, replies)])):
+        for made in suffix_dedup._match(50)(own):
+            for r in made.to_pylist():
+                spans.setdefault(r["block"], []).append(r["message"])
+    got = []
+    for b, alike in zip(blocks, alike):
+        result = suffix_dedup._Result(b["data"], alike, spans.get(b["block"]))
+        kept, ends = result.kept()
+        for i, d in enumerate(result.batch.column(0).to_pylist()):
+            n = int(result.offsets[i + 1] - result.offsets[i])
+            own = kept[ends[i] : ends[i + 1]].tobytes()
+            got.append((d, n, n - len(own), int(result.n_spans[i]), hashlib.sha256(own).hexdigest()))
+    assert sorted(got, key=str) == brute(docs, 50)
+
+
+def test_packed_arrays():
+    arrays = [np.arange(5, dtype=np.uint32), np.zeros(0, np.int64), np.array([-3, 1 << 40]), np.array([1, 255], np.uint8), np.array([1 << 63], np.uint64)]
+    back = suffix_dedup.unpacked(suffix_dedup.packed(*arrays))
+    assert [(x.dtype, x.tolist()) for x in back] == [(x.dtype, x.tolist()) for x in arrays]
+    assert suffix_dedup.narrow(np.array([70000])).dtype == np.uint32
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_run_index_streams_matching_statistics(seed):
+    """Texts that are in the index and others, some with bytes that it lacks: lengths, rows and least owners as found by search."""
+    r = random.Random(seed)
+    strings = ["".join(r.choice("ab" if seed < 3 else "abcdefgh") for _ in range(r.randint(1, 40))) for _ in range(60)]
+    if seed == 2:
+        strings = [r.choice(strings[:6]) + r.choice("ab") for _ in range(60)]
+    owner = np.array([r.randint(0, 30) for _ in strings])
+    length = 6
+    index = suffix_dedup.RunIndex(np.frombuffer("".join(strings).encode(), np.uint8), np.array([len(s) for s in strings]), owner, length)
+    assert len(index.heads) < sum(map(len, strings)) + len(strings)
+    rows = sorted([(s[i:] + "\0", k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)])
+    texts = strings + ["".join(r.choice("abz") for _ in range(r.randint(0, 50))) for _ in range(40)]
+    lengths, row = index.stream(np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts]))
+    least = index.least_owner(row)
+    at = 0
+    for t in texts:
+        for i in range(len(t)):
+            want = next((n for n in range(min(length, len(t) - i), 0, -1) if any(t[i : i + n] in s for s in strings)), 0)
+            assert lengths[at] == want
+            assert rows[row[at]][0].startswith(t[i : i + want])
+            if want == length:
+                assert least[at] == min(o for o, s in zip(owner, strings) if t[i : i + length] in s)
+            at += 1
+    empty = suffix_dedup.RunIndex(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), length)
+    assert empty.stream(np.array([97], np.uint8), np.array([1]))[0].tolist() == [0]
 
 
 def test_whole_table(spark):
