@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.plans.recovery import checkpoint
+from brindle.plans.recovery import checkpoint, drop
+
+#: Slots of the broadcast filters of ids (a proven bound on their rows, whatever the data).
+SLOTS = 1 << 20
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of ``links`` (a, b): the smallest node reachable.
 
     Labels start as the least neighbour. Each round takes the least label around every node and then the label's
-    own label, so chains halve. Labels are checkpointed each round; nothing but a count of changes
+    own label, so chains halve. Labels are checkpointed each round; nothing but whether any changed
     reaches the driver. Joins are by node or label, whose hot values AQE can split, and sums precede shuffles.
     """
     both = checkpoint(links.select("a", "b").union(links.select("b", "a")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    while True:
+    held = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("next")).withColumn("label", F.col("node")))
+    while not held.filter(F.col("label") != F.col("next")).isEmpty():
+        labels = held.select("node", F.col("next").alias("label"))
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         owner = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         fresh = checkpoint(lower.join(owner, "low").select("node", "label", F.least("low", "far").alias("next")))
-        changed = fresh.filter(F.col("label") != F.col("next")).count()
-        labels = fresh.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        drop(held)
+        held = fresh
+    drop(both)
+    return held.select("node", F.col("next").alias("component"))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (one column, read twice); all others whole, null ids too.
+
+    Ids are hashed to ``SLOTS`` slots, so that what is broadcast is bounded; only rows in a slot of ``gone`` are shuffled.
+    """
+    key, ids = docs[id_col].cast("long"), gone.toDF("gone").distinct()
+    slots = F.broadcast(ids.select(F.pmod(F.xxhash64("gone"), F.lit(SLOTS)).alias("slot")).distinct())
+    here = F.pmod(F.xxhash64(key), F.lit(SLOTS)) == slots["slot"]
+    near = docs.join(slots, here, "left_semi")
+    return docs.join(slots, here, "left_anti").union(near.join(ids, key == ids["gone"], "left_anti"))

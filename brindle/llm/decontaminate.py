@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
+from brindle.llm.components import without
 from brindle.llm.memory import tidy
+from brindle.plans.recovery import checkpoint
 
 #: Tokens of a window (of a shorter item: the whole item), least tokens of an item, least words in a window that are no placeholders.
 WINDOW, LEAST, LITERALS = 8, 5, 3
@@ -314,5 +316,4 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
 
 def remove(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item (see ``find``); all others whole, with all their columns."""
-    found = find(docs, benchmark, covered, id_col=id_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["_leaked"], "left_anti")
+    return without(docs, id_col, checkpoint(find(docs, benchmark, covered, id_col=id_col).select("doc_id").distinct()))

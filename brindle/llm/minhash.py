@@ -10,20 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
-from brindle.llm.components import components
+from brindle.llm.components import SLOTS, components, without
 from brindle.llm.memory import tidy
 from brindle.llm.bpe import mixed
 from brindle.llm.shingles import shingle_sets
-from brindle.plans.recovery import checkpoint
+from brindle.plans.recovery import checkpoint, drop
 
 #: Permutations; each gives two signature values, its least and its greatest hash.
 PERMUTATIONS = 64
 #: Signature values of a band. With 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8.
 ROWS = 4
-#: Rounds that compare each bucket with one of its members, before the pairs left between components are compared.
-ROUNDS = 1
-#: Members from which a bucket left over is compared in blocks, and members of a block.
-LARGE, BLOCK = 64, 256
+#: Documents of a block: two blocks are compared in one task.
+BLOCK = 1024
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +110,7 @@ def _linked(percent: int):
 
 
 def _between(percent: int):
-    """Links between two blocks of a cell: pairs of different components that share a band and whose full sets are alike enough."""
+    """Links between two blocks: pairs of different components that share a band and whose full sets are alike enough."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -122,24 +120,26 @@ def _between(percent: int):
         alone = table["first"][0].as_py() == table["second"][0].as_py()
         left = np.flatnonzero(side == 0)
         right = left if alone else np.flatnonzero(side == 1)
-        shared = np.zeros((len(left), len(right)), bool)
-        for b in range(keys.shape[1]):
-            shared |= keys[left, b][:, None] == keys[right, b]
-        low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        shared &= (component[left][:, None] != component[right]) & (100 * low >= percent * high)
-        if alone:
-            shared = np.triu(shared, 1)
         a, b = [], []
-        for i in np.flatnonzero(shared.any(1)).tolist():
-            x = items[left[i]]
-            those = right[shared[i]]
-            sizes = n[those]
-            joint = np.concatenate([items[j] for j in those])
-            at = np.minimum(np.searchsorted(x, joint), len(x) - 1)
-            both = np.bincount(np.repeat(np.arange(len(those)), sizes), weights=x[at] == joint, minlength=len(those)).astype(np.int64)
-            good = those[100 * both >= percent * (len(x) + sizes - both)]
-            a += [doc[left[i]]] * len(good)
-            b += doc[good].tolist()
+        for at in range(0, len(left), 128):
+            rows = left[at : at + 128]
+            shared = np.zeros((len(rows), len(right)), bool)
+            for k in range(keys.shape[1]):
+                shared |= keys[rows, k][:, None] == keys[right, k]
+            low, high = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
+            shared &= (component[rows][:, None] != component[right]) & (100 * low >= percent * high)
+            if alone:
+                shared &= doc[rows][:, None] < doc[right]
+            for i in np.flatnonzero(shared.any(1)).tolist():
+                x = items[rows[i]]
+                those = right[shared[i]]
+                sizes = n[those]
+                joint = np.concatenate([items[j] for j in those])
+                place = np.minimum(np.searchsorted(x, joint), len(x) - 1)
+                both = np.add.reduceat((x[place] == joint).astype(np.int64), np.cumsum(sizes) - sizes)
+                good = those[100 * both >= percent * (len(x) + sizes - both)]
+                a += [doc[rows[i]]] * len(good)
+                b += doc[good].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -149,70 +149,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Two documents are linked where their full sets of ``shingle``-word shingles have a Jaccard similarity of at least
-    ``percent`` / 100. Documents of equal sets form a class, and one of each class, its smallest id, takes part.
-    Classes meet in the buckets of their bands. A round compares the members of each bucket with one of them. Buckets that
-    then hold several components go on: of small ones, members outside the main component meet those of other components; large ones
-    are compared in pairs of blocks, inside tasks, by components, bands and sizes first. No pair of one component is compared
-    again, and candidates have no cap. Every link is confirmed on the full sets.
+    ``percent`` / 100. Documents of equal sets form a class, and its smallest id takes part.
+    Classes meet in the buckets of their bands. At first every member of a bucket is compared with the least one, which is
+    at most one pair for each member. Buckets that then hold several components are joined to cells; members of a cell that share a
+    band and are of different components are compared inside tasks, large cells in pairs of blocks. No pair of one component
+    is compared again, and candidates have no cap. Every link is confirmed on the full sets.
 
     Texts without words (and null) are linked with nothing. Rows of one id are one document; null ids are linked with nothing
     and kept, with a null component. Other columns are not read.
     """
     given = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
     digests = checkpoint(given.mapInArrow(tidy(_digests(shingle)), "doc long, n long, k1 long, k2 long, bands array<long>"))
-    classes = checkpoint(digests.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep")))
-    rows = checkpoint(digests.join(classes, ["n", "k1", "k2"]).select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
-    placed = rows.filter(F.col("bands").isNotNull()).select(F.col("doc"), F.col("n"), F.explode("bands").alias("bucket"))
-    shared = checkpoint(placed.groupBy("bucket").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("bucket"))
-    members = checkpoint(placed.join(shared, "bucket").select("bucket", "doc", "n"))
+    classes = digests.filter("doc IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
+    rows = checkpoint(digests.join(classes, ["n", "k1", "k2"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
+    drop(digests)
+    placed = rows.filter(F.col("bands").isNotNull()).select("doc", "n", F.explode("bands").alias("bucket"))
+    buckets = placed.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("least"), F.max("doc").alias("last")).filter("least.doc < last")
+    members = checkpoint(placed.join(buckets, "bucket").select("bucket", "doc", "n", F.col("least.doc").alias("leader"), F.col("least.n").alias("leader_n")))
     wanted = members.select("doc").distinct()
-    sets = checkpoint(given.join(wanted, "doc", "left_semi").mapInArrow(tidy(_sets(shingle)), "doc long, items binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """``pairs``: a, b and their sizes."""
-        close = pairs.filter((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = close.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-        whole = left.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
-        return checkpoint(whole.mapInArrow(tidy(_linked(percent)), "a long, b long"))
-
-    def unsettled(known: DataFrame, turn: int) -> DataFrame:
-        """Buckets that hold several components, each with one of its members, drawn anew, and that member's component."""
-        drawn = F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n", "component")
-        held = known.groupBy("bucket").agg(F.min(drawn).alias("one"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        return checkpoint(held.filter("low < high").select("bucket", F.col("one.doc").alias("b"), F.col("one.n").alias("nb"), F.col("one.component").alias("main"), "size"))
-
-    def grouped(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        labels = components(links)
-        placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        return labels, checkpoint(placed)
-
-    links, known = None, members.withColumn("component", F.col("doc"))
-    for turn in range(ROUNDS):
-        minor = known.join(unsettled(known, turn), "bucket").filter(F.col("component") != F.col("main"))
-        found = confirmed(minor.select(F.col("doc").alias("a"), F.col("n").alias("na"), "b", "nb"))
-        links = found if links is None else links.union(found)
-        labels, known = grouped(links)
-    left = unsettled(known, ROUNDS)
-    few = known.join(left.filter(F.col("size") < LARGE), "bucket")
-    one = few.filter(F.col("component") != F.col("main")).select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), "component", "main")
-    other = few.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("theirs"))
-    pairs = one.join(other, "bucket").filter((F.col("theirs") != F.col("component")) & ((F.col("theirs") == F.col("main")) | (F.col("a") < F.col("b"))))
-    found = confirmed(pairs.select("a", "na", "b", "nb"))
-    # large buckets of one group hold much the same members: their unions are compared, in blocks, within tasks
-    many = checkpoint(known.join(left.filter(F.col("size") >= LARGE), "bucket").select("doc", "n", "component", "b"))
-    if not many.isEmpty():
-        cells = components(many.select(F.col("doc").alias("a"), "b")).withColumnRenamed("component", "cell")
-        sizes = checkpoint(cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-        facts = many.select("doc", "n", "component").distinct().join(cells.withColumnRenamed("node", "doc"), "doc").join(sizes, "cell")
-        own = rows.filter(F.col("bands").isNotNull()).select("doc", "bands").dropDuplicates(["doc"])
-        dealt = facts.join(own, "doc").join(sets.dropDuplicates(["doc"]), "doc")
-        block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-        dealt = dealt.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("cell", F.least("block", "o").alias("first"), F.greatest("block", "o").alias("second"), (F.col("block") > F.col("o")).cast("int").alias("side"), "doc", "n", "component", "bands", "items")
-        found = found.union(checkpoint(dealt.groupBy("cell", "first", "second").applyInArrow(_between(percent), "a long, b long")))
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS))
+    likely = given.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    sets = checkpoint(likely.mapInArrow(tidy(_sets(shingle)), "doc long, items binary").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
+
+    alike = (F.col("doc") != F.col("leader")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
+    pairs = members.filter(alike).select("doc", "leader").distinct()
+    pairs = pairs.join(sets.select("doc", F.col("items").alias("x")), "doc").join(sets.select(F.col("doc").alias("leader"), F.col("items").alias("y")), "leader")
+    links = checkpoint(pairs.select("doc", "leader", "x", "y").mapInArrow(tidy(_linked(percent)), "a long, b long"))
+    labels = components(links)
+
+    known = checkpoint(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "leader", F.coalesce("component", "doc").alias("component")))
+    drop(members)
+    open_ones = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    left = checkpoint(known.join(open_ones, "bucket").select("doc", "n", "component", "leader").distinct())
+    drop(known)
+    cells = components(left.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
+    sized = checkpoint(cells.withColumnRenamed("component", "cell").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")))
+    # cells of one block share a task with others: no band is shared between them
+    small = sized.filter("blocks = 1").agg(F.sum("size")).first()[0] or 0
+    facts = left.select("doc", "n", "component").distinct().join(cells.withColumnRenamed("node", "doc").withColumnRenamed("component", "cell"), "doc").join(sized, "cell")
+    facts = facts.withColumn("parcel", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(1 + 2 * small // BLOCK))).otherwise(F.xxhash64("cell")))
+    dealt = facts.join(rows.filter(F.col("bands").isNotNull()).select("doc", "bands").dropDuplicates(["doc"]), "doc").join(sets, "doc")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("parcel", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "n", "component", "bands", "items")
+    found = checkpoint(dealt.groupBy("parcel", "first", "second").applyInArrow(_between(percent), "a long, b long"))
+    drop(sized, left, sets)
     if not found.isEmpty():
-        labels, _ = grouped(links.union(found))
+        labels = components(links.union(found))
+    drop(links, found)
     out = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
@@ -220,5 +204,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near-duplicates."""
-    gone = near_duplicates(docs, shingle, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    return without(docs, id_col, checkpoint(near_duplicates(docs, shingle, percent, id_col, text_col).filter("NOT kept").select("doc_id")))

@@ -62,7 +62,10 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text.upper()), (7, "tail " * 20000), (8, "tail " * 30000)], "doc_id long, text string")
     got = sorted(minhash.near_duplicates(df).collect(), key=str)
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(5, 5), (5, 5), (7, 7), (8, 7), (9, 5)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "1 gone", "2 doc", "3 rep")
+    assert minhash.deduplicate(clash).columns == clash.columns and minhash.deduplicate(clash).count() == 4
 
 
 def test_chain_components(spark):
@@ -72,8 +75,7 @@ def test_chain_components(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "LARGE", 3)
+def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     r = random.Random(9)
     base = [f"w{r.randrange(300)}" for _ in range(120)]
