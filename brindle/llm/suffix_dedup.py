@@ -78,9 +78,10 @@ def minimizers(data: np.ndarray, gram: int, length: int = LENGTH) -> np.ndarray:
     for step in (1, 2, 4):
         x = x[:-step] | (x[step:] << np.uint64(8 * step))
     m = len(data) - gram + 1
-    h = mixed(x[:m] * np.uint64(0x9E3779B97F4A7C15 + gram))
+    h = x[:m] * np.uint64(0x9E3779B97F4A7C15 + gram)
     for k in [*range(8, gram - 8, 8), gram - 8]:
-        h = mixed(h ^ x[k : k + m])
+        h += x[k : k + m] * np.uint64((0xC2B2AE3D27D4EB4F * (k + 1) | 1) & 0xFFFFFFFFFFFFFFFF)
+    h = mixed(h)
     width, step = length - gram + 1, 1
     while 2 * step <= width:
         h = np.minimum(h[:-step], h[step:])
@@ -321,9 +322,9 @@ def _snippets(number: int, block: _Block, at: np.ndarray, n_parts: int) -> list[
 class RunIndex:
     """A run-length index of distinct strings, each ended by an end mark of its own.
 
-    Kept of the Burrows-Wheeler transform: where its runs begin, their symbols (0: an end mark) and images under the LF mapping,
-    and the suffixes at both ends of each run; beside the texts, and the least ``owner`` of every group of suffixes that
-    have ``length`` bytes in common. Rows 0, 1, .. are the end marks of the strings.
+    Kept of the Burrows-Wheeler transform: where its runs begin, their symbols (0: an end mark), their images under the LF mapping
+    and the runs that these lie in, and the suffixes at both ends of each run; beside the texts, and the least ``owner`` of
+    every group of suffixes that have ``length`` bytes in common. Rows 0, 1, .. are the end marks of the strings.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int):
@@ -346,10 +347,13 @@ class RunIndex:
         self.first, self.last = order[self.heads], order[self.heads + self.lengths - 1]
         self.by_symbol = np.argsort(self.symbols, kind="stable")
         sizes_by = self.lengths[self.by_symbol]
-        self.images = np.empty(len(self.heads), np.int64)
-        self.images[self.by_symbol] = np.cumsum(sizes_by) - sizes_by
+        images = np.cumsum(sizes_by) - sizes_by
+        self.images, self.goals = np.empty(len(self.heads), np.int64), np.empty(len(self.heads), np.int64)
+        self.images[self.by_symbol] = images
+        self.goals[self.by_symbol] = np.searchsorted(self.heads, images, "right") - 1
         self.keys = self.symbols[self.by_symbol].astype(np.int64) * len(self.heads) + self.by_symbol
-        self.text, self.left = text, left
+        self.text, self.left = np.concatenate([text, np.zeros(4, np.int16)]), left
+        self.words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(self.text.view(np.uint8)[:8].view(np.uint64), (n,), (2,)))
         shared = self._shared(order)
         self.groups = np.flatnonzero(shared < length)  # a suffix shorter than that is a group, too
         self.least = np.minimum.reduceat(np.repeat(owner, sizes + 1)[order], self.groups) if n else owner[:0]
@@ -373,18 +377,31 @@ class RunIndex:
         return common[order]
 
     def extension(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Symbols that the texts from ``x`` and from ``y`` have in common, up to ``limit``."""
+        """Symbols that the texts from ``x`` and from ``y`` have in common, up to ``limit``; four are compared at a time."""
         out = limit.copy()
         going = np.flatnonzero(limit > 0)
         x, y, limit, depth = x[going], y[going], limit[going], 0
         while len(going):
-            same = self.text[x + depth] == self.text[y + depth]
-            out[going[~same]] = depth
-            depth += 1
-            on = same & (limit > depth)
+            apart = self.words[x + depth] ^ self.words[y + depth]
+            ended = np.flatnonzero(apart)
+            lowest = apart[ended] & (~apart[ended] + np.uint64(1))
+            out[going[ended]] = np.minimum(limit[ended], depth + (np.log2(lowest.astype(np.float64)) / 16).astype(np.int64))
+            depth += 4
+            on = np.flatnonzero((apart == 0) & (limit > depth))
             going, x, y, limit = going[on], x[on], y[on], limit[on]
         return out
 
+    def _forward(self, run: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The runs of ``row``, which are ``run`` or runs after them."""
+        going = np.flatnonzero(self.heads[run] + self.lengths[run] <= row)
+        for _ in range(8):
+            if not len(going):
+                return run
+            run[going] += 1
+            going = going[self.heads[run[going]] + self.lengths[run[going]] <= row[going]]
+        run[going] = np.searchsorted(self.heads, row[going], "right") - 1
+        return run
+
     def stream(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of texts, all from right to left at once: for every byte the length of the longest match that begins there
         (``length`` at most), and a row with that match.
@@ -396,39 +413,39 @@ class RunIndex:
         length, row = np.zeros(n, np.int64), np.zeros(n, np.int64)
         turn = np.argsort(-sizes, kind="stable")
         ends, sizes = np.cumsum(sizes)[turn], sizes[turn]
-        at_row, at_text, matched = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        run, off, at_text, matched = (np.zeros(len(sizes), np.int64) for _ in range(4))
         if runs:
             at_text[:] = self.first[0]
         for k in range(int(sizes.max(initial=0)) if runs else 0):
             m = int(np.searchsorted(-sizes, -k, "left"))  # streams that are longer than k
-            symbol = data[ends[:m] - 1 - k].astype(np.int64) + 1
-            r, q, l = at_row[:m], at_text[:m], matched[:m]
-            run = np.searchsorted(self.heads, r, "right") - 1
-            off = r - self.heads[run]
-            other = np.flatnonzero(self.symbols[run] != symbol)
+            here = ends[:m] - 1 - k
+            symbol = data[here].astype(np.int16) + np.int16(1)
+            j, o, q, l = run[:m], off[:m], at_text[:m], matched[:m]
+            absent = other = np.flatnonzero(self.symbols[j] != symbol)
             if len(other):
                 c = symbol[other]
-                place = np.searchsorted(self.keys, c * runs + run[other])
-                down, up = np.minimum(place, runs - 1), np.maximum(place - 1, 0)
-                below, above = self.by_symbol[down], self.by_symbol[up]
+                place = np.searchsorted(self.keys, c.astype(np.int64) * runs + j[other])
+                below, above = self.by_symbol[np.minimum(place, runs - 1)], self.by_symbol[np.maximum(place - 1, 0)]
                 has_below, has_above = (place < runs) & (self.symbols[below] == c), (place > 0) & (self.symbols[above] == c)
                 was, limit = q[other], l[other]
-                to_below = self.extension(was, self.first[below], np.where(has_below, np.minimum(limit, self.left[self.first[below]]), 0))
-                to_above = self.extension(was, self.last[above], np.where(has_above, np.minimum(limit, self.left[self.last[above]]), 0))
+                samples = np.concatenate([self.first[below], self.last[above]])
+                most = np.where(np.concatenate([has_below, has_above]), np.minimum(np.tile(limit, 2), self.left[samples]), 0)
+                to_below, to_above = np.split(self.extension(np.tile(was, 2), samples, most), 2)
                 take_above = has_above & (~has_below | (to_above > to_below))
-                run[other] = np.where(take_above, above, below)
-                off[other] = np.where(take_above, self.lengths[above] - 1, 0)
+                j[other] = np.where(take_above, above, below)
+                o[other] = np.where(take_above, self.lengths[above] - 1, 0)
                 q[other] = np.where(take_above, self.last[above], self.first[below])
                 l[other] = np.where(take_above, to_above, to_below)
                 absent = other[~has_above & ~has_below]
-            else:
-                absent = other
-            r[:] = self.images[run] + off
+            r = self.images[j] + o
+            j[:] = self._forward(self.goals[j], r)
+            o[:] = r - self.heads[j]
             q -= 1
             l += 1
             np.minimum(l, self.length, out=l)
-            r[absent], q[absent], l[absent] = 0, self.first[0], 0
-            length[ends[:m] - 1 - k], row[ends[:m] - 1 - k] = l, r
+            if len(absent):
+                r[absent], j[absent], o[absent], q[absent], l[absent] = 0, 0, 0, self.first[0], 0
+            length[here], row[here] = l, r
         return length, row
 
     def least_owner(self, row: np.ndarray) -> np.ndarray:
@@ -444,22 +461,34 @@ def _suffixes(text: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
     used[0] = 0
     code = np.cumsum(used) * used  # 0 for end marks
     bits = max(1, int(code.max(initial=0)).bit_length())
-    step = 63 // bits
-    padded = np.concatenate([code[text], np.zeros(step, np.int64)])
-    key = np.zeros(n, np.int64)
-    for k in range(step):
-        key <<= bits
-        key |= np.where(left > k, padded[k : n + k], 0)
+    key, step = code[text], 1
+    while 2 * step * bits <= 62 and step < longest:
+        key[:-step] = key[:-step] << (bits * step) | np.where(left[:-step] > step, key[step:], 0)
+        key[-step:] <<= bits * step
+        step *= 2
+    order = np.argsort(key)
+    low = max(1, n.bit_length())
     while True:
-        order = np.argsort(key, kind="stable" if step >= longest else None)
-        if step >= longest:
-            return order
         ranked = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-        far = np.minimum(np.arange(n) + step, n - 1)
-        key = rank * (n + 1) + np.where(left > step, rank[far] + 1, 0)
+        rank[order] = np.cumsum(np.concatenate([np.zeros(1, np.int64), (ranked[1:] != ranked[:-1]).astype(np.int64)])) if n else ranked
+        if step >= longest:  # equal suffixes in text order
+            return np.sort(rank << low | np.arange(n)) & ((1 << low) - 1) if 2 * low < 64 else np.lexsort((np.arange(n), rank))
+        key = rank << low
+        key[:-step] |= np.where(left[:-step] > step, rank[step:] + 1, 0)
         step *= 2
+        if 3 * low < 64:
+            key = np.sort(key << low | np.arange(n))
+            order = key & ((1 << low) - 1)
+            key = _placed(key >> low, order)
+        else:
+            order = np.argsort(key)
+
+
+def _placed(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(values), values.dtype)
+    out[order] = values
+    return out
 
 
 _SPANS = "block long, message binary"
