@@ -163,32 +163,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = digests.filter("doc IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
     rows = checkpoint(digests.join(classes, ["n", "k1", "k2"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
     drop(digests)
-    placed = rows.filter(F.col("bands").isNotNull()).select("doc", "n", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("least"), F.max("doc").alias("last")).filter("least.doc < last")
-    members = checkpoint(placed.join(buckets, "bucket").select("bucket", "doc", "n", F.col("least.doc").alias("leader"), F.col("least.n").alias("leader_n")))
+    placed = rows.filter(F.col("bands").isNotNull()).select("doc", F.explode("bands").alias("bucket"))
+    buckets = placed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last").select("bucket", "leader")
+    members = checkpoint(placed.join(buckets, "bucket"))
     wanted = members.select("doc").distinct()
     slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS))
     likely = given.join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
     sets = checkpoint(likely.mapInArrow(tidy(_sets(shingle)), "doc long, items binary").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
 
-    alike = (F.col("doc") != F.col("leader")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
-    pairs = members.filter(alike).select("doc", "leader").distinct()
+    pairs = members.filter("doc <> leader").select("doc", "leader").distinct()
     pairs = pairs.join(sets.select("doc", F.col("items").alias("x")), "doc").join(sets.select(F.col("doc").alias("leader"), F.col("items").alias("y")), "leader")
     links = checkpoint(pairs.select("doc", "leader", "x", "y").mapInArrow(tidy(_linked(percent)), "a long, b long"))
     labels = components(links)
 
-    known = checkpoint(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", "leader", F.coalesce("component", "doc").alias("component")))
+    known = checkpoint(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "leader", F.coalesce("component", "doc").alias("component")))
     drop(members)
     open_ones = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    left = checkpoint(known.join(open_ones, "bucket").select("doc", "n", "component", "leader").distinct())
+    left = checkpoint(known.join(open_ones, "bucket").select("doc", "component", "leader").distinct())
     drop(known)
     cells = components(left.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
     sized = checkpoint(cells.withColumnRenamed("component", "cell").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")))
     # cells of one block share a task with others: no band is shared between them
     small = sized.filter("blocks = 1").agg(F.sum("size")).first()[0] or 0
-    facts = left.select("doc", "n", "component").distinct().join(cells.withColumnRenamed("node", "doc").withColumnRenamed("component", "cell"), "doc").join(sized, "cell")
+    facts = left.select("doc", "component").distinct().join(cells.withColumnRenamed("node", "doc").withColumnRenamed("component", "cell"), "doc").join(sized, "cell")
     facts = facts.withColumn("parcel", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(1 + 2 * small // BLOCK))).otherwise(F.xxhash64("cell")))
-    dealt = facts.join(rows.filter(F.col("bands").isNotNull()).select("doc", "bands").dropDuplicates(["doc"]), "doc").join(sets, "doc")
+    dealt = facts.join(rows.filter(F.col("bands").isNotNull()).select("doc", "n", "bands").dropDuplicates(["doc"]), "doc").join(sets, "doc")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("parcel", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "n", "component", "bands", "items")
