@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, language_id, minhash, packing, suffix_dedup
 from brindle.llm.queries import vocabulary
-from brindle.plans.recovery import shared_path
+from brindle.plans.recovery import delete, shared_path
 from brindle.plans.tables import table
 
-#: A document is rejected if it has no letters, or so many n-grams of which the best language holds less than this share.
-LEAST_SCORE, LEAST_GRAMS = 0.1, 20
+#: A document is rejected if it has no letters, or if less than this share of its n-grams is of the best language, counted with so many more that are.
+LEAST_SCORE, PRIOR = 0.1, 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and longer ones in no learned language, go; ``lang`` becomes the prediction."""
-    judged = language_id.identify(docs, keep=docs.columns)
-    rejected = (F.col("_lang_pred") == "und") | ((F.col("_score") < LEAST_SCORE) & (F.col("_n_grams") >= LEAST_GRAMS))
-    kept = judged.filter(~rejected)
-    return kept.select(*[F.col("_lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    """Documents without letters, and those in no learned language, go; ``lang`` becomes the prediction. The shorter a text, the less its n-grams prove."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    judged = language_id.identify(docs.toDF(*names.values()), names["doc_id"], names["text"], names["lang"], keep=list(names.values()))
+    share = (F.col("_score") * F.col("_n_grams") + PRIOR) / (F.col("_n_grams") + PRIOR)
+    kept = judged.filter((F.col("_lang_pred") != "und") & (share >= LEAST_SCORE))
+    return kept.select(*[F.col("_lang_pred" if c == "lang" else own).alias(c) for c, own in names.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again; a table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
