@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import time
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from brindle.operators.retriever import Retriever
 from brindle.plans.store import HEAD, Store
 from brindle.sources.files import read_files
 
+UPLOAD_FIELDS = ["filename", "content", "metadata", "doc_key", "replace", "valid_from", "valid_until", "review_by"]
 _UPLOAD = "filename string, content binary, metadata string, doc_key string, replace boolean, valid_from date, valid_until date, review_by date"
 
 
@@ -36,30 +38,50 @@ class KnowledgeBase:
 
     def upload(self, filename: str, content: bytes, metadata: dict | None = None, doc_key: str | None = None, replace: bool = False, valid_from: datetime.date | None = None, valid_until: datetime.date | None = None, review_by: datetime.date | None = None) -> dict[str, Any]:
         """Ingests one file; refusals are results with an error, not exceptions."""
-        try:
-            given = json.dumps(validate_metadata(metadata), ensure_ascii=False)
-        except ValueError as e:
-            return {"filename": filename, "status": "error", "error": str(e)}
-        row = (filename, content, given, doc_key, replace, valid_from, valid_until, review_by)
-        return self._ingest(self.spark.createDataFrame([row], _UPLOAD))[0]
-
-    def ingest_path(self, path: str, metadata: dict | None = None, replace: bool = False) -> list[dict[str, Any]]:
-        """Ingests a file, whatever its type, or all supported files of a folder and its subfolders."""
+        return self.upload_all([{"filename": filename, "content": content, "metadata": metadata, "doc_key": doc_key, "replace": replace, "valid_from": valid_from, "valid_until": valid_until, "review_by": review_by}])[0]
+
+    def upload_all(self, files: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        """Ingests files as one batch, in their order; one result for each, in the same order."""
+        out: dict[int, dict[str, Any]] = {}
+        rows = []
+        for i, given in enumerate(files):
+            if unknown := sorted(set(given) - set(UPLOAD_FIELDS)):
+                raise TypeError(f"unknown upload fields: {', '.join(unknown)}")
+            try:
+                metadata = json.dumps(validate_metadata(given.get("metadata")), ensure_ascii=False)
+            except ValueError as e:
+                out[i] = {"filename": given["filename"], "status": "error", "error": str(e)}
+                continue
+            rows.append((f"{i:09}", *(metadata if f == "metadata" else bool(given.get(f)) if f == "replace" else given.get(f) for f in UPLOAD_FIELDS)))
+        if rows:
+            found = self._ingest(self.spark.createDataFrame(rows, f"path string, {_UPLOAD}"))
+            out |= dict(zip((int(r[0]) for r in rows), found, strict=True))
+        return [out[i] for i in range(len(files))]
+
+    def ingest_path(self, path: str, metadata: dict | None = None, replace: bool = False, doc_key: str | None = None, valid_from: datetime.date | None = None, valid_until: datetime.date | None = None, review_by: datetime.date | None = None) -> list[dict[str, Any]]:
+        """Ingests a file, whatever its type, or all supported files of a folder and its subfolders, in order of path."""
         given = json.dumps(validate_metadata(metadata), ensure_ascii=False)
         fs, at = self.store._fs(path)
         if fs.getFileStatus(at).isDirectory():
+            if doc_key is not None:
+                raise ValueError("doc_key is for a single file")
             files = read_files(self.spark, path)
         else:
-            files = self.spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
-        return self._ingest(files.select("filename", "content").withColumn("metadata", F.lit(given)).withColumn("replace", F.lit(replace)))
+            files = self.spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+        days = {"valid_from": valid_from, "valid_until": valid_until, "review_by": review_by}
+        own = {"metadata": F.lit(given), "replace": F.lit(replace), "doc_key": F.lit(doc_key).cast("string"), **{k: F.lit(v).cast("date") for k, v in days.items()}}
+        return self._ingest(files.select("path", "filename", "content").withColumns(own))
 
     def _ingest(self, files: DataFrame) -> list[dict[str, Any]]:
+        """Results in order of path."""
         rows = Ingestor(self.store, self.embedder, self.settings).ingest(files).collect()
-        return [r.asDict() for r in sorted(rows, key=lambda r: r.filename)]
+        return [{k: v for k, v in r.asDict().items() if k != "path"} for r in sorted(rows, key=lambda r: (r.path or "", r.filename))]
 
     def search(self, request: SearchRequest) -> SearchResponse:
-        documents, chunks = self.store.read("documents"), self.store.read("chunks")
-        return Retriever(documents, chunks, self.embedder, self.reranker, self.settings).search(request)
+        return self._retriever().search(request)
+
+    def _retriever(self) -> Retriever:
+        return Retriever(self.store.read("documents"), self.store.read("chunks"), self.embedder, self.reranker, self.settings)
 
     def documents(self, limit: int = 100, offset: int = 0, include_history: bool = False) -> list[dict]:
         return [r.asDict() for r in versions.list_documents(self.store.read("documents"), limit, offset, include_history).collect()]
@@ -76,23 +98,35 @@ class KnowledgeBase:
         """Deletes one version and its chunks; False if there is none."""
         if self.document(doc_id) is None:
             return False
+        base = self.store.last
         left = versions.delete_versions(self.store.read("documents"), self.spark.createDataFrame([(doc_id,)], "id string"))
-        self.store.write(left, versions.cascade(self.store.read("chunks"), left))
+        self.store.write(left, base=base)  # chunks go with their document
         return True
 
-    def evaluate(self, cases: DataFrame, compare: bool = False, top_k: int = 3, min_score: float | None = None) -> dict[str, dict]:
-        """Metrics of all labelled questions, by configuration: vector, hybrid and hybrid with rerank if compared."""
-        modes = {"vector": (False, False), "hybrid": (True, False), "hybrid+rerank": (True, True)} if compare else {"default": (True, True)}
+    def evaluate(self, cases: DataFrame, compare: bool = False, top_k: int = 3, min_score: float | None = None, hybrid: bool = True, rerank: bool = True, delay: float = 0.0) -> dict[str, dict]:
+        """Metrics of all labelled questions, by configuration: vector, hybrid and hybrid with rerank if compared.
+
+        Questions with the same filters are searched as one batch, and configurations share its candidates; with a ``delay`` between
+        reranked searches, which remote rerankers may ask for, they are searched one by one.
+        """
+        modes = {"vector": (False, False), "hybrid": (True, False), "hybrid+rerank": (True, True)} if compare else {"default": (hybrid, rerank)}
         asked = cases.collect()
+        requests = {name: [SearchRequest(c.question, top_k=top_k, filters=json.loads(c.filters) if c.filters else None, hybrid=h, rerank=r, min_score=min_score) for c in asked] for name, (h, r) in modes.items()}
         out = {}
-        for name, (hybrid, rerank) in modes.items():
-            rows, states = [], []
-            for c in asked:
-                r = self.search(SearchRequest(c.question, top_k=top_k, filters=json.loads(c.filters) if c.filters else None, hybrid=hybrid, rerank=rerank, min_score=min_score))
-                rows += [(c.id, x["rank"], x["filename"], x["page"], x["text"]) for x in r.results]
-                states.append((c.id, r.status, r.reranked, r.took_ms))
+        retriever = self._retriever()
+        for name, (_, reranked) in modes.items():
+            if delay and reranked and self.reranker is not None:
+                found = []
+                for i, request in enumerate(requests[name]):
+                    if i:
+                        time.sleep(delay)
+                    found.append(retriever.search(request))
+            else:
+                found = retriever.search_all(requests[name])
+            rows = [(c.id, x["rank"], x["filename"], x["page"], x["text"]) for c, r in zip(asked, found, strict=True) for x in r.results]
+            states = [(c.id, r.status, r.reranked, r.took_ms) for c, r in zip(asked, found, strict=True)]
             results = self.spark.createDataFrame(rows, "id string, rank int, filename string, page int, text string")
             statuses = self.spark.createDataFrame(states, "id string, status string, reranked boolean, took_ms double")
             scored = evaluate.score_cases(cases, results, statuses)
-            out[name] = {"summary": evaluate.summarize(scored, rerank and self.reranker is not None).first().asDict(), "failures": [r.asDict() for r in evaluate.failures(scored).collect()], "cases": [r.asDict() for r in scored.collect()]}
+            out[name] = {"summary": evaluate.summarize(scored, reranked and self.reranker is not None).first().asDict(), "failures": [r.asDict() for r in evaluate.failures(scored).collect()], "cases": [r.asDict() for r in scored.collect()]}
         return out

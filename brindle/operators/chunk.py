@@ -5,6 +5,7 @@ Pieces are spans of the text from the start, so a chunk's offsets are known, nev
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,6 +27,16 @@ class Chunk:
     end: int
 
 
+@functools.cache
+def tokenizer_length(path: str) -> Length:
+    """Length in tokens of a tokenizers JSON file, read once per worker; special strings count as text."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return lambda text: len(library.encode(text, add_special_tokens=False).ids)
+
+
 def token_length(encoding) -> Length:
     """Length in tokens of a tiktoken-like encoding; special strings count as text."""
     return lambda text: len(encoding.encode(text, disallowed_special=()))
@@ -94,14 +105,18 @@ class Chunker:
             yield pieces[first][0], pieces[-1][1]
 
 
-def chunk(sections: DataFrame, size: int = 512, overlap: int = 64, id_col: str = "id", text_col: str = "text", structured_col: str | None = None) -> DataFrame:
+def chunk(sections: DataFrame, size: int = 512, overlap: int = 64, id_col: str = "id", text_col: str = "text", structured_col: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """(id, section order kept) chunks of every text: id, chunk_index, content, char_start, char_end.
 
-    ``structured_col`` names a boolean that picks the markdown separators. One Arrow pass, no shuffle.
+    ``structured_col`` names a boolean that picks the markdown separators; ``tokenizer`` the path of a tokenizers JSON file,
+    at the same place on every machine, whose tokens are the unit of ``size`` and ``overlap``; else it is characters.
+    One Arrow pass, no shuffle.
     """
-    chunkers = {flag: Chunker(size, overlap, flag) for flag in (False, True)}
+    Chunker(size, overlap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        length = tokenizer_length(tokenizer) if tokenizer else len
+        chunkers = {flag: Chunker(size, overlap, flag, length) for flag in (False, True)}
         for batch in batches:
             rows = []
             for own, text, flag in zip(batch["id"], batch["text"], batch["structured"], strict=True):

@@ -63,6 +63,31 @@ def embed(texts: Column, embedder: Embedder, batch: int = 128, retries: int = 3)
     return run(texts)
 
 
+def embed_each(texts: Column, embedder: Embedder, batch: int = 128, retries: int = 3) -> Column:
+    """Like ``embed``, as (vector, error): where a batch fails its texts are tried one by one, and only those that fail again have an error."""
+
+    def one(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embed_now([text], embedder, 1)[0], None
+        except EmbeddingError as e:
+            return None, str(e)
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            listed = chunk.fillna("").tolist()
+            out: list[tuple[list[float] | None, str | None]] = []
+            for at in range(0, len(listed), batch):
+                own = listed[at : at + batch]
+                try:
+                    out += [(v, None) for v in embed_now(own, embedder, retries)]
+                except EmbeddingError:
+                    out += map(one, own)
+            yield pd.DataFrame({"vector": pd.Series([v for v, _ in out], dtype=object), "error": pd.Series([e for _, e in out], dtype=object)})
+
+    return run(texts)
+
+
 def embed_now(texts: list[str], embedder: Embedder, retries: int = 3) -> list[list[float]]:
     for attempt in range(retries):
         try:

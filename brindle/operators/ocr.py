@@ -2,21 +2,94 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from statistics import median
-from typing import Protocol
+from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.config import Settings
+
 
 class OcrUnavailable(ValueError):
     """No OCR engine is installed."""
 
 
 class Engine(Protocol):
-    def read(self, image: bytes) -> str: ...
+    def read(self, image: Any) -> str: ...
+
+
+class RapidOcrEngine:
+    """RapidOCR; boxes below ``min_confidence`` are left out, the others laid out in lines."""
+
+    def __init__(self, min_confidence: float = 0.5):
+        try:
+            from rapidocr import RapidOCR
+        except ImportError as e:
+            raise OcrUnavailable("the OCR engine rapidocr needs the packages rapidocr and onnxruntime") from e
+        self.engine, self.min_confidence = RapidOCR(), min_confidence
+
+    def read(self, image: Any) -> str:
+        found = self.engine(np.asarray(image.convert("RGB")))
+        if found.boxes is None:
+            return ""
+        boxes = []
+        for corners, text, score in zip(np.asarray(found.boxes), found.txts, found.scores, strict=True):
+            if score >= self.min_confidence and text.strip():
+                (left, top), (_, bottom) = corners.min(0).tolist(), corners.max(0).tolist()
+                boxes.append((top, bottom, left, text))
+        return layout(boxes)
+
+
+class TesseractEngine:
+    """The Tesseract binary with the language codes ``lang``."""
+
+    def __init__(self, lang: str = "eng"):
+        try:
+            import pytesseract
+
+            pytesseract.get_tesseract_version()
+        except Exception as e:  # the package or the binary
+            raise OcrUnavailable("the OCR engine tesseract needs the package pytesseract and the binary on the path") from e
+        self.library, self.lang = pytesseract, lang
+
+    def read(self, image: Any) -> str:
+        return self.library.image_to_string(image, lang=self.lang)
+
+
+class PageOcr:
+    """Reads pages of a PDF that lack a text layer; the engine is made once per worker, when the first such page comes."""
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+
+    def needs(self, text: str) -> bool:
+        """The gate of ``needs_ocr`` for one text."""
+        if self.settings.ocr_mode in ("off", "force"):
+            return self.settings.ocr_mode == "force"
+        return sum(c.isalnum() for c in text) < self.settings.ocr_min_chars
+
+    def read(self, data: bytes, pages: list[int]) -> dict[int, str]:
+        """Texts of the given pages (from 0), one page at a time."""
+        try:
+            import pypdfium2
+        except ImportError as e:
+            raise OcrUnavailable("OCR of PDF pages needs the packages pypdfium2 and Pillow") from e
+        engine = _engine(self.settings)
+        document = pypdfium2.PdfDocument(data)
+        try:
+            return {i: engine.read(document[i].render(scale=self.settings.ocr_dpi / 72).to_pil()).strip() for i in pages}
+        finally:
+            document.close()
+
+
+@functools.cache
+def _engine(settings: Settings) -> Engine:
+    return TesseractEngine(settings.ocr_lang) if settings.ocr_engine == "tesseract" else RapidOcrEngine(settings.ocr_min_confidence)
 
 
 def needs_ocr(text: Column, mode: str = "auto", min_chars: int = 20) -> Column:

@@ -49,9 +49,11 @@ def batch_vector_topk(items: DataFrame, queries: DataFrame, k: int, id_col: str
     return _topk(scored, "vector_score", k, id_col)
 
 
-def postings(items: DataFrame, id_col: str = "id", lexeme_col: str = "lexemes") -> DataFrame:
-    """Inverted index: (id, term, uses, n_lexemes)."""
+def postings(items: DataFrame, id_col: str = "id", lexeme_col: str = "lexemes", queries: DataFrame | None = None) -> DataFrame:
+    """Inverted index: (id, term, uses, n_lexemes). With ``queries`` (terms) only of their terms, which are picked before anything is shuffled."""
     rows = items.select(id_col, F.size(lexeme_col).alias("n_lexemes"), F.explode(lexeme_col).alias("term"))
+    if queries is not None:
+        rows = rows.join(queries.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
     return rows.groupBy(id_col, "n_lexemes", "term").agg(F.count("*").alias("uses"))
 
 
@@ -102,7 +104,7 @@ def hybrid(items: DataFrame, queries: DataFrame, candidate_k: int, top_k: int, i
     """Fused candidates of every query (query_id, query_vector, terms), all with their vector score."""
     k = max(candidate_k, top_k)
     by_vector = batch_vector_topk(items, queries, k, id_col, vector_col)
-    by_word = batch_keyword_topk(postings(items, id_col, lexeme_col), queries, k, id_col)
+    by_word = batch_keyword_topk(postings(items, id_col, lexeme_col, queries), queries, k, id_col)
     fused = fuse(by_vector, by_word, id_col)
     own = items.select(id_col, F.col(vector_col).alias("_v"))
     score = F.coalesce("vector_score", vectors.cosine(F.col("_v"), F.col("query_vector")))

@@ -9,8 +9,8 @@ from brindle.model import DOCUMENT_INFO
 
 
 def doc_key(given: Column, filename: Column) -> Column:
-    """The given key or else the file's name, trimmed."""
-    return F.trim(F.coalesce(F.nullif(given, F.lit("")), filename))
+    """The given key or else the file's name, without white space around it."""
+    return F.regexp_replace(F.coalesce(F.nullif(given, F.lit("")), filename), r"(?U)^\s+|\s+$", "")
 
 
 def upload_errors(uploads: DataFrame, max_bytes: int) -> Column:
@@ -28,15 +28,30 @@ def mark_duplicates(uploads: DataFrame, stored: DataFrame | None = None) -> Data
     The check is global: keys and superseded versions make no difference. An upload with ``replace`` is no duplicate of a
     document of its own key. Needs id, seq, doc_key, content_hash, replace.
     """
-    same = Window.partitionBy("content_hash").orderBy("seq")
-    first = F.first("id").over(same)
-    marked = uploads.withColumn("_first", F.when(F.row_number().over(same) > 1, first))
+    return batch_duplicates(stored_duplicates(uploads, stored))
+
+
+def _again(known: str) -> Column:
+    """Whether an upload replaces the document ``known`` of its own key."""
+    return F.coalesce("replace", F.lit(False)) & (F.col(f"{known}.doc_key") == F.col("doc_key"))
+
+
+def stored_duplicates(uploads: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Adds duplicate_of as far as documents are stored."""
     if stored is None:
-        return marked.withColumnRenamed("_first", "duplicate_of")
+        return uploads.withColumn("duplicate_of", F.lit(None).cast("string"))
     known = stored.groupBy("content_hash").agg(F.min_by(F.struct("id", "doc_key"), "created_at").alias("_known"))
-    joined = marked.join(known, "content_hash", "left")
-    again = F.coalesce("replace", F.lit(False)) & (F.col("_known.doc_key") == F.col("doc_key"))
-    return joined.withColumn("duplicate_of", F.coalesce(F.when(~again, F.col("_known.id")), F.col("_first"))).drop("_first", "_known")
+    joined = uploads.join(known, "content_hash", "left")
+    return joined.withColumn("duplicate_of", F.when(~_again("_known"), F.col("_known.id"))).drop("_known")
+
+
+def batch_duplicates(uploads: DataFrame, readable: Column | None = None) -> DataFrame:
+    """Sets duplicate_of of uploads after the first ``readable`` one with their bytes, if that is no duplicate itself."""
+    candidate = F.col("duplicate_of").isNull() & (F.lit(True) if readable is None else readable)
+    first = uploads.filter(candidate).groupBy("content_hash").agg(F.min_by(F.struct("id", "doc_key", "seq"), "seq").alias("_first"))
+    joined = uploads.join(first, "content_hash", "left")
+    later = (F.col("seq") > F.col("_first.seq")) & ~_again("_first")
+    return joined.withColumn("duplicate_of", F.coalesce("duplicate_of", F.when(later, F.col("_first.id")))).drop("_first")
 
 
 def assign_versions(uploads: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -1,24 +1,39 @@
-"""A versioned store on plain Parquet: whole snapshots below ``v=N`` and a pointer that is renamed into place.
+"""A versioned store on plain Parquet: numbered commits, whole document tables, and chunks that are appended.
 
-One writer at a time. A reader keeps the snapshot it opened; both tables of a snapshot belong together.
+A commit is a small file ``commits/N`` that names the folder of its documents and the folders of its chunks. It appears by a rename
+that fails if another writer was first, and the highest one holds; so a crash at any point leaves the last commit, and nothing that
+is written is ever written over. A reader keeps the commit it opened. Chunks of deleted documents stay in their folders until
+a commit has ``MOST`` of them and writes what is left anew; folders that none of the last ``KEPT`` commits names are deleted then.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.model import CHUNKS, DOCUMENTS
 from brindle.operators.versions import keep_newest_current
+from brindle.plans.recovery import delete
 
 #: The schema version that the code works with.
 HEAD = 2
 
 
+#: Chunk folders of a commit at most, and commits that readers can still be reading.
+MOST, KEPT = 16, 8
+
+
 class SchemaError(RuntimeError):
     """The store is of another schema version, or embeddings of another size."""
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer was first; what this one read is out of date."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -28,45 +43,84 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer(self) -> tuple[int, int] | None:
-        """(snapshot, schema version); None before the first write."""
-        fs, p = self._fs(f"{self.path}/_current")
-        if not fs.exists(p):
-            return None
-        n, schema = self.spark.read.text(f"{self.path}/_current").first()[0].split()
-        return int(n), int(schema)
-
-    def _point(self, n: int, schema: int) -> None:
-        fresh = f"{self.path}/_current-{n}"
-        self.spark.createDataFrame([(f"{n} {schema}",)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
-        fs, current = self._fs(f"{self.path}/_current")
-        _, old = self._fs(f"{self.path}/_current-old")
-        if fs.exists(current):
-            fs.delete(old, True)
-            fs.rename(current, old)
-        fs.rename(self._fs(fresh)[1], current)
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    @property
+    def last(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        return max((int(x) for x in self._names("commits") if x.isdigit()), default=0)
+
+    def _commit(self, n: int) -> dict:
+        fs, p = self._fs(f"{self.path}/commits/{n}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, n: int, commit: dict) -> None:
+        """Writes commit ``n`` beside its place and moves it there; fails if another writer's is there."""
+        fs, fresh = self._fs(f"{self.path}/commits/_{uuid.uuid4().hex}")
+        stream = fs.create(fresh)
+        stream.write(bytearray(json.dumps(commit).encode()))
+        stream.close()
+        place = self._fs(f"{self.path}/commits/{n}")[1]
+        if fs.exists(place) or not fs.rename(fresh, place):
+            fs.delete(fresh, False)
+            raise ConcurrentWrite(f"another writer has made commit {n} of {self.path}")
 
     @property
     def revision(self) -> int | None:
-        found = self._pointer()
-        return found[1] if found else None
+        n = self.last
+        return self._commit(n)["schema"] if n else None
 
     def read(self, name: str) -> DataFrame:
-        found = self._pointer()
+        n = self.last
         schema = {"documents": DOCUMENTS, "chunks": CHUNKS}[name]
-        if not found:
+        if not n:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v={found[0]}/{name}")
-
-    def write(self, documents: DataFrame, chunks: DataFrame, schema: int = HEAD) -> int:
-        """A new snapshot of both tables; readers see it when the pointer moves."""
-        found = self._pointer()
-        n = found[0] + 1 if found else 1
-        documents.write.mode("overwrite").parquet(f"{self.path}/v={n}/documents")
-        chunks.write.mode("overwrite").parquet(f"{self.path}/v={n}/chunks")
-        self._point(n, schema)
+        commit = self._commit(n)
+        documents = self.spark.read.parquet(f"{self.path}/{commit['documents']}")
+        if name == "documents":
+            return documents
+        if not commit["chunks"]:
+            return self.spark.createDataFrame([], schema)
+        chunks = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in commit["chunks"]])
+        return chunks.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*chunks.columns)
+
+    def write(self, documents: DataFrame, chunks: DataFrame | None = None, added: DataFrame | None = None, schema: int = HEAD, base: int | None = None) -> int:
+        """A commit of ``documents`` with ``chunks``, all of them, or with ``added``, those beside the stored ones.
+
+        Chunks whose document is not among ``documents`` are not read again. ``base`` is the commit that the data were made from (None: the
+        last); if another came after it, ``ConcurrentWrite`` is raised and nothing changes.
+        """
+        n = (self.last if base is None else base) + 1
+        folders = list(self._commit(n - 1)["chunks"]) if n > 1 and chunks is None else []
+        own = uuid.uuid4().hex
+        documents.write.parquet(f"{self.path}/documents/{own}")
+        if chunks is not None or added is not None:
+            (chunks if chunks is not None else added).write.parquet(f"{self.path}/chunks/{own}")
+            folders.append(f"chunks/{own}")
+        self._publish(n, {"schema": schema, "documents": f"documents/{own}", "chunks": folders})
+        if len(folders) > MOST:
+            left = self.read("chunks")
+            left.write.parquet(f"{self.path}/chunks/{own}-all")
+            n += 1
+            self._publish(n, {"schema": schema, "documents": f"documents/{own}", "chunks": [f"chunks/{own}-all"]})
+            self._vacuum(n)
         return n
 
+    def _vacuum(self, n: int) -> None:
+        """Deletes the folders of commits older than the last ``KEPT``; those of a writer that has yet to publish are younger than any commit."""
+        old = [k for k in sorted(int(x) for x in self._names("commits") if x.isdigit()) if k <= n - KEPT]
+        named = lambda ks: {x for k in ks for c in [self._commit(k)] for x in (c["documents"], *c["chunks"])}
+        for folder in named(old) - named(range(n - KEPT + 1, n + 1)):
+            delete(self.spark, f"{self.path}/{folder}")
+        for k in old:
+            delete(self.spark, f"{self.path}/commits/{k}")
+
     def check(self, dim: int) -> None:
         """The schema version is ours and stored embeddings have ``dim`` components."""
         if self.revision not in (None, HEAD):
@@ -85,7 +139,7 @@ class Store:
             documents = upgrade_documents(documents)
         elif now == 2 and to == 1:
             documents = documents.drop("doc_key", "version", "is_current", "superseded_at", "valid_from", "valid_until", "review_by")
-        self.write(documents, chunks, to)
+        self.write(documents, chunks, schema=to)
         return to
 
 

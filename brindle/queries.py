@@ -10,13 +10,16 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.config import Settings
 from brindle.functions import citations, text
 from brindle.functions.filters import compile_filter
 from brindle.operators import chunk, embed, evaluate, ingest, ocr, rerank, search, versions
-from brindle.plans.recovery import checkpoint
+from brindle.plans.recovery import checkpoint, delete, shared_path
+from brindle.plans.store import Store
 from brindle.plans.tables import table
 from brindle.sources import loaders
 
@@ -166,14 +169,14 @@ _STATED_WORDS = _WORDS.format(where="WHERE item_id % 100 = 0")
 
 @query("keyword_matches", f"WITH {_WORDS.format(where='')} SELECT query_id, count(*) AS n_matches FROM hits GROUP BY query_id")
 def keyword_matches(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.keyword_matches(search.postings(_lexeme_docs(spark, sf)), _questions(spark, sf))
+    found = search.keyword_matches(search.postings(_lexeme_docs(spark, sf), queries=_questions(spark, sf)), _questions(spark, sf))
     return found.groupBy("query_id").agg(F.count("*").alias("n_matches"))
 
 
 @query("keyword_topk", f"""WITH {_STATED_WORDS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM hits)
 SELECT query_id, id, round(score, 6) AS keyword_score, rank FROM r WHERE rank <= 10""")
 def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.keyword_matches(search.postings(_lexeme_docs(spark, sf)), _stated(spark, sf)).withColumn("keyword_score", F.round("keyword_score", 9))
+    found = search.keyword_matches(search.postings(_lexeme_docs(spark, sf), queries=_stated(spark, sf)), _stated(spark, sf)).withColumn("keyword_score", F.round("keyword_score", 9))
     return search._topk(found, "keyword_score", 10, "id").select("query_id", "id", F.round("keyword_score", 6).alias("keyword_score"), "rank")
 
 
@@ -187,7 +190,7 @@ def _hybrid_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     items, queries = _hybrid_items(spark, sf)
-    words = search.keyword_matches(search.postings(items), queries).withColumn("keyword_score", F.round("keyword_score", 9))
+    words = search.keyword_matches(search.postings(items, queries=queries), queries).withColumn("keyword_score", F.round("keyword_score", 9))
     return search.batch_vector_topk(items, queries, 40), search._topk(words, "keyword_score", 40, "id")
 
 
@@ -236,24 +239,31 @@ def no_relevant_context(spark: SparkSession, sf: str) -> DataFrame:
     return search.statuses(queries, search.cut(_hybrid(spark, sf), 3, 0.9))
 
 
-def _cited(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked documents of every source, the longest first, with file name, page and title."""
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as results, ranks 1 to 9, with file name, page and title."""
     docs = metadata_rows(spark, sf)
-    order = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
     page = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 7).cast("int"))
     title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"title": "'), "lang", F.lit(' report"}'))).when(F.col("doc_id") % 5 == 0, '{"title": ""}').otherwise("{}")
-    return docs.select(F.col("source").alias("query_id"), "doc_id", F.row_number().over(order).alias("rank"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), page.alias("page"), title.alias("metadata"), "text").filter("rank <= 3")
+    return docs.select(F.col("source").alias("query_id"), "doc_id", "n_chars", (F.col("doc_id") % 9 + 1).cast("int").alias("rank"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), page.alias("page"), title.alias("metadata"), "text")
+
+
+def _cited(spark: SparkSession, sf: str) -> DataFrame:
+    """The three longest documents of every source: the top-k that a context is made of."""
+    order = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id")
+    return _results(spark, sf).withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
 
 
-_CITED = """WITH c AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, doc_id || '.txt' AS filename,
-  CASE WHEN doc_id % 3 <> 0 THEN doc_id % 7 END AS page, CASE WHEN doc_id % 2 = 0 THEN lang || ' report' END AS title, text FROM documents),
+_FOUND = """WITH f AS (SELECT source AS query_id, doc_id, n_chars, doc_id % 9 + 1 AS rank, doc_id || '.txt' AS filename,
+  CASE WHEN doc_id % 3 <> 0 THEN doc_id % 7 END AS page, CASE WHEN doc_id % 2 = 0 THEN lang || ' report' END AS title, text FROM documents)
+"""
+_CITED = _FOUND + """, c AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS rank) FROM f),
 k AS (SELECT *, '[' || rank || ']' AS label, coalesce(title, filename) || coalesce(', p. ' || page, '') AS locator FROM c WHERE rank <= 3)
 """
 
 
-@query("citations", _CITED + "SELECT doc_id, label, locator FROM k")
+@query("citations", _FOUND + "SELECT doc_id, '[' || rank || ']' AS label, coalesce(title, filename) || coalesce(', p. ' || page, '') AS locator FROM f")
 def cite(spark: SparkSession, sf: str) -> DataFrame:
-    return search.with_citations(_cited(spark, sf)).select("doc_id", "label", "locator")
+    return search.with_citations(_results(spark, sf)).select("doc_id", "label", "locator")
 
 
 def _contexts(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,9 +288,9 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(blocks, "query_id", "left").select("query_id", citations.user_message(F.col("context"), question).alias("message"))
 
 
-@query("judge_contexts", _CITED + "SELECT doc_id, 'Source: ' || filename || CASE WHEN coalesce(page, 0) <> 0 THEN ', p. ' || page ELSE '' END || chr(10) || text AS context, label || ' ' || filename || CASE WHEN coalesce(page, 0) <> 0 THEN ', p. ' || page ELSE '' END AS returned FROM k")
+@query("judge_contexts", _FOUND + "SELECT doc_id, 'Source: ' || filename || CASE WHEN coalesce(page, 0) <> 0 THEN ', p. ' || page ELSE '' END || chr(10) || text AS context, '[' || rank || '] ' || filename || CASE WHEN coalesce(page, 0) <> 0 THEN ', p. ' || page ELSE '' END AS returned FROM f")
 def judge_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    return _cited(spark, sf).select("doc_id", citations.judge_context(F.col("filename"), F.col("page"), F.col("text")).alias("context"), citations.returned(F.col("rank"), F.col("filename"), F.col("page")).alias("returned"))
+    return _results(spark, sf).select("doc_id", citations.judge_context(F.col("filename"), F.col("page"), F.col("text")).alias("context"), citations.returned(F.col("rank"), F.col("filename"), F.col("page")).alias("returned"))
 
 
 @query("result_snippets", "SELECT doc_id, CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '...' ELSE t END AS snippet FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)")
@@ -375,9 +385,9 @@ def ocr_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_lines", "SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || ' | n_name: ' || n_name || ' | n_regionkey: ' || n_regionkey AS line FROM nation")
 def csv_lines(spark: SparkSession, sf: str) -> DataFrame:
-    @F.udf("string")
-    def line(header: str, row: str) -> str:
-        return loaders.load_csv(f"{header}\n{row}".encode()).sections[0].text
+    @F.pandas_udf("string")
+    def line(headers: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([loaders.load_csv(f"{h}\n{r}".encode()).sections[0].text for h, r in zip(headers, rows, strict=True)], dtype=object)
 
     nation = table(spark, sf, "nation")
     return nation.select("n_nationkey", line(F.lit(",".join(nation.columns)), F.to_csv(F.struct(*nation.columns))).alias("line"))
@@ -503,7 +513,24 @@ def rerank_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _reranked(spark, sf, _Failing()).select("query_id", "id", F.col("fused_rank").alias("rank"), "reranked")
 
 
-# ---- parsing, chunking, embedding: no SQL equivalent
+# ---- ingestion of a batch, parsing, chunking, embedding
+
+
+@query("ingest_batch", """
+WITH up AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, source || '.txt' AS filename, coalesce(text, '') AS text FROM documents),
+r AS (SELECT *, regexp_matches(text, '\\S') AS readable, min(CASE WHEN regexp_matches(text, '\\S') THEN path END) OVER (PARTITION BY sha256(text)) AS first_path FROM up),
+s AS (SELECT *, CASE WHEN first_path < path THEN 'duplicate' WHEN readable THEN 'ingested' ELSE 'error' END AS status FROM r)
+SELECT path, filename, status, CASE WHEN status = 'ingested' THEN filename END AS doc_key, CASE WHEN status = 'ingested' THEN CAST(row_number() OVER (PARTITION BY filename, status ORDER BY path) AS INTEGER) END AS version,
+  CASE WHEN status = 'error' THEN 'no extractable text' END AS error FROM s""")
+def ingest_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as one batch of files, each named after its source: names and bytes come again, and each file is judged by itself."""
+    files = table(spark, sf, "documents").select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.concat("source", F.lit(".txt")).alias("filename"), F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    )
+    folder = shared_path(spark, "ingest")
+    result = checkpoint(ingest.Ingestor(Store(spark, folder), settings=Settings(analyser="simple")).ingest(files))
+    delete(spark, folder)
+    return result.select("path", "filename", "status", "doc_key", "version", "error")
 
 
 @query("html_to_text")
@@ -514,7 +541,7 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return sections(pages).select("filename", "text", "metadata", "error")
 
 
-@query("json_pretty")
+@query("json_pretty", """SELECT event_id || '.json' AS filename, '{' || chr(10) || '  "k": ' || (props->>'k') || chr(10) || '}' AS text, CAST(NULL AS VARCHAR) AS error FROM events""")
 def json_pretty(spark: SparkSession, sf: str) -> DataFrame:
     from brindle.sources.files import sections
 
@@ -527,13 +554,25 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.chunk(table(spark, sf, "documents"), 512, 64, "doc_id")
 
 
-@query("chunk_offsets", "SELECT doc_id FROM documents WHERE false")
+@query("chunk_offsets", """
+WITH t AS (SELECT doc_id, CAST(n_chars % 997 AS INTEGER) AS n FROM documents),
+c AS (SELECT doc_id, n, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 64 THEN 1 ELSE CAST(ceil((n - 64) / 48.0) AS INTEGER) + 1 END)) AS i FROM t)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(48 * i AS INTEGER) AS char_start, CAST(least(48 * i + 64, n) AS INTEGER) AS char_end, repeat('x', least(64, n - 48 * i)::INTEGER) AS content FROM c""")
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a chunk that is not the text at its offsets, or too long: none."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    pieces = chunk.chunk(docs, 300, 40, "doc_id").join(docs.withColumnRenamed("doc_id", "id"), "id")
-    own = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return pieces.filter((own != F.col("content")) | (F.length("content") > 300)).select(F.col("id").alias("doc_id")).distinct()
+    """Texts without a separator, one letter repeated: windows of 64 that begin every 48."""
+    texts = table(spark, sf, "documents").select("doc_id", F.repeat(F.lit("x"), (F.col("n_chars") % 997).cast("int")).alias("text"))
+    return chunk.chunk(texts, 64, 16, "doc_id").withColumnRenamed("id", "doc_id")
+
+
+@query("chunk_paragraphs", """
+WITH t AS (SELECT doc_id, CAST(n_chars % 13 AS INTEGER) AS n FROM documents), c AS (SELECT doc_id, n, unnest(range((n + 2) // 3)) AS i FROM t),
+p AS (SELECT doc_id, i, list_transform(range(3 * i, least(3 * i + 3, n)), lambda k: 'paragraph ' || chr(97 + CAST(k AS INTEGER)) || repeat('!', 9)) AS own FROM c)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(66 * i AS INTEGER) AS char_start, CAST(66 * i + 22 * len(own) - 2 AS INTEGER) AS char_end, array_to_string(own, chr(10) || chr(10)) AS content FROM p""")
+def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of 20 characters, of which three fit a chunk of 64 with the blank lines between them."""
+    letters = F.transform(F.sequence(F.lit(0), (F.col("n_chars") % 13).cast("int") - 1), lambda k: F.concat(F.lit("paragraph "), F.char(k + 97), F.lit("!" * 9)))
+    body = F.when(F.col("n_chars") % 13 > 0, F.array_join(letters, "\n\n")).otherwise("")
+    return chunk.chunk(table(spark, sf, "documents").select("doc_id", body.alias("text")), 64, 0, "doc_id").withColumnRenamed("id", "doc_id")
 
 
 @query("chunk_markdown")
@@ -542,9 +581,16 @@ def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.chunk(parsed, 400, 40, "filename", "text", "structured")
 
 
-@query("hash_embedding")
+@query("hash_embedding", """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
+b AS (SELECT doc_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) % 64 AS bucket, count(*) AS n FROM w GROUP BY ALL),
+m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm, map_from_entries(list((bucket, n))) AS uses FROM b GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_transform(range(64), lambda k: CAST(round(10000 * coalesce(uses[k], 0) / norm) AS INTEGER)), ' ') AS embedding FROM documents JOIN m USING (doc_id)""")
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", embed.embed(F.col("text"), embed.HashingEmbedder(64)).alias("embedding"))
+    """Texts with words, their vectors in ten-thousandths."""
+    made = table(spark, sf, "documents").select("doc_id", embed.embed(F.col("text"), embed.HashingEmbedder(64)).alias("v"))
+    whole = F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("int"))
+    return made.filter(F.exists("v", lambda x: x > 0)).select("doc_id", F.array_join(whole, " ").alias("embedding"))
 
 
 @query("english_lexemes")
@@ -552,12 +598,18 @@ def english_lexemes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.lexemes(F.col("text"), "english").alias("lexemes"))
 
 
-@query("metadata_merge")
+@query("metadata_merge", """
+WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, '{' || coalesce('"lang": "' || lang || '", ', '') || '"source": "user", ' || coalesce('"n_chars": ' || n_chars || ', ', '') || coalesce('"quality": ' || quality || ', ', '') || coalesce('"toxic": ' || toxic || ', ', '')
+  || '"tags": [' || coalesce('"' || lang || '"', 'null') || ', ' || coalesce('"' || source || '"', 'null') || '], "stats": {' || coalesce('"n_chars": ' || n_chars, '') || coalesce(CASE WHEN n_chars IS NULL THEN '' ELSE ', ' END || '"lang": "' || lang || '"', '') || '}, "extra": 1}' AS metadata FROM d""")
 def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
     return metadata_rows(spark, sf).select("doc_id", ingest.merged_metadata(F.col("metadata"), F.to_json(F.struct(F.lit("user").alias("source"), F.lit(1).alias("extra")))).alias("metadata"))
 
 
-@query("ocr_layout")
+@query("ocr_layout", """
+WITH l AS (SELECT l_orderkey, l_linenumber AS n, string_agg(l_returnflag || l_partkey, ' ' ORDER BY l_quantity, l_returnflag || l_partkey) AS words FROM lineitem GROUP BY ALL),
+g AS (SELECT *, n - lag(n) OVER (PARTITION BY l_orderkey ORDER BY n) AS gap FROM l)
+SELECT l_orderkey AS page, string_agg(CASE WHEN gap > 1 THEN chr(10) ELSE '' END || words, chr(10) ORDER BY n) AS text FROM g GROUP BY l_orderkey""")
 def ocr_layout(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     top = (F.col("l_linenumber") * 12).cast("double")

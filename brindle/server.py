@@ -28,7 +28,7 @@ def handle(kb: KnowledgeBase, method: str, url: str, body: Any = None) -> tuple[
             return 200, asdict(kb.search(SearchRequest(**body)))
         if (method, path) == ("POST", ["documents"]):
             days = ("valid_from", "valid_until", "review_by")
-            return 200, [kb.upload(**{k: base64.b64decode(v) if k == "content" else date.fromisoformat(v) if k in days and v else v for k, v in f.items()}) for f in body]
+            return 200, kb.upload_all([{k: base64.b64decode(v) if k == "content" else date.fromisoformat(v) if k in days and v else v for k, v in f.items()} for f in body])
         if (method, path) == ("GET", ["documents"]):
             limit, offset = int(given.get("limit", 100)), int(given.get("offset", 0))
             if not 1 <= limit <= 1000 or offset < 0:

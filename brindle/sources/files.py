@@ -11,40 +11,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.sources.loaders import LOADERS, load
+from brindle.sources.loaders import LOADERS, PageReader, load
 
 SUPPORTED = "(?i)(" + "|".join(re.escape(x) for x in sorted(LOADERS)) + ")$"
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, filename, size_bytes, content) of the supported files below a folder, in order of path; other files are left out."""
+    """(path, filename, size_bytes, content) of the supported files below a folder; other files are left out.
+
+    Rows have no order of their own; ``path`` tells files of one name apart, and ingestion numbers versions by it.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     named = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), "content")
     return named.filter(F.col("filename").rlike(SUPPORTED))
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """Sections of files (filename, content): filename, file_type, structured, section, text, page, ocr, metadata (JSON), error.
+def sections(files: DataFrame, key: str = "filename", ocr: PageReader | None = None) -> DataFrame:
+    """Sections of files (``key``, filename, content): file (the key), filename, file_type, structured, section, text, page, ocr, metadata (JSON), error.
 
-    A file that cannot be read is one row with its error; the others are not disturbed.
+    A file that cannot be read is one row with its error; the others are not disturbed. ``ocr`` reads pages without a text layer.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["filename", "file_type", "structured", "section", "text", "page", "ocr", "metadata", "error"]
+        columns = ["file", "filename", "file_type", "structured", "section", "text", "page", "ocr", "metadata", "error"]
         for batch in batches:
             rows = []
-            for name, data in zip(batch["filename"], batch["content"], strict=True):
+            for file, name, data in zip(batch["file"], batch["filename"], batch["content"], strict=True):
                 try:
-                    got = load(name, bytes(data))
+                    got = load(name, bytes(data), ocr)
                 except Exception as e:  # parsers fail in many ways; each is that file's error
-                    rows.append((name, None, None, 0, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    rows.append((file, name, None, None, 0, None, None, None, None, f"{type(e).__name__}: {e}"))
                     continue
-                rows += [(name, got.file_type, got.structured, i, s.text, s.page, s.ocr, json.dumps(got.metadata, ensure_ascii=False), None) for i, s in enumerate(got.sections)]
+                rows += [(file, name, got.file_type, got.structured, i, s.text, s.page, s.ocr, json.dumps(got.metadata, ensure_ascii=False), None) for i, s in enumerate(got.sections)]
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"page": "Int32", "structured": "boolean", "ocr": "boolean"})
 
-    schema = "filename string, file_type string, structured boolean, section int, text string, page int, ocr boolean, metadata string, error string"
-    return files.select("filename", "content").mapInPandas(run, schema)
+    schema = "file string, filename string, file_type string, structured boolean, section int, text string, page int, ocr boolean, metadata string, error string"
+    return files.select(F.col(key).cast("string").alias("file"), "filename", "content").mapInPandas(run, schema)
 
 
 CASES = "id string, question string, expected array<struct<filename:string,page:int,contains:string>>, filters string, reference string, seq int"

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
-from typing import Any
+from typing import Any, Protocol
 
 
 class UnsupportedFileType(ValueError):
@@ -107,7 +107,7 @@ class _Html(html.parser.HTMLParser):
     def handle_data(self, data):
         if self.open and self.open[-1] == "title" and self.title is not None and not self.title:
             self.title.append(data)
-        if self._dropped() or "title" in self.open:
+        if self._dropped():
             return
         if self.heading is not None:
             if data.strip():
@@ -142,6 +142,25 @@ def _docx_styles(archive: zipfile.ZipFile) -> dict[str, str]:
     return {s.get(f"{_W}styleId", ""): name.get(f"{_W}val", "") for s in root.iter(f"{_W}style") if (name := s.find(f"{_W}name")) is not None}
 
 
+def _docx_rows(table: ET.Element) -> list[list[str]]:
+    """Texts of a table's grid: a cell over several columns or rows stands at each of its places."""
+    above: list[str] = []
+    out = []
+    for row in table.iterfind(f"{_W}tr"):
+        skipped = row.find(f"{_W}trPr/{_W}gridBefore")
+        texts = [""] * int(skipped.get(f"{_W}val", "0")) if skipped is not None else []
+        first = len(texts)
+        for cell in row.iterfind(f"{_W}tc"):
+            span, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+            text = "\n".join(_docx_text(p) for p in cell.iter(f"{_W}p")).strip()
+            if merge is not None and merge.get(f"{_W}val", "continue") == "continue" and len(texts) < len(above):
+                text = above[len(texts)]
+            texts += [text] * (int(span.get(f"{_W}val", "1")) if span is not None else 1)
+        above = texts
+        out.append(texts[first:])
+    return out
+
+
 def load_docx(data: bytes) -> Loaded:
     """Paragraphs and tables in order; headings as markdown, table rows as cells parted by bars."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -151,10 +170,7 @@ def load_docx(data: bytes) -> Loaded:
     lines: list[str] = []
     for block in body if body is not None else []:
         if block.tag == f"{_W}tbl":
-            for row in block.iter(f"{_W}tr"):
-                cells = ["\n".join(_docx_text(p) for p in cell.iter(f"{_W}p")).strip() for cell in row.iter(f"{_W}tc")]
-                if any(cells):
-                    lines.append(" | ".join(cells))
+            lines += [" | ".join(cells) for cells in _docx_rows(block) if any(cells)]
             lines.append("")
         elif block.tag == f"{_W}p" and (text := _docx_text(block).strip()):
             style = block.find(f"{_W}pPr/{_W}pStyle")
@@ -169,8 +185,16 @@ def load_docx(data: bytes) -> Loaded:
     return Loaded("docx", [Section("\n".join(lines))], {"title": title} if title else {}, structured=True)
 
 
-def load_pdf(data: bytes, ocr=None) -> Loaded:
-    """A section per page, from 1; pages that ``ocr`` (needs(text), read(data, pages)) asks for are read by it."""
+class PageReader(Protocol):
+    """Reads pages that have no text layer; ``pages`` count from 0."""
+
+    def needs(self, text: str) -> bool: ...
+
+    def read(self, data: bytes, pages: list[int]) -> dict[int, str]: ...
+
+
+def load_pdf(data: bytes, ocr: PageReader | None = None) -> Loaded:
+    """A section per page, from 1; pages that ``ocr`` asks for are read by it."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
@@ -187,9 +211,9 @@ def load_pdf(data: bytes, ocr=None) -> Loaded:
 LOADERS: dict[str, Callable[[bytes], Loaded]] = {".pdf": load_pdf, ".docx": load_docx, ".html": load_html, ".htm": load_html, ".md": load_markdown, ".markdown": load_markdown, ".txt": load_text, ".csv": load_csv, ".json": load_json}
 
 
-def load(filename: str, data: bytes) -> Loaded:
-    """The loader of the extension, in any case."""
+def load(filename: str, data: bytes, ocr: PageReader | None = None) -> Loaded:
+    """The loader of the extension, in any case; ``ocr`` is for page images."""
     extension = PurePosixPath(filename).suffix.lower()
     if extension not in LOADERS:
         raise UnsupportedFileType(f"unsupported file type {extension or filename!r}; supported: {', '.join(sorted(LOADERS))}")
-    return LOADERS[extension](data)
+    return load_pdf(data, ocr) if extension == ".pdf" else LOADERS[extension](data)

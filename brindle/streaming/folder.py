@@ -14,7 +14,7 @@ def watch(spark: SparkSession, folder: str, ingestor: Ingestor, checkpoint_dir:
     repeated after a failure changes nothing."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content").filter(F.col("filename").rlike(SUPPORTED))
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").filter(F.col("filename").rlike(SUPPORTED))
 
     def take(batch: DataFrame, _: int) -> None:
         ingestor.ingest(batch).count()
