@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +15,39 @@ from brindle.plans.recovery import checkpoint, drop
 SLOTS = 1 << 20
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
+    """The least member of the component of each of ``n`` nodes, by links between ``a`` and ``b``; ``parent`` holds what is known before."""
+    parent = np.arange(n) if parent is None else parent
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a batch with the least one that it reaches by the batch's links."""
+    for batch in batches:
+        ends = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        nodes, place = np.unique(ends, return_inverse=True)
+        a, b = np.split(place, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots(len(nodes), a, b)])], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of ``links`` (a, b): the smallest node reachable.
 
-    Labels start as the least neighbour. Each round takes the least label around every node and then the label's
+    Links of a batch are contracted to stars before anything is shuffled. Labels start as the least neighbour. Each round takes the least label around every node and then the label's
     own label, so chains halve. Labels are checkpointed each round; nothing but whether any changed
     reaches the driver. Joins are by node or label, whose hot values AQE can split, and sums precede shuffles.
     """
-    both = checkpoint(links.select("a", "b").union(links.select("b", "a")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    stars = checkpoint(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a IS NOT NULL AND b IS NOT NULL").mapInArrow(_stars, "a long, b long"))
+    both = checkpoint(stars.union(stars.select("b", "a")).distinct())
+    drop(stars)
     held = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("next")).withColumn("label", F.col("node")))
     while not held.filter(F.col("label") != F.col("next")).isEmpty():
         labels = held.select("node", F.col("next").alias("label"))

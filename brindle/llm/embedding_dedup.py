@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.components import components
+from brindle.llm.components import components, roots
 from brindle.plans.recovery import checkpoint
 
 #: Bounds of the fit: vectors sampled, cells at most, rounds of k-means.
@@ -43,19 +43,6 @@ def fit_cells(sample: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return centres
 
 
-def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Joins the trees of ``a`` and ``b`` pair by pair; roots are least members and every node points to its root."""
-    while True:
-        x, y = parent[a], parent[b]
-        apart = x != y
-        if not apart.any():
-            return parent
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-
-
 def block_links(left: np.ndarray, right: np.ndarray | None, left_weight: np.ndarray, right_weight: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights linked to every row of ``left`` and then of ``right`` (None: ``left`` with itself), and the root of each in the block's own components."""
     own = right is None
@@ -73,7 +60,7 @@ def block_links(left: np.ndarray, right: np.ndarray | None, left_weight: np.ndar
         counts[:n] += np.bincount(a, weights=right_weight[b], minlength=n).astype(np.int64)
         if not own:
             counts[n:] += np.bincount(b, weights=left_weight[a], minlength=m).astype(np.int64)
-        parent = _merge(parent, a, b + (0 if own else n))
+        parent = roots(n + m, a, b + (0 if own else n), parent)
     return counts, parent
 
 

@@ -13,6 +13,11 @@ import pyarrow as pa
 def trim() -> None:
     """Returns free memory of Python, Arrow and the C library to the system."""
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """Returns free memory of Arrow and the C library to the system; cheap enough for every batch."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -21,7 +26,7 @@ def trim() -> None:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task function that drops the encoders' caches of earlier tasks and trims memory when it ends."""
+    """A task function that drops the encoders' caches of earlier tasks, and trims memory after each of its batches and when it ends."""
 
     @functools.wraps(run)
     def task(batches: Iterator) -> Iterator:
@@ -31,7 +36,14 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             bpe.encoder.cache_clear()
             bpe.merge_counter.cache_clear()
             trim()
-        yield from run(batches)
+        yield from run(_released(batches))
         trim()
 
     return task
+
+
+def _released(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield batch
+        del batch
+        release()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
+from brindle.llm.memory import release
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Windows kept open in a partition.
@@ -118,6 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, sl
                 if rows := packer.take():
                     count += len(rows)
                     yield _batch(rows, [(~(count + k), None) for k in range(len(rows))])
+            release()
         rest = packer.merge()
         if rows := packer.take():
             yield _batch(rows, [(~(count + k), None) for k in range(len(rows))])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bpe
 from brindle.llm.bpe import mixed
-from brindle.llm.memory import tidy
+from brindle.llm.memory import release, tidy
 from brindle.plans.recovery import checkpoint, drop
 
 LENGTH = 50
@@ -236,6 +236,7 @@ def _send(n_parts: int, length: int):
                     if a < b:
                         rows.append((p, number, packed(np.diff(low[a:b], prepend=np.uint32(0)), np.packbits(block.several[a:b]))))
                 yield _rows(rows, _MESSAGES)
+                release()
 
     return run
 
@@ -279,6 +280,7 @@ def _snip(n_parts: int, length: int):
                     good[a:b] = np.unpackbits(np.frombuffer(reply["message"], np.uint8), count=int(b - a))
                 runs = np.flatnonzero(good[block.kind])
                 yield _rows(_snippets(number, block, spread(block.starts[runs], block.counts[runs]), n_parts), _MESSAGES)
+                release()
 
     return run
 
@@ -540,6 +542,7 @@ def _match(length: int):
                 continue
             block, row, low, high = _joined(row, low, high)
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            release()
             yield _rows([(messages[block[a]][0], packed(narrow(row[a:b]), narrow(low[a:b]), narrow(high[a:b]))) for a, b in zip(edges, edges[1:], strict=False)], _SPANS)
 
     return run
@@ -632,6 +635,7 @@ def _results(batches: Iterator[pa.RecordBatch], made: Callable[[_Result], pa.Rec
     for batch in batches:
         for data, twins, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             yield made(_Result(data, twins, spans))
+            release()
 
 
 def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from brindle.llm import bpe
+from brindle.llm.memory import release
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,6 +32,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
                 [batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n_tokens), pa.array(n_tokens > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+            release()
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

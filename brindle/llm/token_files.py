@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
+from brindle.llm.memory import release
 from brindle.plans.recovery import shared_path
 
 MAGIC = b"S8B1"
@@ -207,6 +208,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col:
                     if size >= PAYLOAD:
                         yield out()
                         size = 0
+            release()
         if held:
             yield out()
 
