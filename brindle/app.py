@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import time
 from typing import Any
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from brindle.config import Settings
 from brindle.model import SearchRequest, SearchResponse
 from brindle.operators import evaluate, versions
+from brindle.operators.answer import Chat, extractive, generate_answer
+from brindle.operators.evaluate import BACKOFF
 from brindle.operators.embed import Embedder, HashingEmbedder
 from brindle.operators.ingest import Ingestor, validate_metadata
 from brindle.operators.rerank import Reranker
@@ -25,13 +28,14 @@ _UPLOAD = "filename string, content binary, metadata string, doc_key string, rep
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None):
+    def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, chat: Chat = extractive, judge: evaluate.Judge = evaluate.overlap_judge):
         self.spark, self.settings = spark, settings or Settings.from_env()
+        self.chat, self.judge = chat, judge
         self.embedder, self.reranker = embedder or HashingEmbedder(self.settings.embedding_dim), reranker
         self.store = Store(spark, f"{self.settings.base_path.rstrip('/')}/{self.settings.schema}")
 
     def init(self) -> str:
-        if self.store.revision != HEAD:
+        if not self.store.last or self.store.revision != HEAD:
             self.store.migrate(HEAD)
         self.store.check(self.settings.embedding_dim)
         return f"schema version {self.store.revision}"
@@ -130,3 +134,26 @@ class KnowledgeBase:
             scored = evaluate.score_cases(cases, results, statuses)
             out[name] = {"summary": evaluate.summarize(scored, reranked and self.reranker is not None).first().asDict(), "failures": [r.asDict() for r in evaluate.failures(scored).collect()], "cases": [r.asDict() for r in scored.collect()]}
         return out
+
+    def judge_cases(self, cases: DataFrame, metrics: str = "all", top_k: int = 3, min_score: float | None = None, hybrid: bool = True, rerank: bool = True, delay: float = 0.0, only: list[str] | None = None, limit: int | None = None, out: str | None = None, resume: bool = False, backoff: tuple[float, ...] = BACKOFF) -> dict[str, Any]:
+        """A judged run over the labelled questions that have a reference: {summary, cases}; saved to ``out`` after every question.
+
+        With ``resume`` questions that ``out`` holds with these metrics are reused, and failed ones tried again.
+        """
+        chosen, skipped = evaluate.select_cases(cases, only, limit)
+        names = evaluate.METRIC_SETS[metrics]
+        asked = [c.asDict() for c in chosen.orderBy("seq").collect()]
+        done = evaluate.read_report(out) if resume and out and os.path.exists(out) else {}
+        retriever = self._retriever()
+
+        def search(case: dict) -> SearchResponse:
+            return retriever.search(SearchRequest(case["question"], top_k=top_k, filters=json.loads(case["filters"]) if case["filters"] else None, hybrid=hybrid, rerank=rerank, min_score=min_score))
+
+        def save(so_far: list[dict], complete: bool = False) -> dict[str, Any]:
+            summary = evaluate.report_summary(so_far, names, skipped, rerank and self.reranker is not None)
+            if out:
+                evaluate.write_report(out, so_far, complete, summary)
+            return summary
+
+        found = evaluate.run_judged(search, asked, self.judge, names, lambda r: generate_answer(r, self.chat), done, delay, backoff, save)
+        return {"summary": save(found, all(c["status"] not in evaluate.FAILED for c in found)), "cases": found}

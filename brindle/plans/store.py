@@ -9,6 +9,7 @@ a commit has ``MOST`` of them and writes what is left anew; folders that none of
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,8 @@ class Store:
         if not n:
             return self.spark.createDataFrame([], schema)
         commit = self._commit(n)
+        if commit["documents"] is None:
+            return self.spark.createDataFrame([], schema)
         documents = self.spark.read.parquet(f"{self.path}/{commit['documents']}")
         if name == "documents":
             return documents
@@ -115,7 +118,7 @@ class Store:
     def _vacuum(self, n: int) -> None:
         """Deletes the folders of commits older than the last ``KEPT``; those of a writer that has yet to publish are younger than any commit."""
         old = [k for k in sorted(int(x) for x in self._names("commits") if x.isdigit()) if k <= n - KEPT]
-        named = lambda ks: {x for k in ks for c in [self._commit(k)] for x in (c["documents"], *c["chunks"])}
+        named = lambda ks: {x for k in ks for c in [self._commit(k)] for x in (c["documents"], *c["chunks"]) if x}
         for folder in named(old) - named(range(n - KEPT + 1, n + 1)):
             delete(self.spark, f"{self.path}/{folder}")
         for k in old:
@@ -129,17 +132,32 @@ class Store:
         if other:
             raise SchemaError(f"stored embeddings do not have {dim} components")
 
-    def migrate(self, to: int = HEAD) -> int:
-        """Moves the documents table to schema version ``to`` (1 or 2): 2 has keys, versions and validity, 1 has not."""
-        now = self.revision or HEAD
-        if to not in (1, 2):
-            raise ValueError("schema versions are 1 and 2")
-        documents, chunks = self.read("documents"), self.read("chunks")
+    def target(self, name: str | int) -> int:
+        """The schema version that ``name`` stands for: head, base (0), a number, or so many steps back (-1) or on (+1)."""
+        text, now = str(name), self.revision or 0
+        if re.fullmatch(r"[+-]\d+", text):
+            to = now + int(text)
+        else:
+            to = {"head": HEAD, "base": 0}.get(text, int(text) if text.isdigit() else -1)
+        if not 0 <= to <= HEAD:
+            raise ValueError(f"no schema version {name}: they are base (0) to {HEAD}, head")
+        return to
+
+    def migrate(self, to: str | int = HEAD) -> int:
+        """Moves the tables to a schema version: 2 has keys, versions and validity, 1 has not, and at 0 there are none."""
+        to, base = self.target(to), self.last
+        now = self.revision if base else HEAD
+        if to == 0:
+            self._publish(base + 1, {"schema": 0, "documents": None, "chunks": []})
+            return 0
+        if now == to and base:
+            return to
+        documents = self.read("documents")
         if now == 1 and to == 2:
             documents = upgrade_documents(documents)
-        elif now == 2 and to == 1:
+        elif to == 1 and "doc_key" in documents.columns:
             documents = documents.drop("doc_key", "version", "is_current", "superseded_at", "valid_from", "valid_until", "review_by")
-        self.write(documents, chunks, schema=to)
+        self.write(documents, schema=to, base=base)
         return to
 
 
