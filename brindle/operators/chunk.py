@@ -82,7 +82,7 @@ class Chunker:
         pieces, below = self._pieces(text, a, b, level)
         small: list[tuple[int, int]] = []
         for x, y in pieces:
-            if self.length(text[x:y].strip()) <= self.size:
+            if self.length(text[x:y]) < self.size:
                 small.append((x, y))
                 continue
             yield from self._merged(text, small)
@@ -94,13 +94,17 @@ class Chunker:
         yield from self._merged(text, small)
 
     def _merged(self, text: str, pieces: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        """Neighbouring pieces joined while they fit; the next chunk begins with what fits of the last ``overlap``."""
-        first = 0
-        for i in range(len(pieces)):
-            if i > first and self.length(text[pieces[first][0] : pieces[i][1]].strip()) > self.size:
+        """Neighbouring pieces joined while the sum of their lengths, white space included, fits; the next chunk begins with the last of
+        them, as many as fit ``overlap`` and leave room for the piece to come."""
+        first = total = 0
+        sizes = [self.length(text[a:b]) for a, b in pieces]
+        for i, n in enumerate(sizes):
+            if i > first and total + n > self.size:
                 yield pieces[first][0], pieces[i - 1][1]
-                while first < i and (self.length(text[pieces[first][0] : pieces[i - 1][1]]) > self.overlap or self.length(text[pieces[first][0] : pieces[i][1]].strip()) > self.size):
+                while total > self.overlap or 0 < total > self.size - n:
+                    total -= sizes[first]
                     first += 1
+            total += n
         if pieces:
             yield pieces[first][0], pieces[-1][1]
 

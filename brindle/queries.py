@@ -569,10 +569,10 @@ WITH t AS (SELECT doc_id, CAST(n_chars % 13 AS INTEGER) AS n FROM documents), c
 p AS (SELECT doc_id, i, list_transform(range(3 * i, least(3 * i + 3, n)), lambda k: 'paragraph ' || chr(97 + CAST(k AS INTEGER)) || repeat('!', 9)) AS own FROM c)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(66 * i AS INTEGER) AS char_start, CAST(66 * i + 22 * len(own) - 2 AS INTEGER) AS char_end, array_to_string(own, chr(10) || chr(10)) AS content FROM p""")
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs of 20 characters, of which three fit a chunk of 64 with the blank lines between them."""
+    """Paragraphs of 20 characters, of which three fit a chunk of 66 with the blank lines before them."""
     letters = F.transform(F.sequence(F.lit(0), (F.col("n_chars") % 13).cast("int") - 1), lambda k: F.concat(F.lit("paragraph "), F.char(k + 97), F.lit("!" * 9)))
     body = F.when(F.col("n_chars") % 13 > 0, F.array_join(letters, "\n\n")).otherwise("")
-    return chunk.chunk(table(spark, sf, "documents").select("doc_id", body.alias("text")), 64, 0, "doc_id").withColumnRenamed("id", "doc_id")
+    return chunk.chunk(table(spark, sf, "documents").select("doc_id", body.alias("text")), 66, 0, "doc_id").withColumnRenamed("id", "doc_id")
 
 
 @query("chunk_markdown")
