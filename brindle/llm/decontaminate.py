@@ -23,20 +23,23 @@ from brindle.llm.components import without
 from brindle.llm.memory import tidy
 from brindle.plans.recovery import checkpoint
 
-#: Tokens of a window (of a shorter item: the whole item), least tokens of an item, least words in a window that are no placeholders.
-WINDOW, LEAST, LITERALS = 8, 5, 3
+#: Tokens of a window (of a shorter item: the whole item), and how many that are no placeholders make a template tell something.
+WINDOW, LITERALS = 8, 3
 #: Share of an item's windows that a document must hold.
 COVERED = 0.5
 #: Tokens in a row that prove a quotation, whatever its share of the item.
 RUN = 13
 #: Slots of the prefilter sent to all executors: 2 MB whatever the benchmark's size; the join after it decides.
 SLOTS = 1 << 24
+#: Bytes of the prefilter that one group of slots makes; the driver gets each of them once.
+CHUNK = 1 << 12
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "mile", "miles", "foot", "feet", "inch", "inches", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "usd", "eur"]
 #: Scripts written without spaces: every letter is a token.
 SPACELESS = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)]
 _TOKEN, _WORD, _NUMBER, _UPPER, _STOP, _ALONE = 1, 2, 4, 8, 16, 32
-#: Sequences of a text: templates; templates in which every capitalised word is a name; tokens in lower case; all characters but white space.
-_TEMPLATE, _CAPITALS, _RAW, _GLYPHS = range(4)
+#: Sequences of a text: templates; templates in which every capitalised word is a name; tokens in lower case; all characters but white
+#: space; templates with the signs between their tokens.
+_TEMPLATE, _CAPITALS, _RAW, _GLYPHS, _SIGNS = range(5)
 _NAME, _NUM, _UNIT = (np.uint64(0x1000000001 + k) for k in range(3))
 
 
@@ -129,6 +132,11 @@ def _firsts(opens: np.ndarray, n: int) -> np.ndarray:
 
 
 def _templates(t: _Tokens, capitals: bool = False) -> _Sequence:
+    return _parsed(t, capitals)[0]
+
+
+def _parsed(t: _Tokens, capitals: bool = False) -> tuple[_Sequence, np.ndarray]:
+    """The templates, and which tokens belong to the one before."""
     n, new = len(t.start), _firsts(t.opens, len(t.start))
     name = ~t.number & t.upper & (~t.ended | capitals)
     after_number = np.zeros(n, bool)
@@ -146,7 +154,20 @@ def _templates(t: _Tokens, capitals: bool = False) -> _Sequence:
     if n:
         ranks = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
         value = np.add.reduceat(value * (np.uint64(2) * ranks.astype(np.uint64) + np.uint64(1)), head)
-    return _Sequence(token[head], value, value == 0, np.searchsorted(head, t.opens))
+    return _Sequence(token[head], value, value == 0, np.searchsorted(head, t.opens)), joined
+
+
+def _signs(t: _Tokens) -> _Sequence:
+    of, joined = _parsed(t)
+    sign = ((_tables()[0][t.points] & _TOKEN) == 0) & ~np.isin(t.points, bpe.WHITE_SPACE)
+    inner = np.flatnonzero(joined)  # the point or comma of a number is no sign
+    sign[t.start[inner] - 1] = False
+    at = np.flatnonzero(sign)
+    place = np.concatenate([t.start[~joined], at])
+    order = np.argsort(place, kind="stable")
+    tokens = np.concatenate([of.tokens, bpe.mixed((t.points[at] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))])[order]
+    values = np.concatenate([of.values, np.zeros(len(at), np.uint64)])[order]
+    return _Sequence(tokens, values, np.concatenate([of.words, np.zeros(len(at), bool)])[order], np.searchsorted(place[order], t.offsets))
 
 
 def _raw(t: _Tokens) -> _Sequence:
@@ -158,7 +179,7 @@ def _glyphs(t: _Tokens) -> _Sequence:
     return _Sequence(t.points[at].astype(np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool), np.searchsorted(at, t.offsets))
 
 
-_SEQUENCES = {_TEMPLATE: _templates, _CAPITALS: lambda t: _templates(t, True), _RAW: _raw, _GLYPHS: _glyphs}
+_SEQUENCES = {_TEMPLATE: _templates, _CAPITALS: lambda t: _templates(t, True), _RAW: _raw, _GLYPHS: _glyphs, _SIGNS: _signs}
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,16 +236,38 @@ def _columns(of: _Sequence, size: int, at: np.ndarray, place: np.ndarray, h: np.
 def _item_windows(text: pa.Array) -> Iterator[tuple[int, int, _Sequence, np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, size, sequence, windows) by which one item is sought."""
     read = _tokens(text)
+    told = False
     for kind in (_TEMPLATE, _CAPITALS):
         of = _SEQUENCES[kind](read)
         size = min(len(of.tokens), WINDOW)
-        if size >= LEAST:
-            yield kind, size, of, *windows(of, size, kind)
+        at, h, worded = windows(of, size, kind) if int(of.words.sum()) >= LITERALS else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+        if len(at):
+            told |= kind == _TEMPLATE
+            yield kind, size, of, at, h, worded
+    if not told:  # signs such as those of arithmetic tell what too few words do not; those around the item are not its own
+        of = _signs(read)
+        own = np.flatnonzero(of.words | (of.values != 0))
+        of = _Sequence(*(x[own[0] : own[-1] + 1] for x in of[:3]), np.array([0, own[-1] + 1 - own[0]])) if len(own) else of
+        if len(own) and (of.values != 0).any() and int((of.values == 0).sum()) >= LITERALS:
+            size = min(len(of.tokens), WINDOW)
+            at, h, _ = windows(of, size, _SIGNS)
+            yield _SIGNS, size, of, at, h, np.zeros(len(at), bool)
     kind, of = (_RAW, raw) if len((raw := _raw(read)).tokens) else (_GLYPHS, _glyphs(read))
     if size := min(len(of.tokens), WINDOW):
         yield kind, size, of, *windows(of, size, kind)
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots of a chunk of the prefilter as bits."""
+    for batch in batches:
+        out = []
+        for slots in batch.column(1):
+            bits = np.zeros(8 * CHUNK, bool)
+            bits[slots.values.to_numpy()] = True
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "bits"])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document that holds a benchmark item: doc_id, item_id, n_windows, n_matched, share.
 
@@ -232,9 +275,10 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
     ``RUN`` tokens in a row, some with words enough, on one diagonal; ``share`` may be less than ``covered`` then. Kinds are
     templates, templates in which the first words of sentences are names too if they are capitalised, and tokens in lower
     case. Values of templates correspond one to one along their diagonal; where a share of ``covered`` contradicts itself,
-    tokens count only if the whole item is there. Windows are of ``WINDOW`` tokens; templates of ``LEAST`` to ``WINDOW - 1``
-    tokens are one window, and so are all the tokens of any shorter item. Tokens without a window of enough words are held
-    where they all stand in a row, and of an item without letters and digits, all characters but white space. Documents emit
+    tokens count only if the whole item is there. Windows are of ``WINDOW`` tokens; a shorter item is one window. A template
+    tells something by ``LITERALS`` words or more; where it has fewer, its signs count as well, as those of arithmetic do, and it is held where
+    all of it stands in a row. So are tokens without a window of enough words, and of an item without letters and digits, all
+    characters but white space. Documents emit
     only windows that pass a fixed-size prefilter; a hash join with the benchmark's windows settles the rest, at whatever
     size the benchmark has.
 
@@ -256,11 +300,11 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
                     )
 
     index = items.mapInArrow(of_items, _SCHEMA + ", variant long, kind long, size long, worded boolean")
-    filled = index.select("kind", "size", F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct().toArrow()
+    index = checkpoint(index)
+    wanted = sorted((r["kind"], r["size"]) for r in index.select("kind", "size").distinct().collect())  # kinds times window sizes at most
     bits = np.zeros(SLOTS // 8, np.uint8)
-    slots = filled["slot"].to_numpy()
-    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    wanted = sorted(set(zip(filled["kind"].to_pylist(), filled["size"].to_pylist(), strict=True)))
+    for r in index.select((F.pmod("hash", F.lit(SLOTS)) / F.lit(8 * CHUNK)).cast("int").alias("chunk"), F.pmod("hash", F.lit(8 * CHUNK)).cast("int").alias("slot")).distinct().groupBy("chunk").agg(F.collect_list("slot").alias("slots")).mapInArrow(_bits, "chunk int, bits binary").collect():
+        bits[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["bits"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +346,7 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col
     enough = F.col("share") >= F.when(F.col("some"), F.lit(covered)).otherwise(F.lit(1.0))
     enough = enough | F.col("quoted")
     best = F.struct("share", "n_matched", "n_windows")
-    template = F.col("kind").isin(_TEMPLATE, _CAPITALS)
+    template = F.col("kind").isin(_TEMPLATE, _CAPITALS, _SIGNS)
     chosen = judged.groupBy("doc_id", "item_id", "variant").agg(
         F.max(F.when(enough & template, best)).alias("by_template"),
         F.max(F.when(enough & ~template, best)).alias("by_tokens"),

@@ -118,7 +118,7 @@ def test_decontamination_finds_items_without_windows(spark):
     docs = [(i, f"Words before it, {x} and words after it") for i, x in items.items()]
     docs += [(21, "what is the capital of france"), (22, "彼は今日の天気はどうですかと聞いた"), (23, "why, so"), (31, "the capital of France is what"), (32, "12 + 30 * 4 - 8 = ?"), (33, "420 whys so"), (34, "= ?! ⇒"), (35, "Sum 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8")]
     got = found(spark, docs, [*items.items(), (3, "Or another text?")])
-    assert got == {(i, i) for i in items if i != 9} | {(21, 1), (22, 4), (23, 3)}
+    assert got == {(i, i) for i in items if i != 9} | {(21, 1), (22, 4), (23, 3), (32, 2)}
 
 
 def test_decontamination_whatever_the_capitals(spark):
@@ -140,3 +140,112 @@ def test_decontamination_finds_long_quotations(spark):
     docs = [(1, f"They asked {quoted} and left"), (2, f"They asked {quoted.upper()}"), (3, "They asked " + " ".join(words[:13])), (4, "They asked " + " ".join(words[:12])), (5, " ".join(words[:7] + ["and"] + words[7:]))]
     docs.append((6, "From 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 on"))
     assert found(spark, docs, items) == {(1, 10), (2, 10), (3, 10)}
+
+
+TEMPLATES = [
+    "A shop sells {n} pens for {m} dollars each. How much do {k} pens cost?", "{A} has {n} apples and gives {m} of them to {B}. How many apples does {A} have left?", "Compute {n} + {m} - {k} * {j}.",
+    "If a car drives {n} km in {m} hours, what is its average speed?", "What is {n} times {m}?", "{A} is {n} years older than {B}, who is {m}. How old is {A}?", "Solve for x: {n}x + {m} = {k}", "{n} + {m} * {k} = ?",
+    "A tank holds {n} liters and loses {m} liters every hour. After how many hours is it empty?", "Convert {n} miles to kilometers and round to {m} digits.",
+]
+
+
+def test_recall_on_changed_parameters(spark):
+    """Ten copies of ten templates, each with other numbers and names; none of texts whose slots contradict each other or that only look alike."""
+    import random
+
+    r = random.Random(3)
+    names = "Anna Bob Carla Dmitri Elena Faruk Greta Hugo Ines Jonas Kofi Lena".split()
+
+    def made(t):
+        a, b = r.sample(names, 2)
+        n, m, k, j = r.sample(range(2, 999), 4)
+        return t.format(A=a, B=b, n=n, m=m, k=k, j=j)
+
+    items = [(i, made(t)) for i, t in enumerate(TEMPLATES)]
+    docs = [(100 * i + c, "We talked about school. " + made(t) + " That was it.") for i, t in enumerate(TEMPLATES) for c in range(10)]
+    clean = [(2000 + c, f"Compute {c} and {c + 1} - {c + 2} then {c + 5}. A car drove {c} km. {names[c]} has {c} pears and sells {c + 3} of them.") for c in range(10)]
+    got = found(spark, docs + clean, items)
+    hit = {d for d, i in got if d // 100 == i}
+    assert len(hit) / len(docs) >= 0.9 and not [x for x in got if x[0] >= 2000] and not [x for x in got if x[0] < 2000 and x[0] // 100 != x[1]]
+
+
+def plain_template(text, capitals=False):
+    """(token, value or None) of ASCII prose, one by one: numbers, units after numbers, capitalised words within a sentence and the ones after them."""
+    import re
+
+    out, ended, before_number, gap = [], True, False, ""
+    for m in re.finditer(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", text):
+        t = m[0]
+        if not t[0].isalnum():
+            gap = t
+            ended |= bool(set(t) & set('.!?:;"')) or "\n\n" in t
+            continue
+        if t.isdigit():
+            if out and out[-1][0] == "#" and before_number and gap in (".", ","):
+                out[-1] = ("#", out[-1][1] + "," + t)
+            else:
+                out.append(("#", t))
+            before_number = True
+        else:
+            if before_number and gap.strip() == "" and len(gap) <= 1 and t.lower() in decontaminate.UNITS:
+                out.append(("unit", t.lower()))
+            elif t[0].isupper() and (capitals or not ended):
+                if out and out[-1][0] == "name" and gap == " " and not ended:
+                    out[-1] = ("name", out[-1][1] + " " + t.lower())
+                else:
+                    out.append(("name", t.lower()))
+            else:
+                out.append((t.lower(), None))
+            before_number = False
+        ended, gap = False, ""
+    return out
+
+
+def plain_match(d, i):
+    """(share, whether 13 tokens in a row) of the item's windows with three words or more that stand in the document, each diagonal with values one to one."""
+    size = min(8, len(i))
+    spots = [p for p in range(len(i) - size + 1) if sum(v is None for _, v in i[p : p + size]) >= 3]
+    keys = {p: tuple(t for t, _ in i[p : p + size]) for p in spots}
+    lines = {}
+    for q in range(len(d) - size + 1):
+        for p in spots:
+            if tuple(t for t, _ in d[q : q + size]) == keys[p]:
+                lines.setdefault(q - p, []).append((p, q))
+    matched, row = set(), False
+    for own in lines.values():
+        pairs = {(i[p + k][1], d[q + k][1]) for p, q in own for k in range(size) if i[p + k][1]}
+        if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
+            matched |= {keys[p] for p, _ in own}
+            at = {p for p, _ in own}
+            row |= any(all(p + k in at for k in range(6)) for p in at)
+    return (len(matched) / len(set(keys.values())) if spots else 0.0), row
+
+
+def test_decontamination_equals_plain_template_matching(spark):
+    import random
+
+    r = random.Random(8)
+    names = "Anna Bob Carla Dmitri Elena Faruk".split()
+    words = "the old train leaves early and nobody knows why it stops near that bridge for so long each winter".split()
+
+    def sentence():
+        return " ".join(r.choice([*words, r.choice(names), str(r.randint(1, 60)), f"{r.randint(2, 9)} km"]) for _ in range(r.randint(10, 24)))
+
+    def changed(text):
+        out = [r.choice(names) if w in names and r.random() < 0.5 else str(r.randint(1, 60)) if w.isdigit() and r.random() < 0.5 else w for w in text.split()]
+        a = r.randint(0, len(out) - 1)
+        return " ".join(out[:a] + ([r.choice(words)] if r.random() < 0.4 else []) + out[a:] if r.random() < 0.7 else out[a // 2 :])
+
+    items = [(i, "so " + sentence()) for i in range(12)]
+    docs = [(100 + k, f"then {sentence()} {changed(r.choice(items)[1])} and {sentence()}") for k in range(150)]
+    lower = lambda text: [(w, None if not w.isdigit() else "") for w in text.lower().split()]
+    sure, possible = set(), set()
+    for d, t in docs:
+        for i, x in items:
+            by_kind = [plain_match(plain_template(t, c), plain_template(x, c)) for c in (False, True)]
+            sure |= {(d, i) for share, row in by_kind if share >= 0.5 or row}
+            share, row = plain_match(lower(t), lower(x))
+            possible |= {(d, i)} if share >= 0.5 or row else set()
+    got = found(spark, docs, items)
+    # equal tokens count too, unless templates contradict each other there
+    assert sure <= got <= sure | possible and len(sure) > 20 and len(sure) < len(docs) * len(items) / 4
