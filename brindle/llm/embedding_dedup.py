@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.components import components, roots
 from brindle.plans.recovery import checkpoint
 
 #: Bounds of the fit: vectors sampled, cells at most, rounds of k-means.
 FIT_ROWS, MOST_CELLS, ROUNDS = 20_000, 1024, 8
-#: Vectors of a block: least and most; between them a 24th of all, so that small inputs make tasks enough.
-BLOCKS = (512, 4096)
+#: Vectors of a block.
+BLOCK = 8192
 #: Rows of one product.
 STRIP = 512
 _SLACK = 1e-7
@@ -77,25 +78,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     link with nothing; the component of a null id is null and it is kept. Rows of one id with different vectors are judged each by
     its own. Other columns are not read.
     """
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), T.FloatType)
     given = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     plain = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     given = given.withColumn("usable", F.col("id").isNotNull() & F.coalesce(plain, F.lit(False)))
     out = given.filter("NOT usable").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     for r in given.filter("usable").select(F.size("v").alias("size")).distinct().orderBy("size").collect():
-        out = _of_width(given.filter(F.col("usable") & (F.size("v") == r["size"])), r["size"], cosine).union(out)
+        out = _of_width(given.filter(F.col("usable") & (F.size("v") == r["size"])), r["size"], cosine, np.dtype(np.float32 if single else np.float64)).union(out)
     return out
 
 
-def _of_width(given: DataFrame, width: int, cosine: float) -> DataFrame:
-    """The rows of ``near_duplicates`` for usable vectors of one length."""
+def _of_width(given: DataFrame, width: int, cosine: float, sent_as: np.dtype) -> DataFrame:
+    """The rows of ``near_duplicates`` for usable vectors of one length; ``sent_as`` holds their components without loss."""
     spark = given.sparkSession
     keyed = given.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))  # -0.0 is 0.0
     keyed = keyed.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.reverse("v"), F.lit(1)))
     classes = checkpoint(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("weight"), F.first("v").alias("v")))
     placed = keyed.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep", "weight"), ["k1", "k2"]).select("id", "rep", "weight")
     n = classes.count()
-    block = max(BLOCKS[0], min(BLOCKS[1], n // 24))
-    k = max(1, min(MOST_CELLS, -(-n // block)))
+    k = max(1, min(MOST_CELLS, -(-n // BLOCK)))
     centres = np.zeros((1, width))
     if k > 1:
         share = min(1.0, max(FIT_ROWS, k) / n)
@@ -118,7 +119,7 @@ def _of_width(given: DataFrame, width: int, cosine: float) -> DataFrame:
     found = classes.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     blocks = np.ones(len(centres), np.int64)
     for r in found:
-        blocks[r["cell"]] = -(-r["n"] // block)
+        blocks[r["cell"]] = -(-r["n"] // BLOCK)
     chord = 2 * math.sin(math.acos(cosine) / 2) + _SLACK
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def _of_width(given: DataFrame, width: int, cosine: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                rows, dots = homes(part.column(2))
+                _, dots = homes(part.column(2))
                 home = dots.argmax(1)
                 here = np.arange(len(home))
                 between = apart[home] if apart is not None else np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0))
@@ -142,7 +143,7 @@ def _of_width(given: DataFrame, width: int, cosine: float) -> DataFrame:
                 mine, theirs = home[who] * (1 << 32) + own[who], cell * (1 << 32) + nth
                 index = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(mine, theirs)), pa.array(np.maximum(mine, theirs)), pa.array(mine > theirs), part.column(0).take(index), part.column(1).take(index), pa.array([x.tobytes() for x in rows], pa.binary()).take(index)],
+                    [pa.array(np.minimum(mine, theirs)), pa.array(np.maximum(mine, theirs)), pa.array(mine > theirs), part.column(0).take(index), part.column(1).take(index), pa.array([x.tobytes() for x in _matrix(part.column(2)).astype(sent_as)], pa.binary()).take(index)],
                     names=["first", "second", "later", "rep", "weight", "row"],
                 )
 
@@ -151,7 +152,7 @@ def _of_width(given: DataFrame, width: int, cosine: float) -> DataFrame:
         order = np.argsort(table["rep"].to_numpy(), kind="stable")
         order = order[np.argsort(later[order], kind="stable")]
         reps, weights = table["rep"].to_numpy()[order], table["weight"].to_numpy()[order]
-        rows = np.frombuffer(b"".join(table["row"].take(pa.array(order)).to_pylist())).reshape(len(order), -1)
+        rows = unit(np.frombuffer(b"".join(table["row"].take(pa.array(order)).to_pylist()), sent_as).reshape(len(order), -1).astype(np.float64))
         cut = int((~later).sum())
         alone = table["first"][0].as_py() == table["second"][0].as_py()
         if alone:

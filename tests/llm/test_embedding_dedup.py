@@ -25,9 +25,9 @@ def brute(rows, cosine=0.95):
     return sorted((i, links.get(i, 0), label.get(i, i)) for i, _ in rows if i is not None)
 
 
-@pytest.mark.parametrize("blocks", [(512, 4096), (16, 16)])
-def test_links_equal_brute_force(spark, blocks, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCKS", blocks)
+@pytest.mark.parametrize("block", [8192, 100, 16])
+def test_links_equal_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     r = np.random.default_rng(3)
     base = r.normal(size=(30, 8))
     rows = [(int(i), (base[r.integers(30)] + r.normal(scale=r.choice([0, 0.02, 0.2]), size=8)).tolist()) for i in r.permutation(400)]
