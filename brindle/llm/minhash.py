@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe
-from brindle.llm.components import SLOTS, components, without
+from brindle.llm.components import SLOTS, components, roots, without
 from brindle.llm.memory import tidy
 from brindle.llm.bpe import mixed
 from brindle.llm.shingles import shingle_sets
@@ -110,37 +110,43 @@ def _linked(percent: int):
 
 
 def _between(percent: int):
-    """Links between two blocks: pairs of different components that share a band and whose full sets are alike enough."""
+    """Components that two blocks link, each with the least one it is joined to: by pairs that share a band and whose full sets are alike
+    enough. Pairs that earlier ones have joined already are not compared, and of a group's links a spanning forest is returned."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        doc, n, component, side = (table[c].to_numpy() for c in ("doc", "n", "component", "side"))
-        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        n, side = table["n"].to_numpy(), table["side"].to_numpy()
+        names, label = np.unique(table["component"].to_numpy(), return_inverse=True)
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
         items = [np.frombuffer(x.as_buffer(), "<u8") for x in table["items"]]
         alone = table["first"][0].as_py() == table["second"][0].as_py()
         left = np.flatnonzero(side == 0)
         right = left if alone else np.flatnonzero(side == 1)
-        a, b = [], []
+        root = np.arange(len(names))
         for at in range(0, len(left), 128):
             rows = left[at : at + 128]
             shared = np.zeros((len(rows), len(right)), bool)
             for k in range(keys.shape[1]):
                 shared |= keys[rows, k][:, None] == keys[right, k]
             low, high = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
-            shared &= (component[rows][:, None] != component[right]) & (100 * low >= percent * high)
+            shared &= 100 * low >= percent * high
             if alone:
-                shared &= doc[rows][:, None] < doc[right]
+                shared &= rows[:, None] < right
             for i in np.flatnonzero(shared.any(1)).tolist():
-                x = items[rows[i]]
+                own = label[rows[i]]
                 those = right[shared[i]]
-                sizes = n[those]
+                those = those[root[label[those]] != root[own]]
+                if not len(those):
+                    continue
+                x, sizes = items[rows[i]], n[those]
                 joint = np.concatenate([items[j] for j in those])
                 place = np.minimum(np.searchsorted(x, joint), len(x) - 1)
                 both = np.add.reduceat((x[place] == joint).astype(np.int64), np.cumsum(sizes) - sizes)
                 good = those[100 * both >= percent * (len(x) + sizes - both)]
-                a += [doc[rows[i]]] * len(good)
-                b += doc[good].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                if len(good):
+                    root = roots(len(names), np.full(len(good), own), label[good], root)
+        joined = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": names[joined], "b": names[root[joined]]})
 
     return run
 
