@@ -13,6 +13,7 @@ import heapq
 import itertools
 import json
 import os
+import re
 import secrets
 import unicodedata
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 @functools.cache
 def _classes() -> np.ndarray:
-    kinds = np.zeros(_SPECIAL + 1, np.uint8)
+    kinds = np.full(1 << 21, _MARK, np.uint8)
+    kinds[:_SPECIAL] = _OTHER
     for i in range(_SPECIAL):
         category = unicodedata.category(chr(i))
         if category[0] == "L":
@@ -49,7 +51,6 @@ def _classes() -> np.ndarray:
         elif category == "Cn":
             kinds[i] = _UNASSIGNED
     kinds[WHITE_SPACE] = _SPACE
-    kinds[_SPECIAL] = _MARK
     return kinds
 
 
@@ -97,17 +98,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return h
 
 
-def code_points(texts: pa.Array, special: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def code_points(texts: pa.Array, specials: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """All code points of ``texts`` (no nulls) in one array, and where each text begins, plus the end.
 
-    Every ``special`` inside a text becomes one value outside Unicode.
+    Every one of ``specials`` inside a text, the leftmost and then the longest first, becomes one value outside Unicode.
     """
-    if special and pc.any(pc.match_substring(texts, special)).as_py():
+    if any(pc.any(pc.match_substring(texts, s)).as_py() for s in specials):
         parts, lengths = [], []
+        split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")").split
         for text in texts.to_pylist():
-            pieces = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in text.split(special)]
-            mark = np.array([_SPECIAL], np.uint32)
-            own = [y for x in pieces for y in (mark, x)][1:]
+            own = [np.array([_SPECIAL + specials.index(x)], np.uint32) if i % 2 else np.frombuffer(x.encode("utf-32-le"), np.uint32) for i, x in enumerate(split(text))]
             parts += own
             lengths.append(sum(map(len, own)))
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -187,20 +187,20 @@ def library(path: str):
 
 
 @functools.cache
-def special_of(path: str) -> str | None:
-    """The special string of a vocabulary file (those offered here have one at most)."""
+def specials_of(path: str) -> tuple[str, ...]:
+    """The added strings of a vocabulary file, which are tokens wherever they stand."""
     with open(path, encoding="utf-8") as f:
         added = json.load(f).get("added_tokens") or []
-    if len(added) > 1:
-        raise ValueError("vocabularies with several added tokens are not supported")
-    return added[0]["content"] if added else None
+    if any(x.get(flag) for x in added for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    return tuple(x["content"] for x in added)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, one call for each distinct pre-token."""
 
     def __init__(self, path: str):
-        self.path, self.special, self.tokenizer, self.seed = path, special_of(path), library(path), secrets.randbits(64)
+        self.path, self.specials, self.tokenizer, self.seed = path, specials_of(path), library(path), secrets.randbits(64)
         self.clear()
 
     def clear(self) -> None:
@@ -225,7 +225,7 @@ class Encoder:
         """(first row, ids of the rows that follow, where each row's ids begin and the end), step by step."""
         texts = filled(texts)
         for begin, end in steps(texts):
-            points, offsets = code_points(texts.slice(begin, end - begin), self.special)
+            points, offsets = code_points(texts.slice(begin, end - begin), self.specials)
             start = pretokens(points, offsets, self.tokenizer)
             stop = np.append(start[1:], len(points))
             unique, where, back = np.unique(span_hashes(points, start, stop, self.seed), return_index=True, return_inverse=True)
@@ -247,7 +247,7 @@ class Encoder:
             yield begin, self.flat[place], ends[np.searchsorted(start, offsets)]
 
     def _text(self, points: np.ndarray) -> str:
-        return self.special if points[0] == _SPECIAL else points.tobytes().decode("utf-32-le", "surrogatepass")
+        return self.specials[points[0] - _SPECIAL] if points[0] >= _SPECIAL else points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _roomy(array: np.ndarray, size: int) -> np.ndarray:
@@ -267,7 +267,7 @@ class MergeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.special, self.tokenizer, self.seed = special_of(path), library(path), secrets.randbits(64)
+        self.specials, self.tokenizer, self.seed = specials_of(path), library(path), secrets.randbits(64)
         model = self.spec["model"]
         vocab = model["vocab"]
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
@@ -318,7 +318,7 @@ class MergeCounter:
         texts = filled(texts)
         out = np.zeros(len(texts), np.int64)
         for begin, end in steps(texts):
-            points, offsets = code_points(texts.slice(begin, end - begin), self.special)
+            points, offsets = code_points(texts.slice(begin, end - begin), self.specials)
             start = pretokens(points, offsets, self.tokenizer)
             stop = np.append(start[1:], len(points))
             unique, where, back = np.unique(span_hashes(points, start, stop, self.seed), return_index=True, return_inverse=True)
@@ -328,7 +328,7 @@ class MergeCounter:
             for i, h in enumerate(listed):
                 if h not in known:
                     own = points[start[where[i]] : stop[where[i]]]
-                    known[h] = 1 if own[0] == _SPECIAL else self.count(own.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+                    known[h] = 1 if own[0] >= _SPECIAL else self.count(own.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
             sums = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[back])])
             out[begin:end] = np.diff(sums[np.searchsorted(start, offsets)])
         return out

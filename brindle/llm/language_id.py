@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 
 from brindle.llm import bpe
 from brindle.llm.memory import tidy
+from brindle.plans.recovery import checkpoint, drop
 
-#: Characters of an n-gram, hash functions, and slots of the filter (of 8 bytes each: 4 MB, whatever the data).
+#: Characters of an n-gram, hash functions, and slots of the filter (4 MB for every 64 languages, whatever the data).
 N, PROBES, SLOTS = 4, 2, 1 << 19
-#: Bounds of the fit: about so many labelled documents and at most so many n-grams for each language.
-FIT_DOCS, FIT_GRAMS = 1500, 60_000
+#: Bound of the fit: about so many labelled documents of each language.
+FIT_DOCS = 1500
 #: An n-gram belongs to a language with at least this many uses in its sample and this share of its rate in the language where it is commonest.
 LEAST, SHARE = 3, 0.3
-MAX_LANGUAGES = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -67,7 +67,7 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages (most documents first), the filter, and each language's rate of false positives."""
+    """languages (most documents first), the filter (a row for every 64 languages), and each language's rate of false positives."""
 
     languages: list[str]
     table: np.ndarray
@@ -80,12 +80,11 @@ class Model:
         for begin, end in bpe.steps(texts):
             hashes, row, letters = _held(texts.slice(begin, end - begin))
             n = end - begin
-            mask = np.full(len(hashes), ~np.uint64(0))
-            for slot in _slots(hashes):
-                mask &= self.table[slot]
+            slots = _slots(hashes)
+            masks = [functools.reduce(np.bitwise_and, [line[slot] for slot in slots]) for line in self.table]
             grams[begin:end] = np.bincount(row, minlength=n)
             total = np.maximum(grams[begin:end], 1)
-            counts = np.stack([np.bincount(row, weights=(mask >> np.uint64(i)) & np.uint64(1), minlength=n) for i in range(k)], 1) if k else np.zeros((n, 1))
+            counts = np.stack([np.bincount(row, weights=(masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=n) for i in range(k)], 1) if k else np.zeros((n, 1))
             true = np.clip((counts / total[:, None] - self.rates) / (1 - self.rates), 0, 1) if k else counts
             best = true.argmax(1)
             out += [self.languages[b] if m and k else "und" for b, m in zip(best.tolist(), letters.tolist(), strict=True)]
@@ -96,44 +95,44 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """A model from ``labelled`` (id, text, lang; null langs and texts are left out).
 
-    About ``FIT_DOCS`` documents of each language are taken, by a hash of their id, and their n-grams counted by the
-    cluster; the driver gets at most ``FIT_GRAMS`` counts a language.
+    About ``FIT_DOCS`` documents of each language are taken, by a hash of their id. The cluster counts their n-grams and decides which
+    of them belong to a language; the driver gets the languages and the bits of the filter, a slot at most once for every 64 languages.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = list(sizes)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    languages = [r["lang"] for r in sizes]
+    table = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
     if not languages:
-        return Model([], np.zeros(SLOTS, np.uint64), np.zeros(1))
-    share: Column = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(FIT_DOCS / n))])[F.col("lang")]
+        return Model([], table, np.zeros(1))
+    shares: Column = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(FIT_DOCS / r["n"]))])[F.col("lang")]
+    numbers: Column = F.create_map(*[x for i, r in enumerate(sizes) for x in (F.lit(r["lang"]), F.lit(i))])[F.col("lang")]
     drawn = F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            langs = batch.column(1).to_numpy()
             for begin, end in bpe.steps(batch.column(0)):
                 hashes, row, _ = _held(batch.column(0).slice(begin, end - begin))
-                for lang in set(langs[begin:end]):
+                for lang in np.unique(langs[begin:end]).tolist():
                     grams, uses = np.unique(hashes[(langs[begin:end] == lang)[row]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(uses)], names=["lang", "gram", "uses"])
-
-    counted = known.filter(drawn < share).select("text", "lang").mapInArrow(tidy(count), "lang string, gram long, uses long")
-    counted = counted.groupBy("lang", "gram").agg(F.sum("uses").alias("uses")).persist()
-    table, grams, rates = np.zeros(SLOTS, np.uint64), [], {}
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("uses").alias("n")).collect()}
-    for i, lang in enumerate(languages):
-        top = counted.filter((F.col("lang") == lang) & (F.col("uses") >= LEAST)).orderBy(F.desc("uses"), "gram").limit(FIT_GRAMS).select("gram", "uses").toArrow()
-        own, uses = top["gram"].to_numpy().view(np.uint64), top["uses"].to_numpy() / max(totals.get(lang, 1), 1)
-        grams.append((i, own, uses))
-        for g, u in zip(own.tolist(), uses.tolist(), strict=True):
-            rates[g] = max(rates.get(g, 0.0), u)
-    counted.unpersist()
-    for i, own, uses in grams:
-        highest = np.array([rates[g] for g in own.tolist()])
-        for slot in _slots(own[uses >= SHARE * highest]):
-            np.bitwise_or.at(table, slot, np.uint64(1) << np.uint64(i))
-    filled = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), lang, np.int32)), pa.array(grams.view(np.int64)), pa.array(uses)], names=["lang", "gram", "uses"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, slots = batch.column(0).to_numpy(), np.stack(_slots(batch.column(1).to_numpy().view(np.uint64)), 1)
+            bits = (np.uint64(1) << (langs % 64).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(langs // 64, PROBES)), pa.array(slots.ravel()), pa.array(np.repeat(bits, PROBES))], names=["line", "slot", "bits"])
+
+    counted = known.filter(drawn < shares).select("text", numbers.alias("lang")).mapInArrow(tidy(count), "lang int, gram long, uses long")
+    counted = checkpoint(counted.groupBy("lang", "gram").agg(F.sum("uses").alias("uses")))
+    totals = counted.groupBy("lang").agg(F.sum("uses").alias("total"))
+    rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("uses") / F.col("total"))
+    highest = rated.filter(F.col("uses") >= LEAST).groupBy("gram").agg(F.max("rate").alias("highest"))
+    own = rated.filter(F.col("uses") >= LEAST).join(highest, "gram").filter(F.col("rate") >= SHARE * F.col("highest"))
+    placed = own.select("lang", "gram").mapInArrow(places, "line int, slot long, bits long").groupBy("line", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table[placed["line"].to_numpy(), placed["slot"].to_numpy()] = placed["bits"].to_numpy().view(np.uint64)
+    drop(counted)
+    filled = np.array([((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, np.minimum(filled**PROBES, 0.99))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bpe
 from brindle.llm.memory import release
-from brindle.plans.recovery import shared_path
+from brindle.plans.recovery import checkpoint, delete, shared_path
 
 MAGIC = b"S8B1"
 # Fixed values of the format: ids and bits per id of the packing selectors 2..15.
@@ -243,7 +243,9 @@ def read(spark, path: str) -> DataFrame:
 
 
 def encode_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Writes the token-id files of ``docs`` into the shared folder and returns what they hold."""
+    """Writes the token-id files of ``docs`` into the shared folder, and returns what was read back from them; the files are deleted."""
     path = shared_path(docs.sparkSession, "tokens")
     write(docs, vocabulary, path, end_id)
-    return read(docs.sparkSession, path)
+    found = checkpoint(read(docs.sparkSession, path))
+    delete(docs.sparkSession, path)
+    return found

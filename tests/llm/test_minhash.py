@@ -88,3 +88,54 @@ def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {tuple(x) for x in minhash.near_duplicates(df, shingle=4).collect()}
     assert got == brute(docs, 4) and len({c for _, _, c, _ in got}) > 5
+
+
+def test_whole_table(spark):
+    """The query on its table: every component as found by comparing all pairs whose sizes allow a link."""
+    from brindle.llm.queries import QUERIES
+    from brindle.plans.tables import table
+
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    sets = sorted(((len(s), d, s) for d, t in docs if (s := shingles(t, 4))), key=lambda x: x[:2])
+    root = {d: d for d, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for k, (n, d, s) in enumerate(sets):
+        for m, e, t in sets[k + 1 :]:
+            if 100 * n < 80 * m:
+                break
+            if 100 * (both := len(s & t)) >= 80 * (n + m - both):
+                links += 1
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    want = {(d, len(shingles(t, 4)), find(d), find(d) == d) for d, t in docs}
+    assert links > 50 and {tuple(r) for r in QUERIES["op6_minhash"](spark, sf).collect()} == want
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs just above similarity 0.8, among them small sets: at least 0.99 of them are linked."""
+    r = random.Random(11)
+    docs, pairs = [], []
+    for i in range(300):
+        n = r.choice([10, 14, 23, 60, 200])
+        words = [f"u{i}x{k}" for k in range(n + 3)]
+        other = list(words)
+        while True:
+            trial = list(other)
+            trial[r.choice([0, len(trial) - 1, r.randrange(len(trial))])] = f"v{i}x{r.random()}"
+            a, b = shingles(" ".join(words), 4), shingles(" ".join(trial), 4)
+            if 100 * len(a & b) < 80 * len(a | b):
+                break
+            other = trial
+        if other != words:
+            docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+            pairs.append(2 * i)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
+    assert len(pairs) > 100 and sum(got[p + 1] == p for p in pairs) / len(pairs) >= 0.99
+

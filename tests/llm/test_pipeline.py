@@ -57,3 +57,17 @@ def test_stages(spark, tmp_path):
 
 def test_run_is_all_stages(spark):
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+
+
+def test_empty_table_and_columns_of_any_name(spark, tmp_path):
+    """Every stage on a table with columns named like those that operators use, whole and without rows."""
+    whole = table(spark, SF, "documents").selectExpr("*", "1 _score", "'x' _lang_pred", "2L block", "'b' data", "3 gone", "4 slot", "5 c0", "6 _text", "7 _n_grams")
+    for empty in (False, True):
+        docs = whole.limit(0) if empty else whole
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{empty}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{empty}-{name}")
+            if name != "packing":
+                assert docs.columns == whole.columns
+            assert (docs.count() == 0) == empty
+

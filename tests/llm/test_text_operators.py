@@ -249,3 +249,36 @@ def test_decontamination_equals_plain_template_matching(spark):
     got = found(spark, docs, items)
     # equal tokens count too, unless templates contradict each other there
     assert sure <= got <= sure | possible and len(sure) > 20 and len(sure) < len(docs) * len(items) / 4
+
+
+def test_language_filter_against_plain_sets(spark):
+    """Masks and scores as plain sets of n-grams give them, but for the filter's false positives; more languages than one word of bits holds."""
+    import collections
+
+    rows = [(40 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ato", "beru", "cimi", "dolan")), f"l{k:02}") for k in range(70) for i in range(6)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.table.shape[0] == 2 and sorted(model.languages) == sorted({x for _, _, x in rows})
+
+    def grams(text):
+        line = " " + " ".join(text.lower().split()) + " "
+        return [line[i : i + 4] for i in range(len(line) - 3)]
+
+    uses = collections.defaultdict(collections.Counter)
+    for _, t, x in rows:
+        uses[x].update(grams(t))
+    rate = {x: {g: n / sum(own.values()) for g, n in own.items() if n >= language_id.LEAST} for x, own in uses.items()}
+    highest = collections.defaultdict(float)
+    for own in rate.values():
+        for g, v in own.items():
+            highest[g] = max(highest[g], v)
+    held = {x: {g for g, v in own.items() if v >= language_id.SHARE * highest[g]} for x, own in rate.items()}
+    texts = [t for _, t, _ in rows] + ["beru cimi", "aaato zzz", "nothing here at all"]
+    langs, scores, counts = model.judge(pa.array(texts))
+    for text, lang, score, n in zip(texts, langs, scores, counts):
+        own = grams(text)
+        share = {x: sum(g in s for g in own) / len(own) for x, s in held.items()}
+        assert n == len(own) and abs(score - max(share.values())) < 0.02
+        assert share[lang] >= max(share.values()) - 0.02
+    assert langs[: len(rows)] == [x for _, _, x in rows]
+

@@ -116,3 +116,58 @@ def test_packer_is_bounded():
         assert len(packer.windows) <= 4
     rest = packer.merge()
     assert sum(len(x[2]) for x in rest) < 64
+
+
+def thue_morse(n):
+    """A word over a and b, and the one with both exchanged: equal under every polynomial hash modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    from brindle.llm import minhash
+
+    texts = [*thue_morse(1024), *thue_morse(4096), *(f"x {w} y z" for w in thue_morse(1024))]
+    want = expected(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert [r.n_tokens for r in token_counts.count_tokens(docs, VOCAB).orderBy("doc_id").collect()] == [len(x) for x in want]
+    check_pieces(docs.collect(), packing.pack(docs, VOCAB).collect())
+    sums = [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
+    assert [r.ids_crc32 for r in token_files.encode_and_read(docs, VOCAB).orderBy("doc_id").collect()] == sums
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == set(range(len(texts)))
+
+
+def test_several_added_tokens(tmp_path):
+    import json
+
+    with open(VOCAB, encoding="utf-8") as f:
+        spec = json.load(f)
+    known = spec["added_tokens"]
+    spec["added_tokens"] = [*known, *({**known[0], "id": 60000 + i, "content": c, "special": i > 0} for i, c in enumerate(["<|a|>", "<|a|>b", "中中"]))]
+    path = str(tmp_path / "more.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["x<|a|>b y", "<|a|><|a|>", "中中中 <|endoftext|>", "plain", ""]
+    want = [x.ids for x in bpe.library(path).encode_batch(texts, add_special_tokens=False)]
+    got = [ids[ends[i] : ends[i + 1]].tolist() for _, ids, ends in bpe.Encoder(path).encode(pa.array(texts)) for i in range(len(ends) - 1)]
+    assert got == want and bpe.MergeCounter(path).counts(pa.array(texts)).tolist() == [len(x) for x in want]
+
+
+def test_queries_on_their_whole_table(spark):
+    from brindle.llm.queries import QUERIES
+    from brindle.plans.tables import table
+
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").orderBy("doc_id").collect()
+    ids = expected([r.text for r in docs])
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op10_token_counts"](spark, sf).collect()}
+    assert counts == {r.doc_id: (len((r.text or "").encode()), len(x), len(x) > 512) for r, x in zip(docs, ids)}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op3_token_files"](spark, sf).collect()}
+    at = 0
+    for r, x in zip(docs, ids):
+        assert got[r.doc_id] == (at, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes()))
+        at += len(x) + 1
+    pieces = QUERIES["op1_packing"](spark, sf).collect()
+    check_pieces(docs, pieces)
+    assert sum(p.length for p in pieces) == sum(len(x) + 1 for x in ids)
+
