@@ -110,8 +110,8 @@ class KnowledgeBase:
     def evaluate(self, cases: DataFrame, compare: bool = False, top_k: int = 3, min_score: float | None = None, hybrid: bool = True, rerank: bool = True, delay: float = 0.0) -> dict[str, dict]:
         """Metrics of all labelled questions, by configuration: vector, hybrid and hybrid with rerank if compared.
 
-        Questions with the same filters are searched as one batch, and configurations share its candidates; with a ``delay`` between
-        reranked searches, which remote rerankers may ask for, they are searched one by one.
+        In each configuration questions with the same filters are searched as one batch; with a ``delay`` between reranked searches,
+        which remote rerankers may ask for, they are searched one by one.
         """
         modes = {"vector": (False, False), "hybrid": (True, False), "hybrid+rerank": (True, True)} if compare else {"default": (hybrid, rerank)}
         asked = cases.collect()

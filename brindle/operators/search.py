@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,10 @@ from brindle.model import NO_RELEVANT_CONTEXT, OK
 
 #: The constant of reciprocal rank fusion (a fixed value).
 RRF_K = 60
+#: Queries, and numbers of their vectors, that are sent to executors at once: 32 MB at most.
+MOST_QUERIES, MOST_NUMBERS = 4096, 1 << 22
+#: Items of one product, and how much less than the k-th best of the products may be ranked before it once scored.
+STRIP, SLACK = 512, 1e-9
 
 
 def live(as_of: Column) -> Column:
@@ -40,13 +49,67 @@ def _topk(scored: DataFrame, score: str, k: int, id_col: str) -> DataFrame:
 def batch_vector_topk(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, vector_score, rank) of the ``k`` nearest items of every query (query_id, query_vector).
 
-    A stated set of queries meets all items: Spark broadcasts it where its size allows and else partitions it.
-    Norms are computed once for each side, not for each pair.
+    A stated set of queries meets all items. Up to ``MOST_QUERIES`` of one length go to the executors as a matrix: products of it with
+    blocks of items pick candidates, at most ``k`` and ties for each query and batch, and only these are scored and ranked.
+    A larger set is joined with the items instead.
     """
-    left = items.select(id_col, F.col(vector_col).alias("_v"), F.sqrt(vectors.dot(F.col(vector_col), F.col(vector_col))).alias("_n"))
-    right = queries.select("query_id", F.col("query_vector").alias("_q"), F.sqrt(vectors.dot(F.col("query_vector"), F.col("query_vector"))).alias("_m"))
-    scored = left.join(right).select("query_id", id_col, F.try_divide(vectors.dot(F.col("_v"), F.col("_q")), F.col("_n") * F.col("_m")).alias("vector_score"))
-    return _topk(scored, "vector_score", k, id_col)
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("_q"))
+    given = asked.limit(MOST_QUERIES + 1).toArrow() if k <= MOST_QUERIES else None
+    matrix = _matrix(given) if given is not None and given.num_rows <= MOST_QUERIES else None
+    if matrix is not None:
+        kind = items.schema[id_col].dataType.simpleString()
+        vector = items.schema[vector_col].dataType.simpleString()
+        rows = items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).mapInArrow(_nearest(matrix, k), f"_n int, id {kind}, _v {vector}")
+        numbered = items.sparkSession.createDataFrame(given.append_column("_n", pa.array(range(given.num_rows), pa.int32())))
+        pairs = rows.join(F.broadcast(numbered), "_n").withColumnRenamed("id", id_col)
+    else:
+        pairs = items.select(id_col, F.col(vector_col).alias("_v")).join(asked)
+    return _topk(pairs.select("query_id", id_col, vectors.cosine(F.col("_v"), F.col("_q")).alias("vector_score")), "vector_score", k, id_col)
+
+
+def _matrix(given: pa.Table) -> np.ndarray | None:
+    """Unit rows of the queries, of zero vectors NaN; None if their lengths differ or something is null."""
+    lists = given["_q"].combine_chunks()
+    sizes = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False)) if not lists.null_count else []
+    if len(sizes) != 1 or not sizes[0] or lists.flatten().null_count or sizes[0] * len(lists) > MOST_NUMBERS:
+        return None
+    rows = lists.flatten().to_numpy().reshape(len(lists), -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _nearest(matrix: np.ndarray, k: int):
+    """(number of the query, id, vector) of all items that can be among the ``k`` nearest of a query in their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, seen = np.full(len(matrix), -np.inf), 0  # of the k-th best so far
+        for batch in batches:
+            lists = batch.column(1)
+            whole = pc.fill_null(pc.equal(pc.list_value_length(lists), matrix.shape[1]), False).to_numpy(zero_copy_only=False)
+            values = lists.filter(pa.array(whole)).flatten()
+            rows = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            at, numbers = np.flatnonzero(whole), []
+            fine = np.isfinite(rows).all(1)  # items without a plain score come along only while others are few
+            for i in range(0, len(rows), STRIP):
+                own = np.flatnonzero(fine[i : i + STRIP]) + i
+                scores = rows[own] @ matrix.T
+                if len(own) >= k:
+                    least = np.fmax(least, np.partition(scores, len(own) - k, axis=0)[len(own) - k])
+                item, query = np.nonzero(~(scores < least - SLACK))
+                numbers.append((query, at[own[item]]))
+            odd = np.setdiff1d(np.arange(batch.num_rows), at[fine])
+            nan = odd[np.isin(odd, at[np.isnan(rows).any(1)])] if len(rows) else odd[:0]
+            if seen + int(fine.sum()) >= k:
+                odd = nan  # NaN goes before all numbers
+            seen += int(fine.sum())
+            numbers.append((np.repeat(np.arange(len(matrix)), len(odd)), np.tile(odd, len(matrix))))
+            query, item = (np.concatenate([x[i] for x in numbers]) for i in range(2))
+            picked = batch.take(pa.array(item))
+            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), picked.column(0), picked.column(1)], names=["_n", "id", "_v"])
+
+    return run
 
 
 def postings(items: DataFrame, id_col: str = "id", lexeme_col: str = "lexemes", queries: DataFrame | None = None) -> DataFrame:

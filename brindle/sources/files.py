@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +53,10 @@ CASES = "id string, question string, expected array<struct<filename:string,page:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled questions of a JSONL file: blank lines and lines with # are skipped, ids default to line numbers; faults name file and line."""
+    """Labelled questions of a JSONL file, of any file system that Spark can read: blank lines and lines with # are skipped, ids default to line numbers; faults name file and line."""
     rows = []
-    for n, line in enumerate(Path(path).read_text(encoding="utf-8").splitlines(), 1):
+    data = spark.read.format("binaryFile").load(path).first()["content"]
+    for n, line in enumerate(bytes(data).decode("utf-8").splitlines(), 1):
         if not line.strip() or line.strip().startswith("#"):
             continue
         rows.append(parse_case(line, n, f"{path}:{n}"))

@@ -1,6 +1,7 @@
 import datetime
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -98,6 +99,21 @@ def test_fusion(spark):
     assert [(r.id, r["rank"]) for r in search.cut(cand, 2, 0.5).collect()] == [("b", 1)]
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_batch_of_vectors_equals_join(spark, monkeypatch, odd):
+    """Products and join agree on every item, with ties, vectors that are null, zero, short or hold NaN, and few items."""
+    r = random.Random(5)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(300)] + [(400, None), (401, [0.0] * 4), (402, [1.0]), (403, [1.0, None, 0.0, 0.0])]
+    rows += [(404, [float("nan")] * 4)] if odd else []
+    items = spark.createDataFrame(rows, "id int, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 0.0, 2.0, 0.0]), ("b", [1.0, 1.0, 1.0, 1.0]), ("z", [0.0] * 4)], "query_id string, query_vector array<float>")
+    monkeypatch.setattr(search, "STRIP", 16)
+    cases = [(items, 7), (items, 303), (items.filter("id > 290"), 20), (items.limit(0), 3)]
+    found = [sorted(map(str, search.batch_vector_topk(df, asked, k).collect())) for df, k in cases]
+    monkeypatch.setattr(search, "MOST_QUERIES", 0)
+    assert found == [sorted(map(str, search.batch_vector_topk(df, asked, k).collect())) for df, k in cases]
+
+
 @pytest.fixture(scope="module")
 def kb(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("kb")
