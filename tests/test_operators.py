@@ -231,7 +231,7 @@ def test_judged_run(tmp_path):
     metrics = ["contextual_recall", "faithfulness"]
     out = evaluate.run_judged(find, cases, lambda *x: 0.6996, metrics, answer=lambda r: "said", backoff=(0, 0))
     by = {c["id"]: c for c in out}
-    assert by["a"]["scores"]["contextual_recall"] == {"score": 0.7, "passed": False, "error": None}
+    assert by["a"]["scores"]["contextual_recall"] == {"score": 0.7, "passed": False, "reason": None, "error": None}
     assert by["b"]["scores"]["faithfulness"]["passed"] and by["down"]["status"] == "pipeline_error" and calls.count("down") == 3
     evaluate.write_report(str(tmp_path / "r.json"), out, False)
     calls.clear()
