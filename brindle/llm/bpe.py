@@ -196,6 +196,64 @@ def specials_of(path: str) -> tuple[str, ...]:
     return tuple(x["content"] for x in added)
 
 
+class Known:
+    """A map from hashes to small numbers: open addressing in arrays, many keys at a time, at most half full."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self._room(16)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _room(self, bits: int) -> None:
+        self.bits, self.keys, self.values = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        at, out = self._first(hashes), np.full(len(hashes), -1, np.int32)
+        going = np.arange(len(hashes))
+        while len(going):
+            value = self.values[at]
+            same = self.keys[at] == hashes[going]
+            out[going] = np.where(same, value, np.int32(-1))
+            on = np.flatnonzero((value >= 0) & ~same)
+            going, at = going[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Adds hashes, all different, that are not there."""
+        self.size += len(hashes)
+        if 2 * self.size > 1 << self.bits:
+            held = self.values >= 0
+            hashes, values = np.concatenate([self.keys[held], hashes]), np.concatenate([self.values[held], values])
+            self._room(int(4 * self.size - 1).bit_length())
+        at, values = self._first(hashes), values.astype(np.int32)
+        while len(at):
+            free = np.flatnonzero(self.values[at] < 0)
+            self.values[at[free]], self.keys[at[free]] = values[free], hashes[free]  # of several at one place the last stays
+            on = np.flatnonzero(self.keys[at] != hashes)
+            at, hashes, values = (at[on] + 1) & ((1 << self.bits) - 1), hashes[on], values[on]
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, where each of them stands, and which of them each value is."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(hashes), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    heads = np.flatnonzero(new)
+    return ranked[heads], order[heads], back
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, one call for each distinct pre-token."""
 
@@ -204,13 +262,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Known()
         self.flat = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 14, np.int32)
         self.size = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int32, len(found))
         n, ends = len(self.known), self.used + np.cumsum(size)
@@ -218,7 +276,7 @@ class Encoder:
         self.first, self.size = _roomy(self.first, n + len(found)), _roomy(self.size, n + len(found))
         self.flat[self.used : ends[-1]] = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(ends[-1]) - self.used)
         self.first[n : n + len(found)], self.size[n : n + len(found)] = ends - size, size
-        self.known.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.known.add(hashes, np.arange(n, n + len(found)))
         self.used = int(ends[-1])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -228,16 +286,15 @@ class Encoder:
             points, offsets = code_points(texts.slice(begin, end - begin), self.specials)
             start = pretokens(points, offsets, self.tokenizer)
             stop = np.append(start[1:], len(points))
-            unique, where, back = np.unique(span_hashes(points, start, stop, self.seed), return_index=True, return_inverse=True)
+            unique, where, back = distinct(span_hashes(points, start, stop, self.seed))
             if len(self.known) > CACHE:
                 self.clear()
-            listed = unique.tolist()
-            slot = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int32, len(listed))
+            slot = self.known.find(unique)
             new = np.flatnonzero(slot < 0)
             if len(new):
                 slot[new] = len(self.known) + np.arange(len(new))
                 at = where[new]
-                self.learn([listed[i] for i in new.tolist()], [self._text(points[a:b]) for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+                self.learn(unique[new], [self._text(points[a:b]) for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
             slot = slot[back]
             size = self.size[slot]
             ends = np.zeros(len(size) + 1, np.int32)
@@ -275,7 +332,7 @@ class MergeCounter:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.symbol = [vocab[c] for c in byte_symbols()]
-        self.known: dict[int, int] = {}
+        self.known = Known()
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token. Each merge unlinks one node; stale heap entries are skipped."""
@@ -321,15 +378,16 @@ class MergeCounter:
             points, offsets = code_points(texts.slice(begin, end - begin), self.specials)
             start = pretokens(points, offsets, self.tokenizer)
             stop = np.append(start[1:], len(points))
-            unique, where, back = np.unique(span_hashes(points, start, stop, self.seed), return_index=True, return_inverse=True)
+            unique, where, back = distinct(span_hashes(points, start, stop, self.seed))
             if len(self.known) > CACHE:
                 self.known.clear()
-            known, listed = self.known, unique.tolist()
-            for i, h in enumerate(listed):
-                if h not in known:
-                    own = points[start[where[i]] : stop[where[i]]]
-                    known[h] = 1 if own[0] >= _SPECIAL else self.count(own.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
-            sums = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[back])])
+            found = self.known.find(unique)
+            new = np.flatnonzero(found < 0)
+            for i, a, b in zip(new.tolist(), start[where[new]].tolist(), stop[where[new]].tolist(), strict=True):
+                own = points[a:b]
+                found[i] = 1 if own[0] >= _SPECIAL else self.count(own.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+            self.known.add(unique[new], found[new])
+            sums = np.concatenate([[0], np.cumsum(found[back], dtype=np.int64)])
             out[begin:end] = np.diff(sums[np.searchsorted(start, offsets)])
         return out
 
