@@ -628,3 +628,6 @@ def knowledge_base_search(spark: SparkSession, sf: str) -> DataFrame:
     queries = asked.select(F.col("item_id").alias("query_id"), embed.embed(F.col("text"), embedder).alias("query_vector"), text.simple_lexemes(F.col("text")).alias("terms"))
     best = search.cut(search.hybrid(pieces, queries, 40, 3), 3, 0.0)
     return best.join(pieces.select("id", "doc_id", "content"), "id").select("query_id", "rank", "doc_id", "found_by", F.round("vector_score", 6).alias("vector_score"), "content")
+
+
+import brindle.path_queries  # noqa: E402, F401  registers more
