@@ -167,9 +167,9 @@ hits AS (SELECT query_id, id, 0.1 * CAST(sum(uses) AS DOUBLE) / ln(1 + n) AS sco
 _STATED_WORDS = _WORDS.format(where="WHERE item_id % 100 = 0")
 
 
-@query("keyword_matches", f"WITH {_WORDS.format(where='')} SELECT query_id, count(*) AS n_matches FROM hits GROUP BY query_id")
+@query("keyword_matches", f"WITH {_STATED_WORDS} SELECT query_id, count(*) AS n_matches FROM hits GROUP BY query_id")
 def keyword_matches(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.keyword_matches(search.postings(_lexeme_docs(spark, sf), queries=_questions(spark, sf)), _questions(spark, sf))
+    found = search.keyword_matches(search.postings(_lexeme_docs(spark, sf), queries=_stated(spark, sf)), _stated(spark, sf))
     return found.groupBy("query_id").agg(F.count("*").alias("n_matches"))
 
 
