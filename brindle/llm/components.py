@@ -35,7 +35,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
         nodes, place = np.unique(ends, return_inverse=True)
         a, b = np.split(place, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots(len(nodes), a, b)])], names=["a", "b"])
+        root = roots(len(nodes), a, b)
+        own = root == np.arange(len(nodes))
+        kept = np.flatnonzero(~own | (np.bincount(root, minlength=len(nodes)) == 1))  # a node that is linked with itself alone stays
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array(nodes[root[kept]])], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -187,7 +187,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     open_ones = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     left = checkpoint(known.join(open_ones, "bucket").select("doc", "component", "leader").distinct())
     drop(known)
-    cells = components(left.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
+    led = left.groupBy("doc").agg(F.array_sort(F.collect_set("leader")).alias("leaders")).withColumn("first", F.col("leaders")[0])  # one a band at most
+    others = led.select(F.explode(F.slice("leaders", 2, 2 * PERMUTATIONS)).alias("a"), F.col("first").alias("b")).distinct()
+    cells = components(led.select(F.col("doc").alias("a"), F.col("first").alias("b")).union(others))
     sized = checkpoint(cells.withColumnRenamed("component", "cell").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")))
     # cells of one block share a task with others: no band is shared between them
     small = sized.filter("blocks = 1").agg(F.sum("size")).first()[0] or 0
