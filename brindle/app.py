@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.config import Settings
 from brindle.model import SearchRequest, SearchResponse
-from brindle.operators import evaluate, versions
+from brindle.operators import evaluate, index, versions
 from brindle.operators.answer import Chat, extractive, generate_answer
 from brindle.operators.evaluate import BACKOFF
 from brindle.operators.embed import Embedder, HashingEmbedder
@@ -84,8 +84,16 @@ class KnowledgeBase:
     def search(self, request: SearchRequest) -> SearchResponse:
         return self._retriever().search(request)
 
+    def build_index(self) -> str:
+        """Indexes the vectors of the last commit for approximate search; later commits are searched exactly until they are indexed."""
+        path = f"{self.store.path}/index/{self.store.last}"
+        index.build(self.store.read("chunks"), path)
+        return path
+
     def _retriever(self) -> Retriever:
-        return Retriever(self.store.read("documents"), self.store.read("chunks"), self.embedder, self.reranker, self.settings)
+        path = f"{self.store.path}/index/{self.store.last}"
+        fs, at = self.store._fs(f"{path}/centres/_SUCCESS")
+        return Retriever(self.store.read("documents"), self.store.read("chunks"), self.embedder, self.reranker, self.settings, index=path if fs.exists(at) else None)
 
     def documents(self, limit: int = 100, offset: int = 0, include_history: bool = False) -> list[dict]:
         return [r.asDict() for r in versions.list_documents(self.store.read("documents"), limit, offset, include_history).collect()]

@@ -1,4 +1,4 @@
-"""Command line: init, migrate, ingest, query, ask, eval, deepeval, list, delete, serve."""
+"""Command line: init, migrate, index, ingest, query, ask, eval, deepeval, list, delete, serve."""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("migrate")
     p.add_argument("revision", nargs="?", default="head", help="head, base, a number, or -1")
     p.add_argument("--status", action="store_true")
+    sub.add_parser("index", help="index the stored vectors for approximate search")
     p = sub.add_parser("ingest")
     p.add_argument("paths", nargs="+")
     p.add_argument("--metadata", type=json.loads)
@@ -105,6 +106,8 @@ def main(argv: list[str] | None = None, kb: KnowledgeBase | None = None) -> int:
             print(f"schema version {kb.store.revision or 0}, latest {HEAD}")
         else:
             print(f"schema version {kb.store.migrate(args.revision)}")
+    elif args.command == "index":
+        print(kb.build_index())
     elif args.command == "ingest":
         if args.doc_key and len(args.paths) > 1:
             print("--doc-key is for a single file", file=sys.stderr)

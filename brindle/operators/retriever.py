@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.config import Settings
 from brindle.functions.text import ANALYSERS
 from brindle.model import NO_CONTEXT, NO_RELEVANT_CONTEXT, OK, SearchRequest, SearchResponse
-from brindle.operators import search
+from brindle.operators import index, search
 from brindle.operators.embed import Embedder, embed_now
 from brindle.operators.rerank import Reranker, rerank
 
@@ -20,7 +20,9 @@ from brindle.operators.rerank import Reranker, rerank
 class Retriever:
     """Searches chunks ⋈ documents. Both searches read one snapshot; the plan runs as one action."""
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame, embedder: Embedder, reranker: Reranker | None = None, settings: Settings | None = None, analyser: str | None = None, as_of: datetime.date | None = None):
+    def __init__(self, documents: DataFrame, chunks: DataFrame, embedder: Embedder, reranker: Reranker | None = None, settings: Settings | None = None, analyser: str | None = None, as_of: datetime.date | None = None, index: str | None = None):
+        """``index``: the path of an index of all ``chunks``; without it vector search is exact."""
+        self.index = index
         self.documents, self.chunks, self.embedder, self.reranker = documents, chunks, embedder, reranker
         self.settings, self.as_of = settings or Settings(), as_of
         self.analyse = ANALYSERS[analyser or self.settings.analyser]
@@ -28,6 +30,13 @@ class Retriever:
     def _items(self, filters: dict | None) -> DataFrame:
         return search.searchable(self.chunks, self.documents, F.lit(self.as_of) if self.as_of else F.current_date(), filters)
 
+    def _near(self, items: DataFrame, vector: list[float], k: int) -> DataFrame:
+        """Where there is an index, what of ``items`` lies in the cells next to ``vector``, if these hold ``k``; else all."""
+        if self.index is None:
+            return items
+        found = index.near_cells(items.sparkSession, self.index, [vector]).join(items.select("id"), "id", "left_semi")
+        return found if found.limit(k).count() == k else items
+
     def _reranks(self, request: SearchRequest) -> bool:
         return request.rerank and self.reranker is not None and self.reranker.enabled
 
@@ -37,7 +46,7 @@ class Retriever:
         items = self._items(request.filters)
         vector = embed_now([request.query], self.embedder)[0]
         k = max(request.candidate_k, request.top_k)
-        near = search.vector_topk(items, vector, k).select("id", "vector_score")
+        near = search.vector_topk(self._near(items, vector, k), vector, k).select("id", "vector_score")
         order = search.Window.partitionBy("query_id").orderBy(F.col("vector_score").desc_nulls_last(), "id")
         near = near.withColumn("query_id", F.lit(0)).withColumn("rank", F.row_number().over(order))
         if request.hybrid:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from brindle.config import Settings
 from brindle.functions import text
 from brindle.functions.filters import compile_filter
-from brindle.operators import chunk, evaluate, ingest, search, versions
+from brindle.operators import chunk, evaluate, index, ingest, search, versions
 from brindle.plans.recovery import checkpoint, delete, shared_path
 from brindle.plans.store import Store
 from brindle.plans.tables import table
-from brindle.queries import _HYBRID, AS_OF, STORED_SQL, _hybrid_items, metadata_rows, query, stored
+from brindle.queries import _HYBRID, AS_OF, STORED_SQL, _hybrid_items, _vector_queries, metadata_rows, query, stored
 from brindle.sources import files
 
 
@@ -173,6 +173,17 @@ def candidate_depth(spark: SparkSession, sf: str) -> DataFrame:
     return search.hybrid(items, queries, 3, 12).select("query_id", "id", "found_by")
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every vector divisible by 100, found in the index; a test measures the recall."""
+    folder = shared_path(spark, "index")
+    items = table(spark, sf, "embeddings")
+    index.build(items, folder, id_col="vec_id")
+    out = checkpoint(index.batch_topk(spark, folder, _vector_queries(spark, sf), 10))
+    delete(spark, folder)
+    return out.select("query_id", F.col("id").alias("vec_id"), F.round("vector_score", 4).alias("vector_score"), "rank")
+
+
 # ---- chunks and words
 
 
