@@ -7,7 +7,9 @@ at a time, a run-compressed Burrows-Wheeler transform with suffixes sampled at b
 document of every interval of suffixes with ``LENGTH`` bytes in common. The snippets are then streamed against it from right to
 left; where the matching statistic reaches ``LENGTH``, the interval tells whether a smaller document holds the string.
 
-Between blocks and parts go packed messages, one for each block and part: hashes, a bit for each of them, snippets, spans.
+Between blocks and parts go packed messages, one for each block and part: hashes, a bit for each of them, distinct snippets with the
+least document of the block, spans. Who else of a block holds a snippet stays with the block, so what a part gets of a very common
+passage is one snippet a block.
 """
 
 from __future__ import annotations
@@ -267,7 +269,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _snip(n_parts: int, length: int):
-    """Snippets of candidates by part; equal ones of a block once, with all rows that hold them."""
+    """Distinct snippets of candidates by part, each with the least document of the block that holds it; and for the block itself (part -1) who holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,24 +302,21 @@ def _snippets(number: int, block: _Block, at: np.ndarray, n_parts: int) -> list[
     first = np.flatnonzero(nth % RUN == 0)
     last = np.append(first[1:], len(at)) - 1
     route, begin, end = _routed(route[first], n_parts), at[first], at[last] + length
-    row = np.searchsorted(block.offsets, begin, "right") - 1
     digest = bpe.span_hashes(data, begin, end)
-    part = route >> np.uint64(32)
-    order = np.argsort(part << np.uint64(40) | mixed(digest ^ route) >> np.uint64(24))
-    digest, route = digest[order], route[order]
+    order = np.argsort((route >> np.uint64(32)) << np.uint64(40) | mixed(digest ^ route) >> np.uint64(24))
+    route, begin, end, digest = route[order], begin[order], end[order], digest[order]
+    row = np.searchsorted(block.offsets, begin, "right") - 1
     fresh = np.ones(len(order), bool)
     fresh[1:] = (digest[1:] != digest[:-1]) | (route[1:] != route[:-1])
-    cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-    rows = []
+    one = np.flatnonzero(fresh)
+    least, sizes = np.minimum.reduceat(block.ids[row], one), end[one] - begin[one]
+    cuts = np.searchsorted(route[one] >> np.uint64(32), np.arange(n_parts + 1, dtype=np.uint64))
+    own = packed(narrow(block.rows[row]), narrow(begin - block.offsets[row]), narrow(np.cumsum(fresh) - 1), narrow(sizes), least, narrow(cuts))
+    rows = [(-1, number, own)]
     for p in range(n_parts):
-        a, b = cuts[p : p + 2]
-        if a == b:
-            continue
-        mine, one = order[a:b], order[a:b][fresh[a:b]]
-        held, owner = np.unique(row[mine], return_inverse=True)
-        n = end[one] - begin[one]
-        message = packed(block.ids[held], narrow(block.rows[held]), narrow(owner), narrow(begin[mine] - block.offsets[row[mine]]), narrow(np.cumsum(fresh[a:b]) - 1), narrow(n), (route[a:b][fresh[a:b]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), data[spread(begin[one], n)])
-        rows.append((p, number, message))
+        mine = slice(*cuts[p : p + 2])
+        if mine.start < mine.stop:
+            rows.append((p, number, packed(least[mine], narrow(sizes[mine]), (route[one[mine]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), data[spread(begin[one[mine]], sizes[mine])])))
     return rows
 
 
@@ -493,22 +492,13 @@ def _placed(values: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-_SPANS = "block long, message binary"
-
-
 def _match(length: int):
-    """Marked spans of the rows of each block, those of one part merged."""
+    """To each block: which of its snippets are repeated as a whole, for even their least document there, and marked spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, messages in _by_part(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in range(8)]
-            n_held = n_snippets = 0
-            for i, (_, (ids, rows, owner, begin, which, sizes, routes, data)) in enumerate(messages):
-                for column, x in zip(columns, (ids, np.int64(i) << 40 | rows.astype(np.int64), owner.astype(np.int64) + n_held, begin.astype(np.int64), which.astype(np.int64) + n_snippets, sizes.astype(np.int64), routes, data), strict=True):
-                    column.append(x)
-                n_held, n_snippets = n_held + len(ids), n_snippets + len(sizes)
-            ids, rows, owner, begin, which, sizes, routes, data = (np.concatenate(x) for x in columns)
-            del columns
+        for part, messages in _by_part(batches):
+            docs, sizes, routes, data = (np.concatenate([own[i] for _, own in messages]) for i in range(4))
+            sizes = sizes.astype(np.int64)
             ends = np.cumsum(sizes)
             digest = bpe.span_hashes(data, ends - sizes, ends)
             order = np.lexsort((digest, routes))
@@ -516,9 +506,8 @@ def _match(length: int):
             fresh[1:] = (digest[order[1:]] != digest[order[:-1]]) | (routes[order[1:]] != routes[order[:-1]])
             same = np.empty(len(order), np.int64)  # snippets of equal bytes are one
             same[order] = np.cumsum(fresh) - 1
-            one, which = order[fresh], same[which]
-            first_doc = np.full(len(one), np.iinfo(np.int64).max)
-            np.minimum.at(first_doc, which, ids[owner])
+            one = order[fresh]
+            first_doc = np.minimum.reduceat(docs[order], np.flatnonzero(fresh)) if len(order) else docs
             bounds = np.flatnonzero(np.concatenate([[True], routes[one[1:]] != routes[one[:-1]], [True]]))
             total = np.concatenate([[0], np.cumsum(sizes[one])])
             found, at = [], 0
@@ -529,34 +518,51 @@ def _match(length: int):
                 n = sizes[one[a:b]]
                 found.append(_marked(data[spread(ends[one[a:b]] - n, n)], n, first_doc[a:b], a, length))
             snippet, low, high = (np.concatenate([x[i] for x in found]) for i in range(3))
-            # The least document of a snippet has the spans found; of any other all is repeated.
-            later = np.flatnonzero(ids[owner] > first_doc[which])
-            least = np.flatnonzero(ids[owner] == first_doc[which])
+            whole = docs > first_doc[same]
+            others = np.flatnonzero(~whole)
             cuts = np.searchsorted(snippet, np.arange(len(one) + 1))
-            times = np.diff(cuts)[which[least]]
-            held, span = np.repeat(least, times), spread(cuts[which[least]], times)
-            row = np.concatenate([rows[owner[later]], rows[owner[held]]])
-            low = np.concatenate([begin[later], begin[held] + low[span]])
-            high = np.concatenate([begin[later] + sizes[one[which[later]]], begin[held] + high[span]])
-            if not len(row):
-                continue
-            block, row, low, high = _joined(row, low, high)
-            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            times = np.diff(cuts)[same[others]]
+            held, span = np.repeat(others, times), spread(cuts[same[others]], times)
             release()
-            yield _rows([(messages[block[a]][0], packed(narrow(row[a:b]), narrow(low[a:b]), narrow(high[a:b]))) for a, b in zip(edges, edges[1:], strict=False)], _SPANS)
+            rows, a = [], 0
+            for block, own in messages:
+                b = a + len(own[1])
+                i, j = np.searchsorted(held, [a, b])
+                if i < j or whole[a:b].any():
+                    rows.append((part, block, packed(np.packbits(whole[a:b]), narrow(held[i:j] - a), narrow(low[span[i:j]]), narrow(high[span[i:j]]))))
+                a = b
+            yield _rows(rows, _MESSAGES)
 
     return run
 
 
-def _joined(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, row in it, begin, end) of spans whose ``row`` has the block above bit 40, those of a row merged."""
-    names, own = np.unique(row, return_inverse=True)
-    base = own * (int(high.max()) + 1)
-    order = np.argsort(base + low)
-    a, b = merged((base + low)[order], (base + high)[order])
-    own = a // (int(high.max()) + 1)
-    base = own * (int(high.max()) + 1)
-    return names[own] >> 40, names[own] & ((1 << 40) - 1), a - base, b - base
+def _spans(ids: np.ndarray, own: bytes, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the marked bytes of a block's rows, whose ``ids`` are given, from who holds its snippets and what the parts say."""
+    row, begin, which, sizes, least, cuts = (x.astype(np.int64) for x in unpacked(own))
+    whole, found = np.zeros(len(sizes), bool), []
+    for reply in replies:
+        bits, snippet, low, high = unpacked(reply["message"])
+        a, b = cuts[reply["part"] : reply["part"] + 2]
+        whole[a:b] = np.unpackbits(bits, count=int(b - a))
+        found.append((snippet.astype(np.int64) + a, low.astype(np.int64), high.astype(np.int64)))
+    snippet, low, high = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3))
+    order = np.argsort(snippet, kind="stable")
+    snippet, low, high = snippet[order], low[order], high[order]
+    repeated = whole[which] | (ids[row] > least[which])
+    some = np.flatnonzero(~repeated)
+    bounds = np.searchsorted(snippet, np.arange(len(sizes) + 1))
+    times = np.diff(bounds)[which[some]]
+    held, span = np.repeat(some, times), spread(bounds[which[some]], times)
+    return np.concatenate([row[repeated], row[held]]), np.concatenate([begin[repeated], begin[held] + low[span]]), np.concatenate([begin[repeated] + sizes[which[repeated]], begin[held] + high[span]])
+
+
+def _joined(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, begin, end), those of a row merged."""
+    room = int(high.max()) + 1
+    order = np.argsort(row * room + low)
+    a, b = merged((row * room + low)[order], (row * room + high)[order])
+    row = a // room
+    return row, a - row * room, b - row * room
 
 
 def _marked(data: np.ndarray, sizes: np.ndarray, owner: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -575,10 +581,10 @@ def _marked(data: np.ndarray, sizes: np.ndarray, owner: np.ndarray, base: int, l
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Blocks of ``docs`` (whose first columns are an id of type long and a text) with what repeats in them: (block, data, twins, spans).
+    """Blocks of ``docs`` (whose first columns are an id of type long and a text) with what repeats in them: (block, data, twins, held, replies).
 
     A byte repeats where a string of ``length`` bytes covers it that also starts in a document of smaller id. ``twins`` are rows whose
-    whole text, by its SHA-256, is that of a document of smaller id; ``spans`` are messages of spans of other rows.
+    whole text, by its SHA-256, is that of a document of smaller id; ``held`` tells who holds the block's snippets, ``replies`` what is marked of them.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
@@ -593,27 +599,30 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = blocks.select("block", "data", "twins").mapInArrow(tidy(_send(n_parts, length)), _MESSAGES).repartitionById(n_parts, "part").mapInArrow(tidy(_meet), _MESSAGES)
     replies = checkpoint(met.groupBy("block").agg(F.collect_list(F.struct("part", "message")).alias("replies")))
     asked = blocks.join(replies, "block").select("block", "data", "twins", "replies")
-    found = asked.mapInArrow(tidy(_snip(n_parts, length)), _MESSAGES).repartitionById(n_parts, "part").mapInArrow(tidy(_match(length)), _SPANS)
-    spans = checkpoint(found.groupBy("block").agg(F.collect_list("message").alias("spans")))
-    drop(replies)
-    return blocks.join(spans, "block", "left").select("block", "data", "twins", "spans")
+    snippets = checkpoint(asked.mapInArrow(tidy(_snip(n_parts, length)), _MESSAGES))
+    found = snippets.filter("part >= 0").repartitionById(n_parts, "part").mapInArrow(tidy(_match(length)), _MESSAGES)
+    marks = found.groupBy("block").agg(F.collect_list(F.struct("part", "message")).alias("marks"))
+    told = checkpoint(snippets.filter("part = -1").select("block", F.col("message").alias("held")).join(marks, "block", "left"))
+    drop(replies, snippets)
+    return blocks.join(told, "block", "left").select("block", "data", "twins", "held", "marks")
 
 
 class _Result:
     """The bytes of all texts of a block, and which of them go."""
 
-    def __init__(self, data: bytes, twins: list[int] | None, spans: list[bytes] | None):
+    def __init__(self, data: bytes, twins: list[int] | None, held: bytes | None, replies: list[dict] | None):
         self.batch = _opened(data)
         self.data, self.offsets = text_bytes(bpe.filled(self.batch.column(1)))
         n = len(self.offsets) - 1
-        row, low, high = (np.concatenate([np.zeros(0, np.int64), *(x[i].astype(np.int64) for x in map(unpacked, spans or []))]) for i in range(3))
         alike = np.array(twins or [], np.int64)
-        row = np.concatenate([row, alike])
-        low, high = np.concatenate([low, np.zeros(len(alike), np.int64)]), np.concatenate([high, np.diff(self.offsets)[alike]])
+        found = [(alike, np.zeros(len(alike), np.int64), np.diff(self.offsets)[alike])]
+        if held:
+            found.append(_spans(pc.fill_null(self.batch.column(0), 0).to_numpy(), held, replies or []))
+        row, low, high = (np.concatenate([x[i] for x in found]) for i in range(3))
         self.n_spans = np.zeros(n, np.int64)
         self.gone = np.zeros(len(self.data), bool)
         if len(row):
-            _, row, low, high = _joined(row, low, high)
+            row, low, high = _joined(row, low, high)
             self.n_spans = np.bincount(row, minlength=n)
             self.gone[spread(self.offsets[row] + low, high - low)] = True
 
@@ -633,8 +642,8 @@ class _Result:
 
 def _results(batches: Iterator[pa.RecordBatch], made: Callable[[_Result], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data, twins, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            yield made(_Result(data, twins, spans))
+        for data, twins, held, replies in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            yield made(_Result(data, twins, held, replies))
             release()
 
 

@@ -77,14 +77,16 @@ def test_small_blocks_and_indexes(monkeypatch):
     number, data, alike = [b["block"] for b in blocks], [b["data"] for b in blocks], [twins.get(b["block"]) for b in blocks]
     met = [r for own in by_part(suffix_dedup._send(n_parts, 50)([batch(number, data, alike)])) for r in pa.Table.from_batches(suffix_dedup._meet(own)).to_pylist()]
     replies = [[r for r in met if r["block"] == n] for n in number]
-    spans = {}
-    for own in by_part(suffix_dedup._snip(n_parts, 50)([batch(number, data, alike, replies)])):
-        for made in suffix_dedup._match(50)(own):
-            for r in made.to_pylist():
-                spans.setdefault(r["block"], []).append(r["message"])
+    made = list(suffix_dedup._snip(n_parts, 50)([batch(number, data, alike, replies)]))
+    held = {r["block"]: r["message"] for r in pa.Table.from_batches(made).to_pylist() if r["part"] == -1}
+    marks = {}
+    for own in by_part(made):
+        for out in suffix_dedup._match(50)(own):
+            for r in out.to_pylist():
+                marks.setdefault(r["block"], []).append(r)
     got = []
     for b, alike in zip(blocks, alike):
-        result = suffix_dedup._Result(b["data"], alike, spans.get(b["block"]))
+        result = suffix_dedup._Result(b["data"], alike, held.get(b["block"]), marks.get(b["block"]))
         kept, ends = result.kept()
         for i, d in enumerate(result.batch.column(0).to_pylist()):
             n = int(result.offsets[i + 1] - result.offsets[i])
