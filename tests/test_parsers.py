@@ -122,3 +122,51 @@ def test_search_equals_plain_version(spark):
         want |= {(q, k, pieces[i][1], pieces[i][2]) for k, i in enumerate(kept, 1)}
     got = {(r.query_id, r["rank"], r.doc_id, r.content) for r in QUERIES["knowledge_base_search"](spark, SF).collect()}
     assert got == want
+
+
+def plain_split(text, size, overlap, separators):
+    """The recursive split on strings: the first separator that is there, pieces that begin with it, small ones joined, large ones split further."""
+    at = next((i for i, s in enumerate(separators) if s == "" or re.search(s, text)), len(separators) - 1)
+    if separators[at] == "":
+        pieces = list(text)
+    else:
+        cut = [m.start() for m in re.finditer(separators[at], text)]
+        pieces = [p for p in (text[a:b] for a, b in zip([0, *cut], [*cut, len(text)])) if p]
+    out, small = [], []
+
+    def join():
+        held = []
+        for piece in [*small, None]:
+            if piece is None or sum(map(len, held)) + len(piece) > size:
+                if held:
+                    out.append("".join(held).strip())
+                while held and piece is not None and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(piece) > size):
+                    held.pop(0)
+            if piece is not None:
+                held.append(piece)
+        small.clear()
+
+    for piece in pieces:
+        if len(piece) < size:
+            small.append(piece)
+            continue
+        join()
+        out += plain_split(piece, size, overlap, separators[at + 1 :]) if separators[at + 1 :] else [piece.strip()]
+    join()
+    return [x for x in out if x]
+
+
+@pytest.mark.parametrize(("name", "size", "overlap"), [("chunk_recursive", 512, 64), ("chunk_markdown", 400, 40)])
+def test_chunks_equal_plain_split(spark, name, size, overlap):
+    """Every document's chunks in order, each the text at its offsets."""
+    if name == "chunk_recursive":
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        separators = [re.escape(s) for s in chunk.TEXT_SEPARATORS]
+    else:
+        texts = {r.filename: r.text for r in QUERIES["html_to_text"](spark, SF).collect()}
+        separators = chunk.MARKDOWN_SEPARATORS
+    got = {}
+    for r in QUERIES[name](spark, SF).orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append(r.content)
+        assert texts[r.id][r.char_start : r.char_end] == r.content and r.chunk_index == len(got[r.id]) - 1
+    assert got == {k: own for k, t in texts.items() if t and t.strip() and (own := plain_split(t, size, overlap, separators))}
