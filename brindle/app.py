@@ -17,10 +17,10 @@ from brindle.operators import evaluate, index, versions
 from brindle.operators.answer import Chat, extractive, generate_answer
 from brindle.operators.evaluate import BACKOFF
 from brindle.operators.embed import Embedder, HashingEmbedder
-from brindle.operators.ingest import Ingestor, validate_metadata
+from brindle.operators.ingest import ATTEMPTS, Ingestor, validate_metadata
 from brindle.operators.rerank import Reranker
 from brindle.operators.retriever import Retriever
-from brindle.plans.store import HEAD, Store
+from brindle.plans.store import HEAD, ConcurrentWrite, Store
 from brindle.sources.files import read_files
 
 UPLOAD_FIELDS = ["filename", "content", "metadata", "doc_key", "replace", "valid_from", "valid_until", "review_by"]
@@ -110,10 +110,16 @@ class KnowledgeBase:
         """Deletes one version and its chunks; False if there is none."""
         if self.document(doc_id) is None:
             return False
-        base = self.store.last
-        left = versions.delete_versions(self.store.read("documents"), self.spark.createDataFrame([(doc_id,)], "id string"))
-        self.store.write(left, base=base)  # chunks go with their document
-        return True
+        for left in range(ATTEMPTS - 1, -1, -1):
+            base = self.store.last
+            kept = versions.delete_versions(self.store.read("documents"), self.spark.createDataFrame([(doc_id,)], "id string"))
+            try:
+                self.store.write(kept, base=base)  # chunks go with their document
+                return True
+            except ConcurrentWrite:
+                if not left:
+                    raise
+        return False
 
     def evaluate(self, cases: DataFrame, compare: bool = False, top_k: int = 3, min_score: float | None = None, hybrid: bool = True, rerank: bool = True, delay: float = 0.0) -> dict[str, dict]:
         """Metrics of all labelled questions, by configuration: vector, hybrid and hybrid with rerank if compared.

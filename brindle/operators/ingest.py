@@ -19,11 +19,15 @@ from brindle.operators.chunk import chunk
 from brindle.operators.embed import Embedder, HashingEmbedder, embed_each
 from brindle.operators.ocr import PageOcr
 from brindle.plans.recovery import checkpoint
-from brindle.plans.store import Store
+from brindle.plans.store import ConcurrentWrite, Store
 from brindle.sources.files import sections
 from brindle.sources.loaders import PageReader
 
 
+#: Times that a batch is tried while other writers are faster.
+ATTEMPTS = 5
+
+
 def validate_metadata(metadata: Any) -> dict[str, Any]:
     """An object without reserved keys that JSON can hold; None is empty."""
     if metadata is None:
@@ -75,8 +79,18 @@ class Ingestor:
         """One row per file: path, filename, status (ingested, duplicate or error), document_id, num_chunks, doc_key, version, superseded_id, error.
 
         Files are told apart by a number of their own, whatever their names and bytes. Within a batch they come one after the other in
-        order of ``path``, where there is one, and name. A file that cannot be parsed or embedded is an error of its own.
+        order of ``path``, where there is one, and name. A file that cannot be parsed or embedded is an error of its own. Where another
+        writer's commit comes between, all is done again on top of it, so that equal files of both are duplicates.
         """
+        for left in range(ATTEMPTS - 1, -1, -1):
+            try:
+                return self._ingest(files)
+            except ConcurrentWrite:
+                if not left:
+                    raise
+        raise AssertionError("the last attempt returns or raises")
+
+    def _ingest(self, files: DataFrame) -> DataFrame:
         for name, kind in ({"path": "string"} | self.OPTIONAL).items():
             if name not in files.columns:
                 files = files.withColumn(name, F.lit(None).cast(kind))

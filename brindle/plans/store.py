@@ -106,7 +106,12 @@ class Store:
         if chunks is not None or added is not None:
             (chunks if chunks is not None else added).write.parquet(f"{self.path}/chunks/{own}")
             folders.append(f"chunks/{own}")
-        self._publish(n, {"schema": schema, "documents": f"documents/{own}", "chunks": folders})
+        try:
+            self._publish(n, {"schema": schema, "documents": f"documents/{own}", "chunks": folders})
+        except ConcurrentWrite:
+            for folder in ("documents", "chunks"):
+                delete(self.spark, f"{self.path}/{folder}/{own}")
+            raise
         if len(folders) > MOST:
             left = self.read("chunks")
             left.write.parquet(f"{self.path}/chunks/{own}-all")

@@ -111,6 +111,25 @@ def test_only_the_first_of_two_writers_wins(spark, tmp_path):
     assert store.read("documents").count() == 2
 
 
+def test_a_writer_that_was_late_tries_again(spark, tmp_path, monkeypatch):
+    """Another process stores one of two files while this one is at work."""
+    store, other = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    ingested(spark, store, [("first.txt", "one")])
+    publish, late = Store._publish, []
+
+    def slow(self, n, commit):
+        if self is store and not late:
+            late.append(n)
+            ingested(spark, other, [("a.txt", "same"), ("k.txt", "theirs")])
+        publish(self, n, commit)
+
+    monkeypatch.setattr(Store, "_publish", slow)
+    got = ingested(spark, store, [("b.txt", "same"), ("k.txt", "ours")])
+    assert late and [g[:3] for g in got] == [("b.txt", "duplicate", None), ("k.txt", "ingested", 2)]
+    assert sorted(r.filename for r in store.read("documents").collect()) == ["a.txt", "first.txt", "k.txt", "k.txt"]
+    assert store.read("chunks").count() == 4 and len(list((tmp_path / "s" / "documents").iterdir())) == 3
+
+
 def test_appended_chunks_are_compacted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stores, "MOST", 2)
     monkeypatch.setattr(stores, "KEPT", 2)
