@@ -28,7 +28,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 
 #: Characters per vectorised step, so that its arrays stay in cache; one longer text is a step of its own.
-STEP = 1_000_000
+STEP = 500_000
 #: Distinct pre-tokens that a worker keeps; beyond it starts anew.
 CACHE = 1_500_000
 _SPECIAL = 0x110000
