@@ -166,9 +166,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     given = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
     digests = checkpoint(given.mapInArrow(tidy(_digests(shingle)), "doc long, n long, k1 long, k2 long, bands array<long>"))
-    classes = digests.filter("doc IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
-    rows = checkpoint(digests.join(classes, ["n", "k1", "k2"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
-    drop(digests)
+    # written first, so that the join deals both sides anew and a class of very many documents is split between tasks
+    classes = checkpoint(digests.filter("doc IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+    rep = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc"))
+    taking_part = (F.col("n") > 0) & (F.col("doc") == rep)
+    rows = checkpoint(digests.join(classes, ["n", "k1", "k2"], "left").select("doc", "n", rep.alias("rep"), F.when(taking_part, F.col("bands")).alias("bands")))
+    drop(digests, classes)
     placed = rows.filter(F.col("bands").isNotNull()).select("doc", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last").select("bucket", "leader")
     members = checkpoint(placed.join(buckets, "bucket"))

@@ -592,10 +592,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     source = checkpoint(numbered.mapInArrow(tidy(_pack(length)), _BLOCKS))
     texts = source.select("block", "nth", "digests").mapInArrow(_digests, "digest binary, doc long, block long, nth int")
-    classes = texts.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    # written first, so that the join deals both sides anew and a class of very many documents is split between tasks
+    classes = checkpoint(texts.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").drop("high"))
     twins = texts.join(classes, "digest").filter("doc > low").groupBy("block").agg(F.collect_list("nth").alias("twins"))
     blocks = checkpoint(source.select("block", "data").repartition(n_parts, "block").join(twins.hint("merge"), "block", "left"), layout=True)
-    drop(source)
+    drop(source, classes)
     met = blocks.select("block", "data", "twins").mapInArrow(tidy(_send(n_parts, length)), _MESSAGES).repartitionById(n_parts, "part").mapInArrow(tidy(_meet), _MESSAGES)
     replies = checkpoint(met.groupBy("block").agg(F.collect_list(F.struct("part", "message")).alias("replies")))
     asked = blocks.join(replies, "block").select("block", "data", "twins", "replies")
