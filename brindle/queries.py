@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -587,9 +588,10 @@ b AS (SELECT doc_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) % 64
 m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm, map_from_entries(list((bucket, n))) AS uses FROM b GROUP BY doc_id)
 SELECT doc_id, array_to_string(list_transform(range(64), lambda k: CAST(round(10000 * coalesce(uses[k], 0) / norm) AS INTEGER)), ' ') AS embedding FROM documents JOIN m USING (doc_id)""")
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with words, their vectors in ten-thousandths."""
-    made = table(spark, sf, "documents").select("doc_id", embed.embed(F.col("text"), embed.HashingEmbedder(64)).alias("v"))
-    whole = F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("int"))
+    """Texts with words, their vectors in ten-thousandths, rounded from double precision."""
+    embedder = embed.HashingEmbedder(64, 10000, np.float64, embed.sql_words)
+    made = table(spark, sf, "documents").select("doc_id", embed.embed(F.col("text"), embedder, kind="array<double>").alias("v"))
+    whole = F.transform("v", lambda x: F.round(x).cast("int"))
     return made.filter(F.exists("v", lambda x: x > 0)).select("doc_id", F.array_join(whole, " ").alias("embedding"))
 
 
